@@ -1,0 +1,5 @@
+"""Deliberately empty: every operator here is a batch operator.
+
+Time buckets are an ordinary integer key (see ``functions.expressions.bucket_of``),
+so no watermark, window or state store is needed anywhere.
+"""
