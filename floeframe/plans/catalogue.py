@@ -1,4 +1,4 @@
 """Imports every subject module, so that the registry is complete."""
 
-from . import forecast, tracks  # noqa: F401
+from . import drift, exposure, forecast, tracks  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

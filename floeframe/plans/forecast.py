@@ -111,12 +111,12 @@ define("compared", """SELECT f.day, f.ci, f.cj, f.a, f.n_a, g.b, g.land, g.sd FR
 
 @query("product_compare", using("compared", """SELECT day, count(*) FILTER (WHERE NOT land) AS ocean,
     count(*) FILTER (WHERE ok) AS compared,
-    round(100.0 * count(*) FILTER (WHERE ok) / nullif(count(*) FILTER (WHERE NOT land), 0), 6) AS kept_percent,
-    round(avg(abs(a - b)) FILTER (WHERE ok), 6) AS mae,
-    round(sqrt(avg((a - b) * (a - b)) FILTER (WHERE ok)), 6) AS rmse,
-    round(avg(a - b) FILTER (WHERE ok), 6) AS bias,
-    round(avg(abs(a - b)) FILTER (WHERE ok AND b >= 15 AND b < 80), 6) AS miz_mae,
-    round(avg(sd) FILTER (WHERE ok), 6) AS unc_mean, max(sd) FILTER (WHERE ok) AS unc_max
+    round(100.0 * count(*) FILTER (WHERE ok) / nullif(count(*) FILTER (WHERE NOT land), 0), 9) AS kept_percent,
+    round(avg(abs(a - b)) FILTER (WHERE ok), 9) AS mae,
+    round(sqrt(avg((a - b) * (a - b)) FILTER (WHERE ok)), 9) AS rmse,
+    round(avg(a - b) FILTER (WHERE ok), 9) AS bias,
+    round(avg(abs(a - b)) FILTER (WHERE ok AND b >= 15 AND b < 80), 9) AS miz_mae,
+    round(avg(sd) FILTER (WHERE ok), 9) AS unc_mean, max(sd) FILTER (WHERE ok) AS unc_max
     FROM (SELECT *, NOT land AND n_a >= 1 AS ok FROM compared) GROUP BY ROLLUP (day)"""))
 def product_compare(spark, sf):
     """Two products on a common coarse grid: per day and pooled (day NULL)."""
@@ -132,10 +132,10 @@ def product_compare(spark, sf):
     ocean = F.count_if(~F.col("land"))
     return coarse.rollup("day").agg(
         ocean.alias("ocean"), F.count_if(ok).alias("compared"),
-        F.round(100.0 * F.count_if(ok) / F.nullif(ocean, F.lit(0)), 6).alias("kept_percent"),
-        F.round(F.avg(F.abs(a - b)), 6).alias("mae"), F.round(F.sqrt(F.avg((a - b) * (a - b))), 6).alias("rmse"),
-        F.round(F.avg(a - b), 6).alias("bias"), F.round(F.avg(miz), 6).alias("miz_mae"),
-        F.round(F.avg(F.when(ok, F.col("sd"))), 6).alias("unc_mean"), F.max(F.when(ok, F.col("sd"))).alias("unc_max"))
+        F.round(100.0 * F.count_if(ok) / F.nullif(ocean, F.lit(0)), 9).alias("kept_percent"),
+        F.round(F.avg(F.abs(a - b)), 9).alias("mae"), F.round(F.sqrt(F.avg((a - b) * (a - b))), 9).alias("rmse"),
+        F.round(F.avg(a - b), 9).alias("bias"), F.round(F.avg(miz), 9).alias("miz_mae"),
+        F.round(F.avg(F.when(ok, F.col("sd"))), 9).alias("unc_mean"), F.max(F.when(ok, F.col("sd"))).alias("unc_max"))
 
 
 @query("product_agreement", using("compared", """SELECT count(*) AS n, round(avg(a - b), 6) AS bias,
