@@ -1,4 +1,4 @@
 """Imports every subject module, so that the registry is complete."""
 
-from . import drift, exposure, forecast, risk, tracks  # noqa: F401
+from . import cost, drift, exposure, forecast, risk, routes, tracks  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
