@@ -17,39 +17,44 @@ def required(value: Column, message: str, dtype: str) -> Column:
     return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(message)).cast(dtype))
 
 
+def _code_table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A code dimension of fixed size (at most a dozen rows), so broadcasting it is safe."""
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+
+
 def interpret(polygons: DataFrame) -> DataFrame:
-    """Roles, decoded concentrations and the state of each polygon; row-local, no shuffle.
+    """Roles, decoded concentrations and the state of each polygon.
 
     SA = 98 makes CA the iceberg fraction and moves the stages to SB and SC.
-    An unlisted code is never matched to a near one.
+    Codes are decoded by left joins with the code tables: an unlisted code finds
+    no row and is never matched to a near one. Polygons are not shuffled.
     """
     berg = (F.col("SA") == p.ICEBERG) & (F.col("POLY_TYPE") == "I")
     out = polygons.withColumn("convention", berg).withColumn("is_water", F.col("POLY_TYPE") == "W")
+    stages = [(k, c, o) for k, (c, o) in p.STAGES.items()]
     for i, (s, c) in enumerate(SLOTS, 1):
         named = (F.col(s) != p.UNUSED) & (F.col("POLY_TYPE") == "I")
         sea = named & ~F.col("convention") if i == 1 else named
         out = (out.withColumn(f"stage{i}", F.when(sea, F.col(s)))
-               .withColumn(f"cons{i}", p.lookup(F.col(f"stage{i}"), {k: v[0] for k, v in p.STAGES.items()}))
-               .withColumn(f"opt{i}", p.lookup(F.col(f"stage{i}"), {k: v[1] for k, v in p.STAGES.items()}))
-               .withColumn(f"tenths{i}", F.when(sea, p.lookup(F.col(c), p.PARTIALS))))
-    stages = [F.col(f"stage{i}") for i in (1, 2, 3)]
-    n_sea = sum((s.isNotNull().cast("int") for s in stages), F.lit(0))
-    unlisted = F.lit(False)
-    for i in (1, 2, 3):
-        unlisted = unlisted | (F.col(f"stage{i}").isNotNull() & F.col(f"cons{i}").isNull())
+               .join(_code_table(polygons, stages, f"stage{i} string, cons{i} string, opt{i} string"), f"stage{i}", "left")
+               .join(_code_table(polygons, list(p.PARTIALS.items()), f"{c} string, _{c} int"), c, "left"))
+    totals = [(k, a, b) for k, (a, b) in p.CT_CODES.items()]
+    out = out.join(_code_table(polygons, totals, "CT string, ct_low int, ct_high int"), "CT", "left")
+    for i, (_, c) in enumerate(SLOTS, 1):
+        out = out.withColumn(f"tenths{i}", F.when(F.col(f"stage{i}").isNotNull(), F.col(f"_{c}")))
+    n_sea = sum((F.col(f"stage{i}").isNotNull().cast("int") for i in (1, 2, 3)), F.lit(0))
+    unlisted = _any([F.col(f"stage{i}").isNotNull() & F.col(f"cons{i}").isNull() for i in (1, 2, 3)])
     bare = (F.col("CA") == p.UNUSED) & (F.col("CB") == p.UNUSED) & (F.col("CC") == p.UNUSED)
     state = (F.when(F.col("is_water"), "resolved").when(F.col("POLY_TYPE") != "I", UNKNOWN)
              .when(F.col("ct_low").isNull() | unlisted | (F.col("n_sea") == 0), UNKNOWN)
              .when(bare, F.when(F.col("n_sea") == 1, "partials_absent").otherwise(UNKNOWN))
              .when(F.col("ct_low") == F.col("ct_high"), "resolved").otherwise("interval"))
-    return (out.withColumn("ct_low", p.lookup(F.col("CT"), {k: v[0] for k, v in p.CT_CODES.items()}))
-            .withColumn("ct_high", p.lookup(F.col("CT"), {k: v[1] for k, v in p.CT_CODES.items()}))
-            .withColumn("n_sea", n_sea)
-            .withColumn("iceberg_tenths", F.when(F.col("convention"), p.lookup(F.col("CA"), p.PARTIALS)))
-            .withColumn("iceberg_trace", (F.col("SO") == p.ICEBERG))
+    return (out.withColumn("n_sea", n_sea)
+            .withColumn("iceberg_tenths", F.when(F.col("convention"), F.col("_CA")))
+            .withColumn("iceberg_trace", F.col("SO") == p.ICEBERG)
             .withColumn("mapping_sensitive", _any([(F.col(f"stage{i}") != "00") & F.col(f"cons{i}").isNotNull()
                                                    for i in (1, 2, 3)]))
-            .withColumn("state", state))
+            .withColumn("state", state).drop("_CA", "_CB", "_CC"))
 
 
 def _any(conds: list[Column]) -> Column:
@@ -70,50 +75,45 @@ def components(interpreted: DataFrame) -> DataFrame:
             .select("polygon_id", "s.*").where(F.col("stage") != p.UNUSED))
 
 
-def _branch(kind: str, riv: dict[str, float]) -> Column:
-    """All feasible endpoint sums of one mapping branch, as an array.
+def _endpoints(kind: str, free: float) -> list[Column]:
+    """Every feasible endpoint sum of one mapping branch (NULL where infeasible).
 
-    Five bits choose the total, each component end and the iceberg bound. The
-    choice is made inside the row, so enumerating endpoints needs no shuffle.
+    Partial codes are exact, so an endpoint is a choice of the total (low or
+    high) and of the bound for the iceberg fraction (severest type present or
+    ice-free). Without partials the single named stage holds the whole total.
+    The regime is closed with ice-free to ten tenths; feasibility is measured
+    against the total. Row-local expressions: enumerating costs no shuffle.
     """
-    free = riv["Ice-Free"]
+    ice_free = F.lit(free)
     absent = F.col("state") == "partials_absent"
-    used = [F.col(f"{kind}{i}").isNotNull() & (F.col(f"tenths{i}").isNotNull() | absent) for i in (1, 2, 3)]
-    value = [F.when(u, p.lookup(F.col(f"{kind}{i}"), riv)) for i, u in enumerate(used, 1)]
-    low = [F.when(u, F.when(absent, F.col("ct_low")).otherwise(F.col(f"tenths{i}"))).otherwise(0)
-           for i, u in enumerate(used, 1)]
-    high = [F.when(u, F.when(absent, F.col("ct_high")).otherwise(F.col(f"tenths{i}"))).otherwise(0)
-            for i, u in enumerate(used, 1)]
-    severest = F.coalesce(F.least(*value), F.lit(free))
+    value = [F.when(F.col(f"tenths{i}").isNotNull() | absent, F.col(f"{kind}_riv{i}")) for i in (1, 2, 3)]
+    severest = F.coalesce(F.least(*value), ice_free)
     berg = F.coalesce("iceberg_tenths", F.lit(0))
-
-    def endpoint(i: Column) -> Column:
-        on = lambda bit: i.bitwiseAND(bit) != 0
-        total = F.when(on(1), F.col("ct_high")).otherwise(F.col("ct_low"))
-        ends = [F.when(on(2 << k), high[k]).otherwise(low[k]) for k in range(3)]
-        named = ends[0] + ends[1] + ends[2] + berg
-        rio = sum((F.coalesce(e * v, F.lit(0.0)) for e, v in zip(ends, value)), F.lit(0.0))
-        rio = rio + berg * F.when(on(16), F.lit(free)).otherwise(severest) + (10 - named) * free
-        # the single named stage holds the whole of the total it was given
-        same = ~absent | ((ends[0] + ends[1] + ends[2]) == total)
-        return F.when((named <= total) & (named <= 10) & same, rio)
-
-    choices = F.array(*[F.lit(i) for i in range(32)])
-    return F.filter(F.transform(choices, endpoint), lambda x: x.isNotNull())
+    out = []
+    for total in (F.col("ct_low"), F.col("ct_high")):
+        tenths = [F.when(v.isNotNull(), F.when(absent, total).otherwise(F.col(f"tenths{i}"))).otherwise(0)
+                  for i, v in enumerate(value, 1)]
+        used = tenths[0] + tenths[1] + tenths[2] + berg
+        ice = sum((F.coalesce(n * v, F.lit(0.0)) for n, v in zip(tenths, value)), F.lit(0.0))
+        for bound in (severest, ice_free):
+            out.append(F.when((used <= total) & (used <= 10), ice + berg * bound + (10 - used) * ice_free))
+    return out
 
 
 def rio_interval(interpreted: DataFrame, ice_class: str, table: dict = p.RIV_STANDARD) -> DataFrame:
     """Low and high risk sum with their classes for both mapping branches."""
     riv, category = p.riv_map(ice_class, table), p.CATEGORY[ice_class]
+    values = [(k, riv[c], riv[o]) for k, (c, o) in p.STAGES.items()]
     out = interpreted
+    for i in (1, 2, 3):
+        out = out.join(_code_table(out, values, f"stage{i} string, cons_riv{i} double, opt_riv{i} double"), f"stage{i}", "left")
     for name, kind in (("conservative", "cons"), ("optimistic", "opt")):
-        ends = F.when(F.col("state") != UNKNOWN, _branch(kind, riv))
-        out = out.withColumn("_ends", ends).withColumn(f"{name}_low", F.array_min("_ends")).withColumn(
-            f"{name}_high", F.array_max("_ends"))
+        ends = _endpoints(kind, riv["Ice-Free"])
+        out = (out.withColumn(f"{name}_low", F.when(F.col("state") != UNKNOWN, F.least(*ends)))
+               .withColumn(f"{name}_high", F.when(F.col("state") != UNKNOWN, F.greatest(*ends))))
         lo, hi = classify_rio(F.col(f"{name}_low"), category), classify_rio(F.col(f"{name}_high"), category)
         out = (out.withColumn(f"{name}_low_class", lo).withColumn(f"{name}_high_class", hi)
-               .withColumn(f"{name}_class", F.when(lo.isNull(), UNKNOWN).when(lo == hi, lo).otherwise(INDETERMINATE))
-               .drop("_ends"))
+               .withColumn(f"{name}_class", F.when(lo.isNull(), UNKNOWN).when(lo == hi, lo).otherwise(INDETERMINATE)))
     has = F.col("conservative_low").isNotNull()
     return (out.withColumn("has_rio", has)
             .withColumn("class_differs", has & F.col("optimistic_low").isNotNull()

@@ -175,7 +175,7 @@ def profile_totals(spark, sf):
 
 
 @query("route_findings", using("profile_totals", """SELECT a.route_id, a.profile, b.profile AS other, CASE WHEN a.value < b.value THEN 'lower' ELSE 'higher' END AS direction,
-    round(abs(a.value - b.value), 3) AS difference FROM profile_totals a JOIN profile_totals b ON a.route_id = b.route_id AND a.profile <> b.profile
+    round(abs(a.value - b.value), 1) AS difference FROM profile_totals a JOIN profile_totals b ON a.route_id = b.route_id AND a.profile <> b.profile
     WHERE a.value <> b.value"""))
 def route_findings(spark, sf):
     """Lower/higher of each objective against the three others; equal values omitted.
@@ -187,7 +187,7 @@ def route_findings(spark, sf):
              for a in ct.PROFILES for b in ct.PROFILES if a != b]
     out = profile_totals(spark, sf).select("route_id", F.explode(F.array(*items)).alias("f")).select("route_id", "f.*").where("x <> y")
     return out.select("route_id", "profile", "other", F.when(F.col("x") < F.col("y"), "lower").otherwise("higher").alias("direction"),
-                      F.round(F.abs(F.col("x") - F.col("y")), 3).alias("difference"))
+                      F.round(F.abs(F.col("x") - F.col("y")), 1).alias("difference"))
 
 
 @query("route_audit", using("priced", """SELECT route_id, count(*) FILTER (WHERE state = 'charted_ice') AS ice, count(*) FILTER (WHERE state = 'charted_water') AS water,
