@@ -49,12 +49,20 @@ def interpret(polygons: DataFrame) -> DataFrame:
              .when(F.col("ct_low").isNull() | unlisted | (F.col("n_sea") == 0), UNKNOWN)
              .when(bare, F.when(F.col("n_sea") == 1, "partials_absent").otherwise(UNKNOWN))
              .when(F.col("ct_low") == F.col("ct_high"), "resolved").otherwise("interval"))
-    return (out.withColumn("n_sea", n_sea)
-            .withColumn("iceberg_tenths", F.when(F.col("convention"), F.col("_CA")))
-            .withColumn("iceberg_trace", F.col("SO") == p.ICEBERG)
-            .withColumn("mapping_sensitive", _any([(F.col(f"stage{i}") != "00") & F.col(f"cons{i}").isNotNull()
-                                                   for i in (1, 2, 3)]))
-            .withColumn("state", state).drop("_CA", "_CB", "_CC"))
+    sensitive = _any([(F.col(f"stage{i}") != "00") & F.col(f"cons{i}").isNotNull() for i in (1, 2, 3)])
+    out = out.withColumn("n_sea", n_sea)
+    return _once(out, state=state, iceberg_tenths=F.when(F.col("convention"), F.col("_CA")),
+                 iceberg_trace=F.col("SO") == p.ICEBERG, mapping_sensitive=sensitive).drop("_CA", "_CB", "_CC")
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later expressions use many times, evaluated once per row.
+
+    A one-row generator is a boundary for projection merging; without it every
+    use would carry its own copy of the expression into the generated code.
+    """
+    packed = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(packed))
 
 
 def _any(conds: list[Column]) -> Column:
@@ -107,13 +115,18 @@ def rio_interval(interpreted: DataFrame, ice_class: str, table: dict = p.RIV_STA
     out = interpreted
     for i in (1, 2, 3):
         out = out.join(_code_table(out, values, f"stage{i} string, cons_riv{i} double, opt_riv{i} double"), f"stage{i}", "left")
+    known = F.col("state") != UNKNOWN
+    ends = {}
     for name, kind in (("conservative", "cons"), ("optimistic", "opt")):
-        ends = _endpoints(kind, riv["Ice-Free"])
-        out = (out.withColumn(f"{name}_low", F.when(F.col("state") != UNKNOWN, F.least(*ends)))
-               .withColumn(f"{name}_high", F.when(F.col("state") != UNKNOWN, F.greatest(*ends))))
-        lo, hi = classify_rio(F.col(f"{name}_low"), category), classify_rio(F.col(f"{name}_high"), category)
-        out = (out.withColumn(f"{name}_low_class", lo).withColumn(f"{name}_high_class", hi)
-               .withColumn(f"{name}_class", F.when(lo.isNull(), UNKNOWN).when(lo == hi, lo).otherwise(INDETERMINATE)))
+        ends[name] = _endpoints(kind, riv["Ice-Free"])
+    out = _once(out, **{f"{n}_{side}": F.when(known, pick(*e)) for n, e in ends.items()
+                        for side, pick in (("low", F.least), ("high", F.greatest))})
+    out = _once(out, **{f"{n}_{side}_class": classify_rio(F.col(f"{n}_{side}"), category) for n in ends for side in ("low", "high")})
+    verdict = {}
+    for name in ends:
+        lo, hi = F.col(f"{name}_low_class"), F.col(f"{name}_high_class")
+        verdict[f"{name}_class"] = F.when(lo.isNull(), UNKNOWN).when(lo == hi, lo).otherwise(INDETERMINATE)
+    out = _once(out, **verdict)
     has = F.col("conservative_low").isNotNull()
     return (out.withColumn("has_rio", has)
             .withColumn("class_differs", has & F.col("optimistic_low").isNotNull()
