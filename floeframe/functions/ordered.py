@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 
 BLOCK = 65536            # rows one window task holds per key and block
 HOT_KEY_ROWS = 1_000_000  # keys above this are numbered block by block
@@ -137,39 +137,51 @@ def with_following(df: DataFrame, keys: list[str], seq: str, fields: list[str],
                     ).otherwise(F.array(F.floor(at / block)))
     spread = df.withColumn("_blk", F.explode(blocks))
     w = Window.partitionBy(*keys, "_blk").orderBy(seq)
-    for f in fields:
-        spread = spread.withColumn(f"{prefix}{f}", F.lead(f).over(w))
+    spread = spread.select("*", *[F.lead(f).over(w).alias(f"{prefix}{f}") for f in fields])
     return spread.where(F.floor(at / block) == F.col("_blk")).drop("_blk")
 
 
-def running_total(df: DataFrame, keys: list[str], seq: str, value: str, name: str,
-                  block: int = BLOCK) -> DataFrame:
-    """Inclusive running sum of ``value`` along ``seq`` inside each key."""
-    blocked = df.withColumn("_blk", F.floor(F.col(seq) / block))
-    before = (Window.partitionBy(*keys).orderBy("_blk")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    heads = (blocked.groupBy(*keys, "_blk").agg(F.sum(value).alias("_part"))
-             .withColumn("_before", F.coalesce(F.sum("_part").over(before), F.lit(0.0)))
-             .where("_blk > 0").drop("_part"))
-    inside = (Window.partitionBy(*keys, "_blk").orderBy(seq)
-              .rowsBetween(Window.unboundedPreceding, 0))
-    return (blocked.withColumn(name, F.sum(value).over(inside))
-            .join(heads, [*keys, "_blk"], "left")
-            .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0.0)))
-            .drop("_blk", "_before"))
+def with_next_and_running(df: DataFrame, keys: list[str], seq: str, fields: list[str], measure, name: str,
+                          block: int = BLOCK) -> DataFrame:
+    """Rows with ``next_*`` fields, a measure of the step to the next row, and its running sum.
+
+    ``measure`` maps nothing to a Column over the row and its ``next_*`` fields;
+    ``name`` is the measure and ``<name>_before`` the sum over all earlier rows
+    of the key. One shuffle on (key, block); only keys longer than one block
+    contribute rows to the small table of block totals.
+    """
+    at = F.col(seq)
+    blocks = F.when((at > 0) & (at % block == 0),
+                    F.array(F.floor(at / block), F.floor(at / block) - 1)
+                    ).otherwise(F.array(F.floor(at / block)))
+    spread_out = df.withColumn("_blk", F.explode(blocks))
+    w = Window.partitionBy(*keys, "_blk").orderBy(seq)
+    led = spread_out.select("*", *[F.lead(f).over(w).alias(f"next_{f}") for f in fields])
+    led = led.withColumn(name, measure())
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    led = (led.withColumn("_cum", F.coalesce(F.sum(name).over(earlier), F.lit(0.0)))
+           .where(F.floor(at / block) == F.col("_blk")))
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
+    heads = (led.where((at + 1) % block == 0)
+             .select(*keys, (F.col("_blk") + 1).alias("_blk"), (F.col("_cum") + F.col(name)).alias("_part"))
+             .select(*keys, "_blk", F.sum("_part").over(before).alias("_base")))
+    return (led.join(heads, [*keys, "_blk"], "left")
+            .withColumn(f"{name}_before", F.col("_cum") + F.coalesce("_base", F.lit(0.0)))
+            .drop("_blk", "_cum", "_base"))
 
 
 def first_by_hash(df: DataFrame, group: str, hash_col: str, tie: list[str],
-                  quotas: dict[str, int], buckets: int = 1 << 16) -> DataFrame:
+                  quotas: dict[str, int], buckets: int = 1 << 16, strict: bool = True) -> DataFrame:
     """The ``quota`` rows with the smallest hash in each group, exactly.
 
     A histogram of the hash finds the bucket in which the quota falls; whole
-    buckets below it pass without sorting and only that bucket is ranked.
+    buckets below it pass whole and that bucket is ranked. With ``strict`` a
+    group that cannot fill its quota fails the job.
     ``hash_col`` must be an evenly spread integer in [0, 2**31).
     """
     width = (1 << 31) // buckets
     wanted = F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv])
-    df = df.where(F.col(group).isin(*quotas)).withColumn("_b", F.floor(F.col(hash_col) / width))
+    df = stored(df.where(F.col(group).isin(*quotas)).withColumn("_b", F.floor(F.col(hash_col) / width)))
     # At most groups x buckets rows, whatever the size of the table.
     hist = df.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     upto = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
@@ -179,10 +191,14 @@ def first_by_hash(df: DataFrame, group: str, hash_col: str, tie: list[str],
            .groupBy(group).agg(F.max("_b").alias("_edge"),
                                F.max_by(F.col("_want") - (F.col("_cum") - F.col("_c")), "_b")
                                .alias("_left")))
-    kept = df.join(F.broadcast(cut), group)
-    whole = kept.where(F.col("_b") < F.col("_edge"))
-    w = Window.partitionBy(group).orderBy(hash_col, *tie)
-    edge = (kept.where(F.col("_b") == F.col("_edge"))
-            .withColumn("_rn", F.row_number().over(w))
-            .where(F.col("_rn") <= F.col("_left")).drop("_rn"))
-    return whole.unionByName(edge).drop("_b", "_edge", "_left")
+    if strict:
+        have = {r[group]: r["_rows"] for r in hist.groupBy(group).agg(F.sum("_c").alias("_rows")).collect()}
+        short = {k: have.get(k, 0) for k, want in quotas.items() if have.get(k, 0) < want}
+        if short:
+            raise ValueError(f"not enough rows for the quotas: {short}")
+    kept = df.join(F.broadcast(cut), group).where(F.col("_b") <= F.col("_edge"))
+    # only rows up to the edge bucket are shuffled, and by bucket, so no task is large
+    w = Window.partitionBy(group, "_b").orderBy(hash_col, *tie)
+    return (kept.withColumn("_rn", F.row_number().over(w))
+            .where((F.col("_b") < F.col("_edge")) | (F.col("_rn") <= F.col("_left")))
+            .drop("_b", "_edge", "_left", "_rn"))

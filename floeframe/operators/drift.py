@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
 from ..functions.ordered import exact_quantiles, global_rank
+from ..session import spread, stored
 from . import tracks as tr
 
 # --- fixed values: limits of the two drift parameters --------------------------
@@ -48,6 +51,7 @@ def _with_errors(df: DataFrame) -> DataFrame:
 
 def error_summary(df: DataFrame, keys: list[str]) -> DataFrame:
     """Count, mean, median, RMSE, nearest-rank p90, maximum and signed components per key."""
+    df = stored(df.select(*keys, "err_km", "err_e_m", "err_n_m", "err_mag_m"))     # read by two branches
     km = lambda c: F.round(c / 1000, 6)
     stats = df.groupBy(*keys).agg(
         F.count("err_km").alias("n"), F.round(F.avg("err_km"), 6).alias("mean_km"),
@@ -101,35 +105,51 @@ def earliest_fraction(rows: DataFrame, fraction: float = 0.7) -> DataFrame:
             .drop("_rank", "_total"))
 
 
-def coarse_grid() -> list[tuple[float, float]]:
+@dataclass(frozen=True)
+class Sweep:
+    """A rectangular parameter grid, turn varying fastest; values are clamped to the limits."""
+
+    windage0: float
+    windage_step: float
+    windages: int
+    turn0: float
+    turn_step: float
+    turns: int
+
+    def columns(self, i: Column) -> tuple[Column, Column]:
+        clamp = lambda v, lim: F.greatest(F.lit(lim[0]), F.least(F.lit(lim[1]), v))
+        w = self.windage0 + F.floor(i / self.turns) * self.windage_step
+        d = self.turn0 + (i % self.turns) * self.turn_step
+        return clamp(F.round(w, 9), WINDAGE), clamp(d, TURN_DEG)
+
+
+def coarse_grid() -> Sweep:
     (c0, c1), (t0, t1) = WINDAGE, TURN_DEG
-    return [(round(c0 + i * (c1 - c0) / COARSE[0], 6), t0 + j * (t1 - t0) / COARSE[1])
-            for i in range(COARSE[0] + 1) for j in range(COARSE[1] + 1)]
+    return Sweep(c0, (c1 - c0) / COARSE[0], COARSE[0] + 1, t0, (t1 - t0) / COARSE[1], COARSE[1] + 1)
 
 
-def fine_grid(windage: float, turn_deg: float) -> list[tuple[float, float]]:
-    """A finer sweep round a coarse winner, clamped to the limits."""
-    clamp = lambda v, lim: min(max(v, lim[0]), lim[1])
-    dc, dt = (WINDAGE[1] - WINDAGE[0]) / COARSE[0], (TURN_DEG[1] - TURN_DEG[0]) / COARSE[1]
-    return [(clamp(windage + k * dc / 8, WINDAGE), clamp(turn_deg + m * dt / 6, TURN_DEG))
-            for k in range(-8, 9) for m in range(-6, 7)]
+def fine_grid(windage: float, turn_deg: float) -> Sweep:
+    """A finer sweep round a coarse winner."""
+    dc = (WINDAGE[1] - WINDAGE[0]) / COARSE[0] / 8
+    dt = (TURN_DEG[1] - TURN_DEG[0]) / COARSE[1] / 6
+    return Sweep(windage - 8 * dc, dc, 17, turn_deg - 6 * dt, dt, 13)
 
 
-def grid_errors(rows: DataFrame, grid: list[tuple[float, float]]) -> DataFrame:
+def grid_errors(rows: DataFrame, grid: Sweep) -> DataFrame:
     """Mean error of every parameter pair.
 
-    The grid is an array literal of fixed size: rows are expanded and averaged in
-    the same task, and only one partial sum per pair is shuffled.
+    The grid has a fixed size: rows are dealt out evenly, expanded and averaged
+    in the same task, and only one partial sum per pair is shuffled.
     """
-    literal = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(c).alias("windage"), F.lit(d).alias("turn"))
-                        for i, (c, d) in enumerate(grid)])
-    tried = rows.select("lat0", "lon0", "lat1", "lon1", "elapsed_s", *tr.ENV, F.explode(literal).alias("g"))
-    ve, vn = drift_velocity(F.col("g.windage"), F.col("g.turn"))
+    tried = (spread(rows.select("lat0", "lon0", "lat1", "lon1", "elapsed_s", *tr.ENV))
+             .withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(grid.windages * grid.turns - 1)))))
+    windage, turn_deg = grid.columns(F.col("ord"))
+    tried = tried.withColumn("windage", windage).withColumn("turn", turn_deg)
+    ve, vn = drift_velocity(F.col("windage"), F.col("turn"))
     tried = tried.withColumn("_ve", ve).withColumn("_vn", vn)
     lat, lon = ex.advect(F.col("lat0"), F.col("lon0"), F.col("_ve"), F.col("_vn"), F.col("elapsed_s"))
     err = ex.great_circle_m(lat, lon, F.col("lat1"), F.col("lon1")) / 1000
-    return (tried.groupBy(F.col("g.ord").alias("ord"), F.col("g.windage").alias("windage"), F.col("g.turn").alias("turn"))
-            .agg(F.round(F.avg(err), 6).alias("mean_km")))
+    return tried.groupBy("ord", "windage", "turn").agg(F.round(F.avg(err), 6).alias("mean_km"))
 
 
 def best_pair(errors: DataFrame) -> DataFrame:

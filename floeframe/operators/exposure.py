@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
+from ..session import spread
+
+
+BROADCAST_CELLS = 2_000_000       # about 80 MB of (r, c, lat, lon, cos); beyond it the join shuffles
 
 
 @dataclass(frozen=True)
@@ -60,12 +64,23 @@ def cells_in_radius(bergs: DataFrame, cells: DataFrame, grid: Lattice, shape: st
     An equi-join on the candidate cell index, then the exact great-circle test;
     the number of candidates per berg depends on the radius only.
     """
-    tried = candidate_cells(bergs.withColumnRenamed("lat", "blat").withColumnRenamed("lon", "blon")
-                            .withColumn("lat", F.col("blat")).withColumn("lon", F.col("blon")), grid, scale, extra)
-    joined = tried.drop("lat", "lon").join(cells.select("r", "c", "lat", "lon"), ["r", "c"])
-    distance = ex.great_circle_m(F.col("lat"), F.col("lon"), F.col("blat"), F.col("blon"))
     radius = F.col("radius_km") * 1000.0
-    return (joined.withColumn("distance_m", distance).where(F.col("distance_m") < radius)
+    centres = (spread(bergs).withColumns({"blat": F.col("lat"), "blon": F.col("lon")}))
+    tried = candidate_cells(centres, grid, scale, extra).drop("lat", "lon").withColumns(
+        {"_bcos": F.cos(F.radians("blat")), "_far": F.pow(F.sin(radius / (2 * ex.EARTH_RADIUS_M)), F.lit(2.0)) * (1 + 1e-9)})
+    places = cells.select("r", "c", "lat", "lon", F.cos(F.radians("lat")).alias("_cos"))
+    if grid.rows * grid.cols <= BROADCAST_CELLS:
+        places = F.broadcast(places)              # the lattice itself bounds this side
+    # cosines are taken once per berg and per cell; most candidates then fall to
+    # the latitude test or to the squared half-chord, before any arc sine
+    half_lat = F.sin(F.radians(F.col("blat") - F.col("lat")) / 2)
+    half_lon = F.sin(F.radians(ex.shortest_arc(F.col("blon") - F.col("lon"))) / 2)
+    near = (tried.join(places, ["r", "c"])
+            .where(F.abs(F.col("lat") - F.col("blat")) <= F.degrees(radius / ex.EARTH_RADIUS_M) * (1 + 1e-9))
+            .withColumn("_h", half_lat * half_lat + F.col("_cos") * F.col("_bcos") * half_lon * half_lon)
+            .where(F.col("_h") <= F.col("_far"))
+            .withColumn("distance_m", 2.0 * ex.EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt("_h")))))
+    return (near.where(F.col("distance_m") < radius).drop("_h", "_far", "_cos", "_bcos")
             .withColumn("exposure", ex.exposure_value(F.col("distance_m"), radius, shape))
             .where(F.col("exposure") > 0))
 

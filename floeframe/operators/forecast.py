@@ -125,10 +125,10 @@ def block_any(cells: DataFrame, factor: int, keys=("day",)) -> DataFrame:
 
 
 def stratified_sample(rows: DataFrame, quotas: dict[str, int], key_hash: Column, tie: list[str],
-                      value: str = "sic") -> DataFrame:
+                      value: str = "sic", strict: bool = True) -> DataFrame:
     """A fixed quota per band of the *input*, reproducible from an arithmetic hash."""
     marked = rows.withColumn("band", band_of(F.col(value))).withColumn("_hash", key_hash)
-    return first_by_hash(marked, "band", "_hash", tie, quotas).drop("_hash")
+    return first_by_hash(marked, "band", "_hash", tie, quotas, strict=strict).drop("_hash")
 
 
 def cell_hash(day="day", r="r", c="c") -> Column:

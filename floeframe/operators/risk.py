@@ -17,42 +17,37 @@ def required(value: Column, message: str, dtype: str) -> Column:
     return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(message)).cast(dtype))
 
 
-def _code_table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
-    """A code dimension of fixed size (at most a dozen rows), so broadcasting it is safe."""
-    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
-
-
 def interpret(polygons: DataFrame) -> DataFrame:
     """Roles, decoded concentrations and the state of each polygon.
 
     SA = 98 makes CA the iceberg fraction and moves the stages to SB and SC.
-    Codes are decoded by left joins with the code tables: an unlisted code finds
-    no row and is never matched to a near one. Polygons are not shuffled.
+    Codes are decoded by fixed lookup tables inside the row, so polygons are
+    never shuffled; an unlisted code decodes to NULL, never to a near one.
     """
-    berg = (F.col("SA") == p.ICEBERG) & (F.col("POLY_TYPE") == "I")
-    out = polygons.withColumn("convention", berg).withColumn("is_water", F.col("POLY_TYPE") == "W")
-    stages = [(k, c, o) for k, (c, o) in p.STAGES.items()]
-    for i, (s, c) in enumerate(SLOTS, 1):
-        named = (F.col(s) != p.UNUSED) & (F.col("POLY_TYPE") == "I")
-        sea = named & ~F.col("convention") if i == 1 else named
-        out = (out.withColumn(f"stage{i}", F.when(sea, F.col(s)))
-               .join(_code_table(polygons, stages, f"stage{i} string, cons{i} string, opt{i} string"), f"stage{i}", "left")
-               .join(_code_table(polygons, list(p.PARTIALS.items()), f"{c} string, _{c} int"), c, "left"))
-    totals = [(k, a, b) for k, (a, b) in p.CT_CODES.items()]
-    out = out.join(_code_table(polygons, totals, "CT string, ct_low int, ct_high int"), "CT", "left")
+    ice = F.col("POLY_TYPE") == "I"
+    out = _once(polygons, convention=ice & (F.col("SA") == p.ICEBERG), is_water=F.col("POLY_TYPE") == "W")
+    stages = {}
+    for i, (s, _) in enumerate(SLOTS, 1):
+        named = (F.col(s) != p.UNUSED) & ice
+        stages[f"stage{i}"] = F.when(named & ~F.col("convention") if i == 1 else named, F.col(s))
+    out = _once(out, **stages)
+    decoded = {"ct_low": p.lookup(F.col("CT"), {k: v[0] for k, v in p.CT_CODES.items()}),
+               "ct_high": p.lookup(F.col("CT"), {k: v[1] for k, v in p.CT_CODES.items()}),
+               "iceberg_tenths": F.when(F.col("convention"), p.lookup(F.col("CA"), p.PARTIALS)),
+               "n_sea": sum((F.col(f"stage{i}").isNotNull().cast("int") for i in (1, 2, 3)), F.lit(0))}
     for i, (_, c) in enumerate(SLOTS, 1):
-        out = out.withColumn(f"tenths{i}", F.when(F.col(f"stage{i}").isNotNull(), F.col(f"_{c}")))
-    n_sea = sum((F.col(f"stage{i}").isNotNull().cast("int") for i in (1, 2, 3)), F.lit(0))
+        decoded[f"cons{i}"] = p.lookup(F.col(f"stage{i}"), {k: v[0] for k, v in p.STAGES.items()})
+        decoded[f"opt{i}"] = p.lookup(F.col(f"stage{i}"), {k: v[1] for k, v in p.STAGES.items()})
+        decoded[f"tenths{i}"] = F.when(F.col(f"stage{i}").isNotNull(), p.lookup(F.col(c), p.PARTIALS))
+    out = _once(out, **decoded)
     unlisted = _any([F.col(f"stage{i}").isNotNull() & F.col(f"cons{i}").isNull() for i in (1, 2, 3)])
     bare = (F.col("CA") == p.UNUSED) & (F.col("CB") == p.UNUSED) & (F.col("CC") == p.UNUSED)
-    state = (F.when(F.col("is_water"), "resolved").when(F.col("POLY_TYPE") != "I", UNKNOWN)
+    state = (F.when(F.col("is_water"), "resolved").when(~ice, UNKNOWN)
              .when(F.col("ct_low").isNull() | unlisted | (F.col("n_sea") == 0), UNKNOWN)
              .when(bare, F.when(F.col("n_sea") == 1, "partials_absent").otherwise(UNKNOWN))
              .when(F.col("ct_low") == F.col("ct_high"), "resolved").otherwise("interval"))
     sensitive = _any([(F.col(f"stage{i}") != "00") & F.col(f"cons{i}").isNotNull() for i in (1, 2, 3)])
-    out = out.withColumn("n_sea", n_sea)
-    return _once(out, state=state, iceberg_tenths=F.when(F.col("convention"), F.col("_CA")),
-                 iceberg_trace=F.col("SO") == p.ICEBERG, mapping_sensitive=sensitive).drop("_CA", "_CB", "_CC")
+    return _once(out, state=state, iceberg_trace=F.col("SO") == p.ICEBERG, mapping_sensitive=sensitive)
 
 
 def _once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -83,44 +78,41 @@ def components(interpreted: DataFrame) -> DataFrame:
             .select("polygon_id", "s.*").where(F.col("stage") != p.UNUSED))
 
 
-def _endpoints(kind: str, free: float) -> list[Column]:
-    """Every feasible endpoint sum of one mapping branch (NULL where infeasible).
+def _with_endpoints(df: DataFrame, free: float) -> DataFrame:
+    """Lowest and highest feasible endpoint sum of both mapping branches (NULL if none).
 
     Partial codes are exact, so an endpoint is a choice of the total (low or
     high) and of the bound for the iceberg fraction (severest type present or
     ice-free). Without partials the single named stage holds the whole total.
     The regime is closed with ice-free to ten tenths; feasibility is measured
-    against the total. Row-local expressions: enumerating costs no shuffle.
+    against the total. Row-local and in small steps: no shuffle, and generated
+    methods stay short enough for the JIT.
     """
-    ice_free = F.lit(free)
-    absent = F.col("state") == "partials_absent"
-    value = [F.when(F.col(f"tenths{i}").isNotNull() | absent, F.col(f"{kind}_riv{i}")) for i in (1, 2, 3)]
-    severest = F.coalesce(F.least(*value), ice_free)
-    berg = F.coalesce("iceberg_tenths", F.lit(0))
-    out = []
-    for total in (F.col("ct_low"), F.col("ct_high")):
-        tenths = [F.when(v.isNotNull(), F.when(absent, total).otherwise(F.col(f"tenths{i}"))).otherwise(0)
-                  for i, v in enumerate(value, 1)]
-        used = tenths[0] + tenths[1] + tenths[2] + berg
-        ice = sum((F.coalesce(n * v, F.lit(0.0)) for n, v in zip(tenths, value)), F.lit(0.0))
-        for bound in (severest, ice_free):
-            out.append(F.when((used <= total) & (used <= 10), ice + berg * bound + (10 - used) * ice_free))
-    return out
+    ends = {"lo": "ct_low", "hi": "ct_high"}
+    out = _once(df, _absent=F.col("state") == "partials_absent", _berg=F.coalesce("iceberg_tenths", F.lit(0)))
+    out = _once(out, **{f"_{e}{i}": F.expr(f"IF(stage{i} IS NULL, 0, IF(_absent, {total}, coalesce(tenths{i}, 0)))")
+                        for e, total in ends.items() for i in (1, 2, 3)},
+                **{f"_{k}{i}": F.expr(f"IF(tenths{i} IS NOT NULL OR _absent, {k}_riv{i}, NULL)")
+                   for k in ("cons", "opt") for i in (1, 2, 3)})
+    out = _once(out, **{f"_{e}_used": F.expr(f"_{e}1 + _{e}2 + _{e}3 + _berg") for e in ends},
+                **{f"_{k}_worst": F.expr(f"coalesce(least(_{k}1, _{k}2, _{k}3), {free}D)") for k in ("cons", "opt")},
+                **{f"_{k}_{e}": F.expr(" + ".join(f"coalesce(_{e}{i} * _{k}{i}, 0D)" for i in (1, 2, 3)))
+                   for k in ("cons", "opt") for e in ends})
+    branches = {"conservative": "cons", "optimistic": "opt"}
+    fits = {e: f"state <> 'unknown' AND _{e}_used <= {total} AND _{e}_used <= 10" for e, total in ends.items()}
+    total = lambda k, e, bound: f"IF({fits[e]}, _{k}_{e} + _berg * {bound} + (10 - _{e}_used) * {free}D, NULL)"
+    out = _once(out, **{f"{n}_low": F.expr(f"least({total(k, 'lo', f'_{k}_worst')}, {total(k, 'hi', f'_{k}_worst')})") for n, k in branches.items()},
+                **{f"{n}_high": F.expr(f"greatest({total(k, 'lo', f'{free}D')}, {total(k, 'hi', f'{free}D')})") for n, k in branches.items()})
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def rio_interval(interpreted: DataFrame, ice_class: str, table: dict = p.RIV_STANDARD) -> DataFrame:
     """Low and high risk sum with their classes for both mapping branches."""
     riv, category = p.riv_map(ice_class, table), p.CATEGORY[ice_class]
-    values = [(k, riv[c], riv[o]) for k, (c, o) in p.STAGES.items()]
-    out = interpreted
-    for i in (1, 2, 3):
-        out = out.join(_code_table(out, values, f"stage{i} string, cons_riv{i} double, opt_riv{i} double"), f"stage{i}", "left")
-    known = F.col("state") != UNKNOWN
-    ends = {}
-    for name, kind in (("conservative", "cons"), ("optimistic", "opt")):
-        ends[name] = _endpoints(kind, riv["Ice-Free"])
-    out = _once(out, **{f"{n}_{side}": F.when(known, pick(*e)) for n, e in ends.items()
-                        for side, pick in (("low", F.least), ("high", F.greatest))})
+    out = _once(interpreted, **{f"{kind}_riv{i}": p.lookup(F.col(f"stage{i}"), {k: riv[v[j]] for k, v in p.STAGES.items()})
+                                for i in (1, 2, 3) for j, kind in enumerate(("cons", "opt"))})
+    out = _with_endpoints(out, riv["Ice-Free"])
+    ends = ("conservative", "optimistic")
     out = _once(out, **{f"{n}_{side}_class": classify_rio(F.col(f"{n}_{side}"), category) for n in ends for side in ("low", "high")})
     verdict = {}
     for name in ends:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import running_total, with_following
+from ..functions.ordered import with_following, with_next_and_running
 from .cost import finite
 
 ROUTE = ["route_id"]
@@ -18,20 +18,16 @@ def segment_m(cell_m: float) -> Column:
 
 def clocked(points: DataFrame, cell_m: float, speed: float) -> DataFrame:
     """Distance to the next point, distance so far and arrival seconds of each point."""
-    out = with_following(points, ROUTE, "seq", ["r", "c"])
-    out = out.withColumn("dist_m", segment_m(cell_m)).drop("next_r", "next_c")
-    out = running_total(out, ROUTE, "seq", "dist_m", "_through")
-    return (out.withColumn("along_m", F.col("_through") - F.col("dist_m"))
-            .withColumn("arrival_s", F.col("along_m") / speed).drop("_through"))
+    out = with_next_and_running(points, ROUTE, "seq", ["r", "c"], lambda: segment_m(cell_m), "dist_m")
+    return (out.drop("next_r", "next_c").withColumnRenamed("dist_m_before", "along_m")
+            .withColumn("arrival_s", F.col("along_m") / speed))
 
 
 def trapezoids(priced: DataFrame, terms: list[str]) -> DataFrame:
     """``dist * (value + next value) / 2`` per segment for every term (0 at the last point)."""
     out = with_following(priced, ROUTE, "seq", terms)
-    for term in terms:
-        both = F.col("dist_m") * 0.5 * (F.col(term) + F.col(f"next_{term}"))
-        out = out.withColumn(f"{term}_seg", F.when(F.col(f"next_{term}").isNotNull(), both).otherwise(F.lit(0.0)))
-    return out.drop(*[f"next_{t}" for t in terms])
+    segs = {f"{t}_seg": F.expr(f"CASE WHEN next_{t} IS NOT NULL THEN dist_m * 0.5D * ({t} + next_{t}) ELSE 0D END") for t in terms}
+    return out.withColumns(segs).drop(*[f"next_{t}" for t in terms])
 
 
 def price(priced: DataFrame, terms: list[str], total: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import drift as op
 from ..operators import tracks as tr
+from ..session import stored
 from ..sources import tables as t
 from .registry import query
 from .sql import define, gc_m, using
@@ -67,7 +68,9 @@ def _env_steps(spark, sf):
 
 
 def scored_population(spark, sf):
-    return op.chronological_split(op.with_physics(op.population(_steps(spark, sf))))
+    """Scored population with its split; stored, because cuts, radii and results all read it."""
+    pop = stored(op.with_physics(op.population(_steps(spark, sf))))
+    return op.chronological_split(pop)
 
 
 @query("drift_error", using("physics", f"SELECT elapsed_days, {_SUMMARY} FROM physics GROUP BY elapsed_days"))
@@ -145,9 +148,8 @@ define("sweep", "SELECT ord, windage, turn, round(avg(err_km), 6) AS mean_km FRO
 
 def _fit_rows(spark, sf):
     """The fit set is small work to keep and read twice, so its lineage is cut once."""
-    from ..session import cut_lineage
     rows = op.earliest_fraction(op.population(_steps(spark, sf)))
-    return cut_lineage(rows.where("fit"))
+    return stored(rows.where("fit"))
 
 
 @query("calibration_grid", using("sweep", "SELECT CAST(ord AS INTEGER) AS ord, windage, turn, mean_km FROM sweep"))
@@ -181,8 +183,7 @@ define("held", """SELECT lat0, lon0, lat1, lon1, elapsed_s, displacement_m, wind
     SELECT 'fitted', count(*), round(avg(err_km), 6) FROM ({_scored('held', *_physics('w1', 't1'))})"""))
 def calibration_effect(spark, sf):
     """Held-out error of the configured and of the fitted parameters."""
-    from ..session import cut_lineage
-    rows = cut_lineage(op.earliest_fraction(op.population(_steps(spark, sf))))
+    rows = stored(op.earliest_fraction(op.population(_steps(spark, sf))))
     best = op.calibrate(rows.where("fit")).first()
     held = rows.where("NOT fit")
     parts = [op.with_physics(held, w, d).agg(F.lit(name).alias("setting"), F.count(F.lit(1)).alias("n"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as ex
 from ..operators import forecast as fop
 from ..operators import models as op
-from ..session import cut_lineage
+from ..session import stored
 from ..sources import tables as t
 from . import drift as dr
 from .registry import query
@@ -20,12 +20,12 @@ QUOTAS = {"open": 2000, "miz": 20000, "ice": 6000}
 def split_rows(spark, sf):
     """Supervised rows with features and split; read several times, so stored once."""
     rows = op.with_features(fop.supervised_rows(t.ice_cells(spark, sf), t.current_cells(spark, sf)))
-    return cut_lineage(fop.with_split(rows, base="day", target="target_day"))
+    return stored(fop.with_split(rows, base="day", target="target_day"))
 
 
 def training_sample(rows):
     train = rows.where("split = 'train'")
-    return cut_lineage(fop.stratified_sample(train, QUOTAS, fop.cell_hash(), ["day", "r", "c"]))
+    return stored(fop.stratified_sample(train, QUOTAS, fop.cell_hash(), ["day", "r", "c"], strict=False))
 
 
 @query("gbt_skill")
@@ -68,7 +68,7 @@ def residual_model(spark, sf):
     pop = dr.scored_population(spark, sf)
     de, dn = ex.displacement(F.col("lat0"), F.col("lon0"), F.col("plat"), F.col("plon"))
     oe, on = ex.displacement(F.col("lat0"), F.col("lon0"), F.col("lat1"), F.col("lon1"))
-    rows = cut_lineage(pop.withColumn("disp_e", de).withColumn("disp_n", dn).withColumn("res_e", oe - de).withColumn("res_n", on - dn))
+    rows = stored(pop.withColumn("disp_e", de).withColumn("disp_n", dn).withColumn("res_e", oe - de).withColumn("res_n", on - dn))
     train = rows.where("moved AND split = 'train'")
     parts = None
     for k, (trees, depth) in enumerate(SETTINGS):
@@ -81,7 +81,7 @@ def residual_model(spark, sf):
         one = scored.groupBy("split").agg(F.lit(k).alias("setting"), F.count(F.lit(1)).alias("n"), F.avg("err_km").alias("physics_km"),
                                           F.avg(err).alias("corrected_km"))
         parts = one if parts is None else parts.unionByName(one)
-    parts = cut_lineage(parts)
+    parts = stored(parts)
     chosen = (parts.where("split = 'validation'").orderBy("corrected_km", "setting").limit(1).select(F.col("setting").alias("_s")))
     return (parts.join(F.broadcast(chosen), F.lit(True)).withColumn("chosen", F.col("setting") == F.col("_s")).drop("_s")
             .withColumn("physics_km", F.round("physics_km", 4)).withColumn("corrected_km", F.round("corrected_km", 4)))

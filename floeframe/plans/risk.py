@@ -99,7 +99,7 @@ def polygon_components(spark, sf):
     count(*) AS slots, count(tenths) AS with_tenths FROM slots LEFT JOIN stage ON slots.stage = stage.code GROUP BY 1"""))
 def stage_lookup(spark, sf):
     """Stage codes against the policy dimension; an unlisted code reads 'unknown'."""
-    dim = spark.createDataFrame([(k, c) for k, (c, _) in p.STAGES.items()], "stage string, conservative string")
+    dim = p.dimension(spark, [(k, c) for k, (c, _) in p.STAGES.items()], "stage, conservative")
     parts = op.components(op.interpret(t.polygons(spark, sf))).select("stage", "tenths")
     return (parts.join(F.broadcast(dim), "stage", "left")
             .groupBy("stage", F.coalesce("conservative", F.lit("unknown")).alias("conservative"))
@@ -158,7 +158,7 @@ def riv_long(spark, sf):
 def policy_dims(spark, sf):
     """Code dimensions joined to the codes charts really use; unlisted codes stay NULL."""
     rows = [("ct", k, a, b) for k, (a, b) in p.CT_CODES.items()] + [("partial", k, v, v) for k, v in p.PARTIALS.items()]
-    dim = spark.createDataFrame(rows, "field string, code string, low int, high int")
+    dim = p.dimension(spark, rows, "field, code, low, high")
     codes = F.array(F.struct(F.lit("ct").alias("field"), F.col("CT").alias("code")),
                     F.struct(F.lit("partial").alias("field"), F.col("CA").alias("code")))
     used = (t.polygons(spark, sf).select(F.explode(codes).alias("x")).select("x.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,7 @@ def local_session(app: str = "floeframe", cores: str | None = None) -> SparkSess
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.ui.enabled", "false")
                .config("spark.driver.memory", "8g")
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.sql.shuffle.partitions", cores))
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
@@ -48,6 +50,24 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Used where several branches start from one costly step: Spark would plan the
+    step once per branch, since column pruning makes the branches differ. The
+    columnar copy keeps pruning, has known sizes and outlives lost executors.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly before a step that multiplies them inside each task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so later steps neither recompute nor replan it."""
     shared_folder(df.sparkSession)

@@ -57,6 +57,18 @@ PENALTIES = {"normal_operation": 0.0, "elevated_operational_risk": 25.0,
 # --------------------------------------------------------------------------------
 
 
+def dimension(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small fixed table as inline VALUES: part of the plan itself, no job to build it."""
+    def literal(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return f"{v}D" if isinstance(v, float) else str(v)
+    values = ", ".join("(" + ", ".join(literal(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
+
+
 def lookup(code: Column, table: dict) -> Column:
     """Value of a fixed code table, NULL for a code it does not list (never a near match)."""
     entries = [F.lit(x) for kv in table.items() for x in kv]
@@ -71,7 +83,7 @@ def riv_rows(spark: SparkSession) -> DataFrame:
     """riv(riv_table, ice_class, category, ice_type, riv): a dimension of fixed size."""
     rows = [(name, c, CATEGORY[c], t, float(v)) for name, table in (("standard", RIV_STANDARD), ("decayed", RIV_DECAYED))
             for c, values in table.items() for t, v in zip(ICE_TYPES, values)]
-    return spark.createDataFrame(rows, "riv_table string, ice_class string, category string, ice_type string, riv double")
+    return dimension(spark, rows, "riv_table, ice_class, category, ice_type, riv")
 
 
 def read_riv(spark: SparkSession, path: str) -> DataFrame:

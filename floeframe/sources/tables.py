@@ -6,11 +6,14 @@ pruning reach the parquet scan. Missing values are NULL, never NaN.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import nm_to_km
 from ..functions.ordered import dense_sequence
+from ..session import stored
 
 CELL_M = 6250.0          # grid spacing
 SPEED_MPS = 5.0          # vessel speed
@@ -18,8 +21,15 @@ BUCKET_S = 6 * 3600.0    # time bucket of the cost tables
 BUCKETS = 12             # buckets the cost tables cover
 
 
+@lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str):
+    return spark.read.parquet(path).schema
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; its footer is read once per session, not once per use."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 def _ship_day(column: str = "l_shipdate") -> Column:
@@ -166,5 +176,5 @@ def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
               .select(F.col("l_orderkey").alias("route_id"), *_zone_cell(),
                       "l_linenumber", "l_partkey", "l_suppkey"))
     block = F.col("l_linenumber") * 1_000_000 + F.floor(F.col("l_partkey") / 1000)
-    return (dense_sequence(points, ["route_id"], ["l_linenumber", "l_partkey", "l_suppkey"], block)
-            .select("route_id", "seq", "zone", "r", "c"))
+    return stored(dense_sequence(points, ["route_id"], ["l_linenumber", "l_partkey", "l_suppkey"], block)
+                  .select("route_id", "seq", "zone", "r", "c"))
