@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import resistance_factor
 
 INF = float("inf")                 # a cell that cannot be priced
+MODELLED_DAYS = 2                  # leads with a model: 24 h and 48 h
 PROFILES = ["fastest", "shortest_distance", "fuel_efficient", "risk_oriented"]
 
 
@@ -112,7 +113,7 @@ def bucket_sources(requests: DataFrame, fields: DataFrame, days: DataFrame, buck
     """Environment of each (request, bucket): forecast, own-day observation, or named persistence.
 
     A forecast covers a bucket only if the bucket lies wholly in the field's
-    half-open target day, so the interval join becomes an equi-join on that day
+    half-open target day (``reason`` says why none does), so the interval join becomes an equi-join on that day
     followed by the containment test; the lowest lead wins.
     """
     seconds = lambda h: F.make_dt_interval(secs=F.lit(float(h * 3600)))
@@ -132,6 +133,10 @@ def bucket_sources(requests: DataFrame, fields: DataFrame, days: DataFrame, buck
     return (out.withColumn("source", source).withColumn("persisted", F.col("source") == "persistence")
             .withColumn("environment_day", F.when(F.col("source") == "model_forecast", F.col("want_day")).otherwise(F.col("base_day")))
             .withColumn("future_observation_available", F.coalesce("_seen", F.lit(False)) & (F.col("want_day") > F.col("base_day")))
+            .withColumn("reason", F.when(F.col("lead_h").isNotNull(), F.lit(None).cast("string"))
+                        .when(F.col("_day").isNull(), "window_spans_two_days")
+                        .when(own, "no_sub_daily_target")
+                        .when(F.datediff("want_day", "base_day") > MODELLED_DAYS, "lead_not_modelled").otherwise("no_forecast_for_day"))
             .drop("_day", "_seen"))
 
 

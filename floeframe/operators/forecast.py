@@ -46,6 +46,11 @@ def supervised_rows(ice: DataFrame, currents: DataFrame, lead: int = 1) -> DataF
             .dropna(how="any", subset=["sic", "u", "v", "label"]))
 
 
+def subsample(cells: DataFrame, stride: int) -> DataFrame:
+    """Every ``stride``-th row and column."""
+    return cells.where((F.col("r") % stride == 0) & (F.col("c") % stride == 0))
+
+
 def split_of(day: Column) -> Column:
     out = None
     for name, low, high in SPLITS:

@@ -19,10 +19,10 @@ def scenarios(requests: DataFrame, offsets_h: list[int], profiles: list[str]) ->
     return out.withColumn("profile", F.explode(F.array(*[F.lit(x) for x in profiles])))
 
 
-def outcome(blocked_end: Column, departs_s: Column, horizon_s: Column, dates_agree: Column, reachable: Column) -> Column:
+def outcome(blocked_end: Column, departs_s: Column, horizon_s: Column, dates_agree: Column) -> Column:
     """Why a scenario is not searched, in the order the checks run; a high cost is never a reason."""
     return (F.when(~dates_agree, "historical_date_mismatch").when(departs_s >= horizon_s, "forecast_unavailable")
-            .when(blocked_end, "hard_navigation_constraint").when(~reachable, "no_feasible_path").otherwise("searchable"))
+            .when(blocked_end, "hard_navigation_constraint").otherwise("searchable"))
 
 
 def mission_summary(options: DataFrame, by: str) -> DataFrame:

@@ -159,9 +159,12 @@ def sources(spark, sf):
 
 @query("bucket_source", using("sources", """SELECT request, bucket, source, lead_h, source = 'persistence' AS persisted,
     CASE WHEN source = 'model_forecast' THEN want_day ELSE base_day END AS environment_day,
-    seen AND want_day > base_day AS future_observation_available FROM sources"""))
+    seen AND want_day > base_day AS future_observation_available,
+    CASE WHEN lead_h IS NOT NULL THEN NULL WHEN CAST(valid_from + INTERVAL 6 HOUR AS TIMESTAMP) > CAST(want_day + 1 AS TIMESTAMP) THEN 'window_spans_two_days'
+      WHEN want_day = base_day THEN 'no_sub_daily_target' WHEN want_day - base_day > 2 THEN 'lead_not_modelled' ELSE 'no_forecast_for_day' END AS reason
+    FROM sources"""))
 def bucket_source(spark, sf):
-    return sources(spark, sf).select("request", "bucket", "source", "lead_h", "persisted", "environment_day", "future_observation_available")
+    return sources(spark, sf).select("request", "bucket", "source", "lead_h", "persisted", "environment_day", "future_observation_available", "reason")
 
 
 @query("timeline_summary", using("sources", """SELECT base_day, count(*) AS buckets, count(DISTINCT source) AS source_types, count(DISTINCT lead_h) AS leads,

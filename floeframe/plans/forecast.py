@@ -54,17 +54,23 @@ def lead_pairs(spark, sf):
 
 
 @query("valid_rows", using("rows1", """SELECT day, r, c, round(sic, 6) AS sic, round(u, 6) + 0.0 AS u,
-    round(v, 6) + 0.0 AS v, round(sqrt(u * u + v * v), 6) AS speed, round(label, 6) AS label FROM rows1
-    WHERE r % 2 = 0 AND c % 2 = 0"""))
+    round(v, 6) + 0.0 AS v, round(sqrt(u * u + v * v), 6) AS speed, round(label, 6) AS label FROM rows1"""))
 def valid_rows(spark, sf):
-    """Complete feature rows on every second row and column (the stride is the operator)."""
+    """Complete feature rows: every feature and the label present."""
     rows = op.supervised_rows(t.ice_cells(spark, sf), t.current_cells(spark, sf))
-    return (rows.where((F.col("r") % 2 == 0) & (F.col("c") % 2 == 0))
-            .select("day", "r", "c", F.round("sic", 6).alias("sic"), (F.round("u", 6) + 0.0).alias("u"),
+    return (rows.select("day", "r", "c", F.round("sic", 6).alias("sic"), (F.round("u", 6) + 0.0).alias("u"),
                     (F.round("v", 6) + 0.0).alias("v"), F.round(F.hypot("u", "v"), 6).alias("speed"),
                     F.round("label", 6).alias("label")))
 
 
+@query("grid_subsample", using("ice_cells", """SELECT day, count(*) AS cells, count(sic) AS valid, round(avg(sic), 6) AS mean_sic
+    FROM ice_cells WHERE r % 4 = 0 AND c % 4 = 0 GROUP BY day"""))
+def grid_subsample(spark, sf):
+    """The stride operator itself: every fourth row and column of each daily field."""
+    return (op.subsample(t.ice_cells(spark, sf), 4).groupBy("day")
+            .agg(F.count(F.lit(1)).alias("cells"), F.count("sic").alias("valid"), F.round(F.avg("sic"), 6).alias("mean_sic")))
+
+
 @query("split_counts", using("pairs", f"""SELECT split, base_day, count(*) AS n,
     min(target_day) AS first_target, max(target_day) AS last_target
     FROM (SELECT *, {_SPLIT.format('base_day')} AS split, {_SPLIT.format('target_day')} AS tsplit FROM pairs

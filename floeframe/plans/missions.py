@@ -16,6 +16,17 @@ from .sql import define, using
 OFFSETS = [0, 6, 12, 18]
 _PROFILES = ", ".join(f"('{p}')" for p in ct.PROFILES)
 
+# one static grid per zone: the cheapest bucket of each cell
+define("grid_cells", "SELECT zone, r, c, min(env_cost) FILTER (WHERE isfinite(env_cost)) AS cost FROM env GROUP BY ALL", ["env"])
+define("steps8", "SELECT a.dr, b.dc FROM (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc) WHERE NOT (dr = 0 AND dc = 0)")
+define("passable", "SELECT * FROM grid_cells WHERE cost IS NOT NULL", ["grid_cells"])
+define("edge", """SELECT a.zone, a.r, a.c, b.r AS nr, b.c AS nc, sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) * 6250 AS dist_m,
+    sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) * 6250 * 0.5 * (a.cost + b.cost) AS weight
+    FROM (SELECT * FROM passable, steps8) a JOIN passable b ON b.zone = a.zone AND b.r = a.r + dr AND b.c = a.c + dc
+    LEFT JOIN passable s ON s.zone = a.zone AND s.r = a.r AND s.c = b.c LEFT JOIN passable z ON z.zone = a.zone AND z.r = b.r AND z.c = a.c
+    WHERE dr = 0 OR dc = 0 OR s.cost IS NOT NULL OR z.cost IS NOT NULL""", ["passable", "steps8"])
+
+
 # a mission request per order line: the supplier is the site, the order date the reference time
 define("mission", """SELECT DISTINCT l_suppkey AS site, o_orderdate AS reference, o_orderstatus AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     WHERE l_linenumber = 1""")
@@ -25,8 +36,9 @@ define("options", """SELECT *, outcome = 'searchable' AS feasible, CASE WHEN out
       (CASE profile WHEN 'fastest' THEN 1 WHEN 'shortest_distance' THEN 2 WHEN 'fuel_efficient' THEN 3 ELSE 4 END)
       * ((site * 31 + offset_h) % 97 + 1) END AS value
     FROM (SELECT *, CASE WHEN status = 'P' THEN 'historical_date_mismatch' WHEN offset_h * 3600 >= (site % 5) * 10800 THEN 'forecast_unavailable'
-      WHEN (site * 3) % 23 = 0 THEN 'hard_navigation_constraint' WHEN site % 7 = 3 THEN 'no_feasible_path' ELSE 'searchable' END AS outcome FROM scenario)""",
-       ["scenario"])
+      WHEN cost IS NULL THEN 'hard_navigation_constraint' ELSE 'searchable' END AS outcome
+      FROM scenario LEFT JOIN grid_cells g ON g.zone = site // 20 AND g.r = site * 3 % 20 AND g.c = site % 20)""",
+       ["scenario", "grid_cells"])
 
 
 def scenario_rows(spark, sf):
@@ -40,7 +52,11 @@ def scenario_rows(spark, sf):
 def option_rows(spark, sf):
     s = scenario_rows(spark, sf)
     site, off = F.col("site"), F.col("offset_h")
-    out = s.withColumn("outcome", op.outcome((site * 3) % 23 == 0, off * 3600, (site % 5) * 10800, F.col("status") != "P", site % 7 != 3))
+    # a site that has no passable cell, or lies outside the grid, is a hard constraint
+    ends = grid_cells(spark, sf).where(F.col("cost").isNotNull()).withColumn("_open", F.lit(True)).drop("cost")
+    s = (s.withColumn("zone", F.floor(site / 20).cast("int")).withColumn("r", (site * 3 % 20).cast("int")).withColumn("c", (site % 20).cast("int"))
+         .join(ends, ["zone", "r", "c"], "left"))
+    out = s.withColumn("outcome", op.outcome(F.col("_open").isNull(), off * 3600, (site % 5) * 10800, F.col("status") != "P"))
     rank = F.array_position(F.array(*[F.lit(p) for p in ct.PROFILES]), F.col("profile"))
     ok = F.col("outcome") == "searchable"
     return out.withColumn("feasible", ok).withColumn("value", F.when(ok, rank * ((site * 31 + off) % 97 + 1)))
@@ -127,22 +143,6 @@ def backtest_rollup(spark, sf):
     return op.backtest_rollup(cases.withColumn("changed", ~F.col("realised_a").eqNullSafe(F.col("realised_b"))))
 
 
-# one static grid per zone: the cheapest bucket of each cell
-define("grid_cells", "SELECT zone, r, c, min(env_cost) FILTER (WHERE isfinite(env_cost)) AS cost FROM env GROUP BY ALL", ["env"])
-define("steps8", "SELECT a.dr, b.dc FROM (VALUES (-1), (0), (1)) a(dr), (VALUES (-1), (0), (1)) b(dc) WHERE NOT (dr = 0 AND dc = 0)")
-define("passable", "SELECT * FROM grid_cells WHERE cost IS NOT NULL", ["grid_cells"])
-define("edge", """SELECT a.zone, a.r, a.c, b.r AS nr, b.c AS nc, sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) * 6250 AS dist_m,
-    sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) * 6250 * 0.5 * (a.cost + b.cost) AS weight
-    FROM passable a, steps8 JOIN passable b ON b.zone = a.zone AND b.r = a.r + dr AND b.c = a.c + dc
-    WHERE dr = 0 OR dc = 0 OR EXISTS (SELECT 1 FROM passable s WHERE s.zone = a.zone AND ((s.r = a.r AND s.c = b.c) OR (s.r = b.r AND s.c = a.c)))""",
-       ["passable", "steps8"])
-define("edge", """SELECT a.zone, a.r, a.c, b.r AS nr, b.c AS nc, sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) * 6250 AS dist_m,
-    sqrt(CAST(dr * dr + dc * dc AS DOUBLE)) * 6250 * 0.5 * (a.cost + b.cost) AS weight
-    FROM (SELECT * FROM passable, steps8) a JOIN passable b ON b.zone = a.zone AND b.r = a.r + dr AND b.c = a.c + dc
-    LEFT JOIN passable s ON s.zone = a.zone AND s.r = a.r AND s.c = b.c LEFT JOIN passable z ON z.zone = a.zone AND z.r = b.r AND z.c = a.c
-    WHERE dr = 0 OR dc = 0 OR s.cost IS NOT NULL OR z.cost IS NOT NULL""", ["passable", "steps8"])
-
-
 def grid_cells(spark, sf):
     env = cq.environment(spark, sf)
     return env.groupBy("zone", "r", "c").agg(F.min(F.when(ct.finite(F.col("env_cost")), F.col("env_cost"))).alias("cost"))

@@ -17,9 +17,9 @@ from .registry import query
 QUOTAS = {"open": 2000, "miz": 20000, "ice": 6000}
 
 
-def split_rows(spark, sf):
+def split_rows(spark, sf, lead=1):
     """Supervised rows with features and split; read several times, so stored once."""
-    rows = op.with_features(fop.supervised_rows(t.ice_cells(spark, sf), t.current_cells(spark, sf)))
+    rows = op.with_features(fop.supervised_rows(t.ice_cells(spark, sf), t.current_cells(spark, sf), lead))
     return stored(fop.with_split(rows, base="day", target="target_day"))
 
 
@@ -37,6 +37,14 @@ def gbt_skill(spark, sf):
     return op.skill_table(scored, {"model": "model", "persistence": "sic"}, "label", ["split"])
 
 
+@query("gbt_skill_48h")
+def gbt_skill_48h(spark, sf):
+    """The two-day lead has its own rows, its own fit and its own scores."""
+    rows = split_rows(spark, sf, lead=2)
+    scored = op.predict(rows.where("split <> 'train'"), op.fit(training_sample(rows), op.FEATURES), "model")
+    return op.skill_table(scored, {"model": "model", "persistence": "sic"}, "label", ["split"])
+
+
 @query("ablation")
 def ablation(spark, sf):
     """Persistence, one feature and all features on the same sample."""

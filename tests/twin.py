@@ -62,6 +62,12 @@ def compare(df, con, sql: str) -> str | None:
         theirs_k = {kind(r[order[i]]) for r in theirs_raw} - {"null"}
         if kinds[i] != theirs_k:
             return f"types of {n}: {kinds[i]} vs {theirs_k}"
+    widths = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "DATE": "date", "BOOLEAN": "boolean",
+              "TIMESTAMP": "timestamp"}
+    declared = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    wrong = [(n, d, declared[n]) for n, d in df.dtypes if widths.get(declared[n]) != d.replace("timestamp_ntz", "timestamp")]
+    if wrong:
+        return f"declared types differ: {wrong}"
     return None if rows else "both sides are empty"
 
 
