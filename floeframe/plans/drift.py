@@ -44,8 +44,8 @@ define("env_steps", f"SELECT * FROM vel WHERE {_ENV}", ["vel"])
 define("physics", _scored("env_steps", *_physics("0.02", "0.0")), ["env_steps"])
 define("pop", f"""SELECT *, displacement_m > 0 AS moved FROM physics
     WHERE elapsed_days = 1 AND {_QUALITY} = 'observed_to_observed'""", ["physics"])
-define("cuts", """SELECT min(prev_day) FILTER (WHERE rn = CAST(floor(n * 0.6) AS BIGINT) + 1) AS d_train,
-    min(prev_day) FILTER (WHERE rn = CAST(floor(n * 0.8) AS BIGINT) + 1) AS d_val
+define("cuts", """SELECT min(prev_day) FILTER (WHERE rn = CAST(floor(n * 0.6::DOUBLE) AS BIGINT) + 1) AS d_train,
+    min(prev_day) FILTER (WHERE rn = CAST(floor(n * 0.8::DOUBLE) AS BIGINT) + 1) AS d_val
     FROM (SELECT prev_day, row_number() OVER (ORDER BY prev_day) AS rn, count(*) OVER () AS n FROM pop WHERE moved)""", ["pop"])
 define("split_pop", """SELECT pop.*, CASE WHEN prev_day < d_train THEN 'train' WHEN prev_day < d_val THEN 'validation'
     ELSE 'test' END AS split FROM pop, cuts""", ["pop", "cuts"])
@@ -120,7 +120,7 @@ define("fit_rows", f"""SELECT *, row_number() OVER (ORDER BY prev_day, iceberg_i
     FROM pop""", ["pop"])
 
 
-@query("fit_split", using("fit_rows", """SELECT rn <= CAST(floor(n * 0.7) AS BIGINT) AS fit, count(*) AS rows,
+@query("fit_split", using("fit_rows", """SELECT rn <= CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS fit, count(*) AS rows,
     min(prev_day) AS first_day, max(prev_day) AS last_day, round(avg(err_km), 6) AS mean_km FROM fit_rows GROUP BY 1"""))
 def fit_split(spark, sf):
     rows = op.earliest_fraction(op.with_physics(op.population(_steps(spark, sf))))
@@ -137,11 +137,10 @@ def split_snap(spark, sf):
 
 
 _TRY_E, _TRY_N = _physics("windage", "turn")
-_TRY = _scored("(SELECT g.*, f.* FROM fit_rows f, grid g WHERE f.rn <= CAST(floor(f.n * 0.7) AS BIGINT))", _TRY_E, _TRY_N)
 define("grid", """SELECT i * 13 + j AS ord, round(i * 0.1 / 40, 6)::DOUBLE AS windage, (-90 + j * 15)::DOUBLE AS turn
     FROM range(41) a(i), range(13) b(j)""")
 define("fit_only", """SELECT lat0, lon0, lat1, lon1, elapsed_s, displacement_m, wind_u, wind_v, cur_u, cur_v FROM fit_rows
-    WHERE rn <= CAST(floor(n * 0.7) AS BIGINT)""", ["fit_rows"])
+    WHERE rn <= CAST(floor(n * 0.7::DOUBLE) AS BIGINT)""", ["fit_rows"])
 define("sweep", "SELECT ord, windage, turn, round(avg(err_km), 6) AS mean_km FROM ("
        + _scored("(SELECT f.*, g.* FROM fit_only f, grid g)", _TRY_E, _TRY_N) + ") GROUP BY ALL", ["fit_only", "grid"])
 
@@ -175,7 +174,7 @@ def calibration_best(spark, sf):
 
 define("chosen", "SELECT windage AS w1, turn AS t1 FROM fine_sweep ORDER BY mean_km, ord LIMIT 1", ["fine_sweep"])
 define("held", """SELECT lat0, lon0, lat1, lon1, elapsed_s, displacement_m, wind_u, wind_v, cur_u, cur_v, w1, t1
-    FROM fit_rows, chosen WHERE rn > CAST(floor(n * 0.7) AS BIGINT)""", ["fit_rows", "chosen"])
+    FROM fit_rows, chosen WHERE rn > CAST(floor(n * 0.7::DOUBLE) AS BIGINT)""", ["fit_rows", "chosen"])
 
 
 @query("calibration_effect", using("held", f"""SELECT 'configured' AS setting, count(*) AS n, round(avg(err_km), 6) AS mean_km
