@@ -87,8 +87,11 @@ def split_counts(spark, sf):
     round(sum(target_sic), 2) AS target_sum FROM pairs
     WHERE base_day BETWEEN DATE '2025-03-01' AND DATE '2025-03-31' GROUP BY base_day"""))
 def cells_scan(spark, sf):
-    """Only the paired days of one month are opened: base and target days."""
-    cells = t.ice_cells(spark, sf).where(F.col("day").between("2025-03-01", "2025-04-01"))
+    """Only the base days of one month and their target days are opened in a stored archive."""
+    from ..sources.sinks import read_days, scratch_path, write_cells
+    path = scratch_path(spark, "cells")
+    write_cells(t.ice_cells(spark, sf), path)
+    cells = read_days(spark, path, "2025-03-01", "2025-04-01")
     return (op.lead_pairs(cells).groupBy("base_day")
             .agg(F.count(F.lit(1)).alias("pairs"), F.count("sic").alias("with_base"),
                  F.round(F.sum("target_sic"), 2).alias("target_sum"))

@@ -28,6 +28,19 @@ def write_partitioned(df: DataFrame, path: str, partition_by: list[str]) -> None
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_cells(df: DataFrame, path: str) -> None:
+    """Daily cells partitioned by month; days inside a month are pruned by Parquet statistics."""
+    write_partitioned(df.withColumn("month", F.trunc("day", "month")), path, ["month"])
+
+
+def read_days(spark, path: str, first: str, last: str) -> DataFrame:
+    """Cells of a day range; the month filter keeps every other partition closed."""
+    low, high = (F.lit(d).cast("date") for d in (first, last))
+    return (spark.read.parquet(path)
+            .where(F.col("month").between(F.trunc(low, "month"), F.trunc(high, "month")) & F.col("day").between(low, high))
+            .drop("month"))
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     write_partitioned(df, path, ["start_date"])
 
