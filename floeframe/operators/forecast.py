@@ -29,10 +29,8 @@ def lead_pairs(cells: DataFrame, lead: int = 1, keys=("r", "c"), fields=("sic",)
     """
     number = F.unix_date("day")
     w = Window.partitionBy(*keys).orderBy(number).rangeBetween(lead, lead)
-    out = cells
-    for f in fields:
-        out = out.withColumn(f"target_{f}", F.first(f).over(w))
-    return (out.withColumn("target_day", F.first("day").over(w))
+    ahead = [F.first(f).over(w).alias(f"target_{f}") for f in fields]
+    return (cells.select("*", *ahead, F.first("day").over(w).alias("target_day"))      # one Window pass
             .where(F.col("target_day").isNotNull())
             .withColumnRenamed("day", "base_day"))
 

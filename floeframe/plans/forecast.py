@@ -204,12 +204,8 @@ def usable_days(spark, sf):
      WHERE k > 1) AS shared_keys
     FROM (SELECT *, {_SPLIT.format('base_day')} AS split, {_SPLIT.format('target_day')} AS tsplit FROM pairs)"""))
 def leakage_audit(spark, sf):
-    return op_leakage(op.lead_pairs(t.ice_cells(spark, sf)))
-
-
-def op_leakage(pairs):
-    from ..operators.models import leakage_audit as audit
-    return audit(pairs)
+    from ..operators import models
+    return models.leakage_audit(op.lead_pairs(t.ice_cells(spark, sf)))
 
 
 @query("field_equal", using("ice_cells", """SELECT 'stored' AS side, count(*) AS cells,
