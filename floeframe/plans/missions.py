@@ -9,7 +9,6 @@ from ..operators import missions as op
 from ..operators import paths
 from ..sources import tables as t
 from . import cost as cq
-from . import routes as rq
 from .registry import query
 from .sql import define, using
 
