@@ -177,23 +177,29 @@ class Items:
         return [(n, *b) for n, b in sorted(best.items())]
 
 
-MATCH = "doc_id long, item_id long, similarity double, start_word int, end_word int, start_char int, end_char int"
+MATCH = "doc_id long, text_hash long, item_id long, similarity double, start_word int, end_word int, start_char int, end_char int"
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document and benchmark item in it: best window, as words and as characters."""
+    """One row per document and benchmark item in it: best window, as words and as characters, and xxhash64 of the text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("_item")).where(F.col("_item").isNotNull()).distinct()
     chars = items.agg(F.coalesce(F.sum(F.char_length("_item")), F.lit(0))).first()[0]
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     out = None
     for b in range(blocks):        # each block of about BLOCK_CHARS characters against all documents
         rows = items.where(F.pmod(F.xxhash64("item_id", "_item"), F.lit(blocks)) == b).orderBy("item_id", "_item").collect()
         got = texts.mapInPandas(_finder(spark.sparkContext.broadcast([(r["item_id"], r["_item"]) for r in rows])), MATCH)
         out = got if out is None else out.unionByName(got)
-    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("similarity", "start_word", "end_word", "start_char", "end_char"),
-                                                        F.struct("similarity", -F.col("start_word"))).alias("m")).select("doc_id", "item_id", "m.*")
+    return out.groupBy("doc_id", "text_hash", "item_id").agg(F.max_by(F.struct("similarity", "start_word", "end_word", "start_char", "end_char"),
+                                                        F.struct("similarity", -F.col("start_word"))).alias("m")).select("doc_id", "text_hash", "item_id", "m.*")
+
+
+def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the documents that contain a benchmark item."""
+    hit = find(docs, benchmark, text).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left_anti")
 
 
 def _finder(shared):
@@ -201,11 +207,11 @@ def _finder(shared):
         index = Items(shared.value)
         for f in frames:
             rows = []
-            for doc_id, text in zip(f["doc_id"], f["text"]):
+            for doc_id, th, text in zip(f["doc_id"], f["text_hash"], f["text"]):
                 found = index.matches(words_of(text))
                 if found:
                     at = [m.span() for m in WORD.finditer(text)]
-                    rows += [(doc_id, index.ids[n], sim, s, e, at[s][0], at[e - 1][1]) for n, sim, s, e in found]
-            out = pd.DataFrame(rows, columns=["doc_id", "item_id", "similarity", "start_word", "end_word", "start_char", "end_char"])
+                    rows += [(doc_id, th, index.ids[n], sim, s, e, at[s][0], at[e - 1][1]) for n, sim, s, e in found]
+            out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "item_id", "similarity", "start_word", "end_word", "start_char", "end_char"])
             yield out.astype({"similarity": "float64"})
     return run

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html_text, language, line_dedup, packing, quality, secret_scan
+from . import chat, decontaminate, exact_dedup, html_text, language, line_dedup, ngram_join, packing, quality, secret_scan
 from .common import Scratch, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_line_dedup")
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_ngram_join")
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
