@@ -11,10 +11,13 @@ the connected components of all links, one row per document.
    smaller set has ``n - ceil(2 num n / (num + den)) + l`` grams and that of the larger ``n - ceil(num n / den) + l``.
    Each document takes the ``l`` (1 to ``MOST``) with the least estimated cost: postings read, and candidates that can
    have ``l`` matches, from the grams' document counts. A pair needs as many shared prefix grams as the smaller ``l``.
-4. Candidates are verified on their whole texts. Only components are wanted, so each gram's documents are first compared
-   with its most central one, and afterwards only pairs that are still in different components are formed. A group of near
-   copies therefore costs about one comparison for each member and gram, while every candidate pair is either verified or
-   already connected, so no link between different texts is lost.
+4. Candidates are verified on their whole texts. Only components are wanted, so all documents with a prefix gram are first
+   compared with the most central one of them, the gram's centre. Let D(x) be the grams in which x and a centre differ. If x and
+   y link and do not both link to the centre, then D(x) and D(y) have a gram in common, and one of the first
+   ``(den - num) n / num + 1`` in any fixed order (here: what the centre lacks before what it has). So the documents of one centre
+   are dealt out once more by those differences, and only those that still share a key and lie in different components
+   are paired; where that would be many pairs the step is repeated with the keys in the place of the grams. Pairs with
+   enough shared prefix grams are verified. Every candidate is verified or already connected: no link is lost.
 
 Edge cases: null or wordless texts have an empty set and are components of their own; texts with fewer words than a gram are one
 gram; a null id belongs to the component of its class and never names one (the component is null if all ids are); rows
@@ -37,6 +40,8 @@ from .common import Scratch
 MOST = 4             # the longest prefix extension
 SPARE = 1.5          # share of the hash range that is ordered by rarity, in longest prefixes
 VERIFY = 8.0         # cost of verifying a candidate, in postings read
+DEEPEST = 3          # rounds of comparing with centres at most; what is left then is paired, however much it is
+EASY = 4             # pairs for each key row from which another round is worth its cost
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -84,7 +89,7 @@ def prefix_lengths(n: int, l: int, num: int, den: int) -> tuple[int, int]:  # no
 
 
 def choose(n: int, tier: int, shared: list[tuple[int, int, int]], num: int, den: int) -> tuple[int, list[tuple[int, bool]]]:
-    """The cheapest l, and its prefix as (gram, in the short prefix too).
+    """The cheapest l, and its prefix in order, as (gram, in the short prefix too).
 
     ``shared`` holds (place in hash order, gram, documents) of the grams that other documents have too; ``tier`` grams
     of the set are ordered by rarity.
@@ -130,18 +135,20 @@ def _sets(size: int, num: int, den: int):
     return run
 
 
-def _postings(num: int, den: int):
+HEADS = "node long, n int, l int, rare double, short array<long>, long array<long>"
+
+
+def _heads(num: int, den: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out: dict[str, list] = {k: [] for k in ("gram", "node", "n", "l", "short", "rare")}
+            rows = []
             for node, n, tier, shared in zip(f["node"], f["n"], f["tier"], f["shared"]):
                 grams = [(s["i"], s["gram"], s["docs"]) for s in shared]
                 l, head = choose(n, tier, grams, num, den)  # noqa: E741
-                alone = 1.0 - sum(1 for i, _, _ in grams if i < tier) / max(1, tier)
-                for g, short in head:
-                    for k, v in zip(out, (g, node, n, l, short, alone)):
-                        out[k].append(v)
-            yield pd.DataFrame(out).astype({"gram": "int64", "node": "int64", "n": "int32", "l": "int32", "short": bool, "rare": "float64"})
+                if head:
+                    alone = 1.0 - sum(1 for i, _, _ in grams if i < tier) / max(1, tier)
+                    rows.append((node, n, l, alone, [g for g, short in head if short], [g for g, _ in head]))
+            yield pd.DataFrame(rows, columns=["node", "n", "l", "rare", "short", "long"]).astype({"node": "int64", "n": "int32", "l": "int32", "rare": "float64"})
     return run
 
 
@@ -151,24 +158,37 @@ def _squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": f["node"], "body": [pack.compress(t.encode("utf-8", "replace")) for t in f["text"]]})
 
 
-def _verify(size: int, num: int, den: int):
+MEASURED = "a long, b long, linked boolean, apart array<long>"
+
+
+def _measure(size: int, num: int, den: int, differences: bool):
+    """Whether a and b link and, if asked for, the first grams in which a differs from b, as hashes."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
 
         def grams(body: bytes) -> set[bytes]:
             return gram_set(unpack.decompress(body).lower().split(), size)
 
+        def hashes(of: set[bytes]) -> list[int]:
+            return sorted(map(xxhash.xxh64_intdigest, of))
+
         last, kept = None, set()
         for f in frames:
-            hits = []
+            rows = []
             for a, b, mine, theirs in zip(f["a"], f["b"], f["body_a"], f["body_b"]):
                 if theirs != last:                  # rows come sorted by b, so its set is made once
                     last, kept = theirs, grams(theirs)
                 other = grams(mine)
                 both = len(other & kept)
-                if den * both >= num * (len(other) + len(kept) - both):
-                    hits.append((a, b))
-            yield pd.DataFrame(hits, columns=["a", "b"], dtype="int64")
+                linked = den * both >= num * (len(other) + len(kept) - both)
+                apart = []
+                if differences:
+                    most = (den - num) * len(other) // num + 1
+                    apart = hashes(other - kept)[:most]
+                    if len(apart) < most:
+                        apart += hashes(kept - other)[:most - len(apart)]
+                rows.append((a, b, linked, np.array(apart, dtype=np.uint64).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["a", "b", "linked", "apart"]).astype({"a": "int64", "b": "int64", "linked": bool})
     return run
 
 
@@ -203,42 +223,58 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     counted = held.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     shared = (held.join(counted, "gram").groupBy("node", "n", "tier")
               .agg(F.collect_list(F.struct("i", "gram", F.col("docs").cast("int").alias("docs"))).alias("shared")))
-    posts = scratch.store(shared.mapInPandas(_postings(num, den), "gram long, node long, n int, l int, short boolean, rare double"), "postings")
-
+    heads = scratch.store(shared.mapInPandas(_heads(num, den), HEADS), "heads")
+    placed = heads.select("node", "rare", F.explode("long").alias("key"), F.array_contains("short", F.col("key")).alias("short"))
     # a gram matters where two documents hold it, one of them in its short prefix
-    live = (posts.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("any_short"), F.min(F.struct("rare", "node", "n")).alias("lead"))
-            .where("c > 1 and any_short").select("gram", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")))
-    posts = scratch.store(posts.drop("rare").join(live, "gram"), "live")
-    needed = posts.select("node").distinct()
+    live = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("any_short")).where("c > 1 and any_short").select("key")
+    buckets = scratch.store(placed.drop("short").join(live, "key"), "buckets")
+    needed = buckets.select("node").distinct()
     bodies = scratch.store(texts.where(F.col("text").isNotNull() & F.col("did").isNotNull()).select(F.col("did").alias("node"), "text")
                            .mapInPandas(_squeeze, "node long, body binary").join(needed, "node"), "bodies")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def measured(pairs: DataFrame, differences: bool) -> DataFrame:
         full = (pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
                 .join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b"))
-        return full.select("a", "b", "body_a", "body_b").mapInPandas(_verify(size, num, den), "a long, b long")
-
-    fits = den * F.least("n", "lead_n") >= num * F.greatest("n", "lead_n")
-    stars = posts.where((F.col("node") != F.col("lead")) & fits).select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
-    links = scratch.store(verified(stars), "links")
-    comps = components(links, scratch)
-
-    # what is still apart: documents outside the component of their gram's centre, against all that hold the gram
-    placed = scratch.store(posts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-                           .join(comps.select(F.col("node").alias("lead"), F.col("comp").alias("main")), "lead", "left")
-                           .withColumn("main", F.coalesce("main", "lead")), "placed")
-    outside = placed.where(F.col("comp") != F.col("main"))
-    x, y = outside.alias("x"), placed.alias("y")
-    x_first = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    roles = F.when(F.col("x.n") == F.col("y.n"), F.col("x.short") & F.col("y.short")).when(x_first, F.col("x.short")).otherwise(F.col("y.short"))
+        return full.select("a", "b", "body_a", "body_b").mapInPandas(_measure(size, num, den, differences), MEASURED)
+
+    links, comps = None, None
+    for depth in range(DEEPEST):
+        centres = buckets.groupBy("key").agg(F.min(F.struct("rare", "node")).alias("c")).select("key", F.col("c.node").alias("b"))
+        stars = (buckets.join(centres, "key").where(F.col("node") != F.col("b"))
+                 .select(F.col("node").alias("a"), "b", "rare").dropDuplicates(["a", "b"]))
+        compared = scratch.store(measured(stars.select("a", "b"), True).join(stars, ["a", "b"]), "compared")
+        new = compared.where("linked").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        comps = components(links, scratch)
+        # the documents of one centre, dealt out by what sets them apart from it
+        apart = (compared.select(F.explode("apart").alias("x"), "b", F.col("a").alias("node"), "rare")
+                 .select(F.xxhash64("b", "x").alias("key"), "node", "rare").join(comps, "node", "left")
+                 .withColumn("comp", F.coalesce("comp", "node")))
+        mixed = apart.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+        scratch.drop(buckets)
+        buckets = scratch.store(apart.join(mixed, "key"), "buckets")
+        inside = buckets.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        per_key = inside.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+        rows, pairs = per_key.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2), F.lit(0))).first()
+        if pairs <= EASY * rows:
+            break
+
+    # what shares a key and is still apart: all but a key's largest component, against all that have the key
+    main = inside.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
+    sized = buckets.select("key", "node", "comp").join(main, "key").join(heads.select("node", "n"), "node")
+    sized = scratch.store(sized, "sized")
+    x, y = sized.where(F.col("comp") != F.col("main")).alias("x"), sized.alias("y")
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     sizes = den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
-    rest = (x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.comp") != F.col("y.comp")) & roles & once & sizes)
-            .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min(F.least("x.l", "y.l")).alias("l"))
-            .where("m >= l").select("a", "b"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.store(verified(rest), "links")
-    scratch.drop(placed, posts, bodies)
+    pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & sizes)
+             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    mine = heads.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("short").alias("sa"), F.col("long").alias("ga"))
+    theirs = heads.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("short").alias("sb"), F.col("long").alias("gb"))
+    common = F.size(F.array_intersect(F.when(F.col("na") <= F.col("nb"), F.col("sa")).otherwise(F.col("ga")),
+                                      F.when(F.col("nb") <= F.col("na"), F.col("sb")).otherwise(F.col("gb"))))
+    rest = pairs.join(mine, "a").join(theirs, "b").where(common >= F.least("la", "lb")).select("a", "b")
+    more = scratch.store(measured(rest, False).where("linked").select("a", "b"), "links")
+    scratch.drop(buckets, sized, bodies)
     if more.limit(1).count():
         comps = components(links.unionByName(more), scratch)
     named = classes.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
