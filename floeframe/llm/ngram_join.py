@@ -12,12 +12,14 @@ the connected components of all links, one row per document.
    Each document takes the ``l`` (1 to ``MOST``) with the least estimated cost: postings read, and candidates that can
    have ``l`` matches, from the grams' document counts. A pair needs as many shared prefix grams as the smaller ``l``.
 4. Candidates are verified on their whole texts. Only components are wanted, so all documents with a prefix gram are first
-   compared with the most central one of them, the gram's centre. Let D(x) be the grams in which x and a centre differ. If x and
-   y link and do not both link to the centre, then D(x) and D(y) have a gram in common, and one of the first
-   ``(den - num) n / num + 1`` in any fixed order (here: what the centre lacks before what it has). So the documents of one centre
-   are dealt out once more by those differences, and only those that still share a key and lie in different components
-   are paired; where that would be many pairs the step is repeated with the keys in the place of the grams. Pairs with
-   enough shared prefix grams are verified. Every candidate is verified or already connected: no link is lost.
+   compared with one of them, the centre: the one with the fewest grams of its own, and for larger groups then once more
+   with the one closest to what most of the group has. Let D(x) be the grams in which x and its centre differ. If x and y
+   link and do not both link to the centre, then D(x) and D(y) share at least ``(|D(x)| + |D(y)| - k) / 2`` grams and at least
+   one, where k is the largest difference of linking sets of their sizes. So they share one of the first
+   ``(den - num) n / num + 1`` grams of D in any common order, with enough grams left after it. The order here puts what
+   sets the centre apart from most of its group last, and the rest by class of hash and then the rarest first. Only
+   pairs that have such a gram, lie in different components and share enough prefix grams are verified.
+   Every candidate is verified or already connected: no link is lost.
 
 Edge cases: null or wordless texts have an empty set and are components of their own; texts with fewer words than a gram are one
 gram; a null id belongs to the component of its class and never names one (the component is null if all ids are); rows
@@ -32,7 +34,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -40,8 +42,8 @@ from .common import Scratch
 MOST = 4             # the longest prefix extension
 SPARE = 1.5          # share of the hash range that is ordered by rarity, in longest prefixes
 VERIFY = 8.0         # cost of verifying a candidate, in postings read
-DEEPEST = 3          # rounds of comparing with centres at most; what is left then is paired, however much it is
-EASY = 4             # pairs for each key row from which another round is worth its cost
+GROUP = 8            # documents of one centre from which a second centre is looked for
+CLASSES = np.array([2 ** (64 - i) for i in range(10, 0, -1)], dtype=np.uint64)      # upper ends of hash classes
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -158,37 +160,44 @@ def _squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": f["node"], "body": [pack.compress(t.encode("utf-8", "replace")) for t in f["text"]]})
 
 
-MEASURED = "a long, b long, linked boolean, apart array<long>"
+MEASURED = "g long, a long, b long, linked boolean, n int, size int, apart array<struct<t:int,h:long>>"
 
 
 def _measure(size: int, num: int, den: int, differences: bool):
-    """Whether a and b link and, if asked for, the first grams in which a differs from b, as hashes."""
+    """Whether a and b link; the number of grams in which they differ, and of these as hashes what a's key may need.
+
+    Hashes come in classes of halving share of the range, the smallest class first; whole classes are given until there
+    are half as many again as the longest prefix has. Those ``aside`` come after all others.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
 
         def grams(body: bytes) -> set[bytes]:
             return gram_set(unpack.decompress(body).lower().split(), size)
 
-        def hashes(of: set[bytes]) -> list[int]:
-            return sorted(map(xxhash.xxh64_intdigest, of))
+        def first(apart: set[bytes], most: int, aside: np.ndarray) -> list[dict]:
+            h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, apart), dtype=np.uint64, count=len(apart)))
+            t = np.searchsorted(CLASSES, h, side="right")
+            late = np.isin(h.view(np.int64), aside)
+            t[late] += len(CLASSES) + 1
+            if np.count_nonzero(~late) > most:
+                take = t <= t[~late][most - 1]
+                h, t = h[take], t[take]
+            return [{"t": x, "h": y} for x, y in zip(t.tolist(), h.view(np.int64).tolist())]
 
         last, kept = None, set()
         for f in frames:
             rows = []
-            for a, b, mine, theirs in zip(f["a"], f["b"], f["body_a"], f["body_b"]):
+            for g, a, b, mine, theirs, aside in zip(f["g"], f["a"], f["b"], f["body_a"], f["body_b"], f["aside"]):
                 if theirs != last:                  # rows come sorted by b, so its set is made once
                     last, kept = theirs, grams(theirs)
                 other = grams(mine)
                 both = len(other & kept)
                 linked = den * both >= num * (len(other) + len(kept) - both)
-                apart = []
-                if differences:
-                    most = (den - num) * len(other) // num + 1
-                    apart = hashes(other - kept)[:most]
-                    if len(apart) < most:
-                        apart += hashes(kept - other)[:most - len(apart)]
-                rows.append((a, b, linked, np.array(apart, dtype=np.uint64).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["a", "b", "linked", "apart"]).astype({"a": "int64", "b": "int64", "linked": bool})
+                apart = first(other ^ kept, 3 * ((den - num) * len(other) // num + 1) // 2, aside) if differences else []
+                rows.append((g, a, b, linked, len(other), len(other) + len(kept) - 2 * both, apart))
+            yield (pd.DataFrame(rows, columns=["g", "a", "b", "linked", "n", "size", "apart"])
+                   .astype({"g": "int64", "a": "int64", "b": "int64", "linked": bool, "n": "int32", "size": "int32"}))
     return run
 
 
@@ -235,46 +244,64 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     def measured(pairs: DataFrame, differences: bool) -> DataFrame:
         full = (pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
                 .join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b"))
-        return full.select("a", "b", "body_a", "body_b").mapInPandas(_measure(size, num, den, differences), MEASURED)
-
-    links, comps = None, None
-    for depth in range(DEEPEST):
-        centres = buckets.groupBy("key").agg(F.min(F.struct("rare", "node")).alias("c")).select("key", F.col("c.node").alias("b"))
-        stars = (buckets.join(centres, "key").where(F.col("node") != F.col("b"))
-                 .select(F.col("node").alias("a"), "b", "rare").dropDuplicates(["a", "b"]))
-        compared = scratch.store(measured(stars.select("a", "b"), True).join(stars, ["a", "b"]), "compared")
-        new = compared.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        comps = components(links, scratch)
-        # the documents of one centre, dealt out by what sets them apart from it
-        apart = (compared.select(F.explode("apart").alias("x"), "b", F.col("a").alias("node"), "rare")
-                 .select(F.xxhash64("b", "x").alias("key"), "node", "rare").join(comps, "node", "left")
-                 .withColumn("comp", F.coalesce("comp", "node")))
-        mixed = apart.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        scratch.drop(buckets)
-        buckets = scratch.store(apart.join(mixed, "key"), "buckets")
-        inside = buckets.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        per_key = inside.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-        rows, pairs = per_key.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2), F.lit(0))).first()
-        if pairs <= EASY * rows:
-            break
+        return full.select("g", "a", "b", "body_a", "body_b", "aside").mapInPandas(_measure(size, num, den, differences), MEASURED)
+
+    nothing = F.array().cast("array<bigint>")
+
+    def differing(compared: DataFrame) -> DataFrame:
+        """Rows (g, node, n, size, t, h, key, docs): what sets the documents of a group g apart, and how many share it."""
+        rows = (compared.select("g", F.col("a").alias("node"), "n", "size", F.inline("apart"))
+                .withColumn("key", F.xxhash64("g", "h")))
+        return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("docs")), "key")
+
+    # a group is named after its first centre
+    centres = buckets.groupBy("key").agg(F.min(F.struct("rare", "node")).alias("c")).select("key", F.col("c.node").alias("b"))
+    stars = buckets.join(centres, "key").where("node <> b").select(F.col("b").alias("g"), F.col("node").alias("a"), "b").distinct()
+    once = scratch.store(measured(stars.withColumn("aside", nothing), True), "compared")
+    # larger groups: the document that has most of what is common among the differences, and least else, is the better centre
+    members = once.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= GROUP)
+    spread = scratch.store(differing(once).join(members, "g").select("g", "node", "h", (F.col("docs") * 2 > F.col("m")).alias("common")), "spread")
+    usual = spread.where("common").groupBy("g").agg(F.collect_set("h").alias("usual"))      # as many as a set has differences
+    off = (spread.groupBy("g", "node").agg(F.sum(F.when(F.col("common"), -1).otherwise(1)).alias("off")).join(usual, "g", "left")
+           .select("g", "node", (F.col("off") + F.coalesce(F.size("usual"), F.lit(0))).alias("off"))
+           .unionByName(members.join(usual, "g", "left").select("g", F.col("g").alias("node"), F.coalesce(F.size("usual"), F.lit(0)).cast("long").alias("off"))))
+    better = off.groupBy("g").agg(F.min(F.struct("off", "node")).alias("c")).select("g", F.col("c.node").alias("to"))
+    own = (better.join(spread.withColumnRenamed("node", "to"), ["g", "to"]).groupBy("g").agg(F.collect_set("h").alias("own")))
+    better = (better.join(usual, "g", "left").join(own, "g", "left")
+              .withColumn("usual", F.coalesce("usual", nothing)).withColumn("own", F.coalesce("own", nothing))
+              .select("g", F.col("to").alias("b"), F.concat(F.array_except("usual", "own"), F.array_except("own", "usual")).alias("aside")))
+    better = scratch.store(better, "better")
+    stars = once.select("g", "a").unionByName(members.select("g", F.col("g").alias("a"))).join(better, "g").where("a <> b")
+    again = scratch.store(measured(stars.select("g", "a", "b", "aside"), True), "compared")
+    links = once.unionByName(again).where("linked").select("a", "b")
+    comps = components(links, scratch)
+
+    # every group by the centre it ended with; the documents are dealt out by what sets them apart from it
+    final = once.join(members, "g", "left_anti").unionByName(again)
+    at = Window.partitionBy("g", "node").orderBy("t", "docs", "h")
+    keyed = (differing(final).withColumn("at", F.row_number().over(at) - 1)
+             .where((F.col("docs") > 1) & (F.col("at") <= F.expr(f"({den} - {num}) * n div {num}")))
+             .select("key", "node", "n", "size", "at").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    inside = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = (inside.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+             .where("comps > 1").drop("comps"))
+    keyed = scratch.store(keyed.join(mixed, "key"), "keyed")
 
     # what shares a key and is still apart: all but a key's largest component, against all that have the key
-    main = inside.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-    sized = buckets.select("key", "node", "comp").join(main, "key").join(heads.select("node", "n"), "node")
-    sized = scratch.store(sized, "sized")
-    x, y = sized.where(F.col("comp") != F.col("main")).alias("x"), sized.alias("y")
-    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    x, y = keyed.where(F.col("comp") != F.col("main")).alias("x"), keyed.alias("y")
+    single = (F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     sizes = den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
-    pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & once & sizes)
+    enough = F.expr(f"2 * least(x.size - x.at, y.size - y.at) >= x.size + y.size - ({den} - {num}) * (x.n + y.n) div ({den} + {num})")
+    pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & single & sizes & enough)
              .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     mine = heads.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("short").alias("sa"), F.col("long").alias("ga"))
     theirs = heads.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("short").alias("sb"), F.col("long").alias("gb"))
     common = F.size(F.array_intersect(F.when(F.col("na") <= F.col("nb"), F.col("sa")).otherwise(F.col("ga")),
                                       F.when(F.col("nb") <= F.col("na"), F.col("sb")).otherwise(F.col("gb"))))
     rest = pairs.join(mine, "a").join(theirs, "b").where(common >= F.least("la", "lb")).select("a", "b")
+    rest = rest.select(F.lit(0).cast("long").alias("g"), "a", "b", nothing.alias("aside"))
     more = scratch.store(measured(rest, False).where("linked").select("a", "b"), "links")
-    scratch.drop(buckets, sized, bodies)
+    scratch.drop(buckets, spread, keyed, bodies)
     if more.limit(1).count():
         comps = components(links.unionByName(more), scratch)
     named = classes.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
