@@ -160,7 +160,7 @@ def _squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": f["node"], "body": [pack.compress(t.encode("utf-8", "replace")) for t in f["text"]]})
 
 
-MEASURED = "g long, a long, b long, linked boolean, n int, size int, apart array<struct<t:int,h:long>>"
+MEASURED = "g long, a long, b long, linked boolean, n int, size int, apart array<struct<t:int,h:long,below:int,wide:int>>"
 
 
 def _measure(size: int, num: int, den: int, differences: bool):
@@ -183,7 +183,9 @@ def _measure(size: int, num: int, den: int, differences: bool):
             if np.count_nonzero(~late) > most:
                 take = t <= t[~late][most - 1]
                 h, t = h[take], t[take]
-            return [{"t": x, "h": y} for x, y in zip(t.tolist(), h.view(np.int64).tolist())]
+            below = np.searchsorted(in_order := np.sort(t), t)           # how many are in earlier classes, and in this one
+            wide = np.searchsorted(in_order, t, side="right") - below
+            return [dict(zip(("t", "h", "below", "wide"), x)) for x in zip(t.tolist(), h.view(np.int64).tolist(), below.tolist(), wide.tolist())]
 
         last, kept = None, set()
         for f in frames:
@@ -248,11 +250,9 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
 
     nothing = F.array().cast("array<bigint>")
 
-    def differing(compared: DataFrame) -> DataFrame:
-        """Rows (g, node, n, size, t, h, key, docs): what sets the documents of a group g apart, and how many share it."""
-        rows = (compared.select("g", F.col("a").alias("node"), "n", "size", F.inline("apart"))
-                .withColumn("key", F.xxhash64("g", "h")))
-        return rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("docs")), "key")
+    def counted_keys(rows: DataFrame) -> DataFrame:
+        """How many documents of a group share what sets them apart, where it is more than one."""
+        return rows.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
 
     # a group is named after its first centre
     centres = buckets.groupBy("key").agg(F.min(F.struct("rare", "node")).alias("c")).select("key", F.col("c.node").alias("b"))
@@ -260,7 +260,8 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     once = scratch.store(measured(stars.withColumn("aside", nothing), True), "compared")
     # larger groups: the document that has most of what is common among the differences, and least else, is the better centre
     members = once.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= GROUP)
-    spread = scratch.store(differing(once).join(members, "g").select("g", "node", "h", (F.col("docs") * 2 > F.col("m")).alias("common")), "spread")
+    rows = once.join(members, "g").select("g", F.col("a").alias("node"), "m", F.inline("apart")).withColumn("key", F.xxhash64("g", "h"))
+    spread = scratch.store(rows.join(counted_keys(rows), "key", "left").select("g", "node", "h", (F.coalesce("docs", F.lit(1)) * 2 > F.col("m")).alias("common")), "spread")
     usual = spread.where("common").groupBy("g").agg(F.collect_set("h").alias("usual"))      # as many as a set has differences
     off = (spread.groupBy("g", "node").agg(F.sum(F.when(F.col("common"), -1).otherwise(1)).alias("off")).join(usual, "g", "left")
            .select("g", "node", (F.col("off") + F.coalesce(F.size("usual"), F.lit(0))).alias("off"))
@@ -276,29 +277,33 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     links = once.unionByName(again).where("linked").select("a", "b")
     comps = components(links, scratch)
 
-    # every group by the centre it ended with; the documents are dealt out by what sets them apart from it
-    final = once.join(members, "g", "left_anti").unionByName(again)
-    at = Window.partitionBy("g", "node").orderBy("t", "docs", "h")
-    keyed = (differing(final).withColumn("at", F.row_number().over(at) - 1)
-             .where((F.col("docs") > 1) & (F.col("at") <= F.expr(f"({den} - {num}) * n div {num}")))
-             .select("key", "node", "n", "size", "at").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    inside = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = (inside.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+    # every group by the centre it ended with, if parts of it are still apart
+    final = (once.join(members, "g", "left_anti").unionByName(again).join(comps.withColumnRenamed("node", "a"), "a", "left")
+             .withColumn("comp", F.coalesce("comp", "a")).join(comps.select(F.col("node").alias("b"), F.col("comp").alias("hub")), "b", "left")
+             .withColumn("hub", F.coalesce("hub", "b")))
+    torn = (final.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.least("comp", "hub")).alias("low"), F.max(F.greatest("comp", "hub")).alias("high"))
+            .where("m > 1 and low < high").select("g"))
+    # the documents are dealt out by what sets them apart; places in the order count also what no other document shares
+    rows = (final.join(torn, "g").select("g", F.col("a").alias("node"), "n", "size", "comp", F.inline("apart")).withColumn("key", F.xxhash64("g", "h")))
+    inside = Window.partitionBy("g", "node", "t")
+    keyed = (rows.join(counted_keys(rows), "key")
+             .withColumn("at", F.col("below") + F.col("wide") - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("docs", "h")) - 1)
+             .where(F.col("at") <= F.expr(f"({den} - {num}) * n div {num}")).select("key", "node", "n", "size", "at", "comp"))
+    parts = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = (parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
              .where("comps > 1").drop("comps"))
-    keyed = scratch.store(keyed.join(mixed, "key"), "keyed")
+    keyed = scratch.store(keyed.join(mixed, "key").join(heads.select("node", "l", "short", "long"), "node"), "keyed")
 
     # what shares a key and is still apart: all but a key's largest component, against all that have the key
     x, y = keyed.where(F.col("comp") != F.col("main")).alias("x"), keyed.alias("y")
     single = (F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     sizes = den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
     enough = F.expr(f"2 * least(x.size - x.at, y.size - y.at) >= x.size + y.size - ({den} - {num}) * (x.n + y.n) div ({den} + {num})")
-    pairs = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & single & sizes & enough)
-             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    mine = heads.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("short").alias("sa"), F.col("long").alias("ga"))
-    theirs = heads.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("short").alias("sb"), F.col("long").alias("gb"))
-    common = F.size(F.array_intersect(F.when(F.col("na") <= F.col("nb"), F.col("sa")).otherwise(F.col("ga")),
-                                      F.when(F.col("nb") <= F.col("na"), F.col("sb")).otherwise(F.col("gb"))))
-    rest = pairs.join(mine, "a").join(theirs, "b").where(common >= F.least("la", "lb")).select("a", "b")
+    common = F.size(F.array_intersect(F.when(F.col("x.n") <= F.col("y.n"), F.col("x.short")).otherwise(F.col("x.long")),
+                                      F.when(F.col("y.n") <= F.col("x.n"), F.col("y.short")).otherwise(F.col("y.long"))))
+    match = common >= F.least("x.l", "y.l")
+    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & single & sizes & enough & match)
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     rest = rest.select(F.lit(0).cast("long").alias("g"), "a", "b", nothing.alias("aside"))
     more = scratch.store(measured(rest, False).where("linked").select("a", "b"), "links")
     scratch.drop(buckets, spread, keyed, bodies)
