@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,3 +51,6 @@ class Scratch:
             if path is not None:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        # shuffle files of finished writes go when the driver collects garbage, which it does seldom by itself
+        gc.collect()
+        jvm.System.gc()

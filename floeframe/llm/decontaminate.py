@@ -54,7 +54,7 @@ def _keys(ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    z = h + np.uint64(salt) * BASE
+    z = h + np.array([salt], dtype=np.uint64) * BASE
     z = (z ^ (z >> np.uint64(30))) * MIX[0]
     z = (z ^ (z >> np.uint64(27))) * MIX[1]
     return z ^ (z >> np.uint64(31))

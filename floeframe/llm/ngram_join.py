@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 MOST = 4             # the longest prefix extension
-SPARE = 1.5          # share of the hash range that is ordered by rarity, in longest prefixes
+SPARE = 1.1          # share of the hash range that is ordered by rarity, in longest prefixes
 VERIFY = 8.0         # cost of verifying a candidate, in postings read
 GROUP = 8            # documents of one centre from which a second centre is looked for
 CLASSES = np.array([2 ** (64 - i) for i in range(10, 0, -1)], dtype=np.uint64)      # upper ends of hash classes
@@ -229,12 +229,17 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
         F.min("did").alias("node"), F.first("n").alias("n"), F.first("tier").alias("tier"), F.first("grams").alias("grams")), "classes")
     reps = classes.where(F.col("node").isNotNull())
 
+    slim = scratch.store(sets.select("did", "n", "digest"), "slim")       # all that the result needs of it
+    scratch.drop(sets)
+
     # grams that at least two classes have, back with their documents, in the cheapest prefix for each
     held = reps.select("node", "n", "tier", F.posexplode("grams").alias("i", "gram"))
     counted = held.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     shared = (held.join(counted, "gram").groupBy("node", "n", "tier")
               .agg(F.collect_list(F.struct("i", "gram", F.col("docs").cast("int").alias("docs"))).alias("shared")))
     heads = scratch.store(shared.mapInPandas(_heads(num, den), HEADS), "heads")
+    named = scratch.store(classes.select("digest", "node"), "named")
+    scratch.drop(classes)
     placed = heads.select("node", "rare", F.explode("long").alias("key"), F.array_contains("short", F.col("key")).alias("short"))
     # a gram matters where two documents hold it, one of them in its short prefix
     live = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("any_short")).where("c > 1 and any_short").select("key")
@@ -309,6 +314,6 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     scratch.drop(buckets, spread, keyed, bodies)
     if more.limit(1).count():
         comps = components(links.unionByName(more), scratch)
-    named = classes.select("digest", "node").join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
-    out = sets.select(F.col("did").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "digest").join(named, "digest", "left")
+    named = named.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
+    out = slim.select(F.col("did").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "digest").join(named, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
