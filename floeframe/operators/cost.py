@@ -74,7 +74,7 @@ def with_icebergs(composed: DataFrame, exposure: DataFrame, buckets: DataFrame,
     An absent exposure row is zero only inside a bucket that exists; a missing
     bucket fails the job or is stamped as an omission.
     """
-    known = F.broadcast(buckets.select("bucket").distinct().withColumn("_known", F.lit(True)))
+    known = buckets.select("bucket").distinct().withColumn("_known", F.lit(True))
     out = (composed.join(exposure.select("bucket", "r", "c", "iceberg_id", "exposure"), ["bucket", "r", "c"], "left")
            .join(known, "bucket", "left"))
     gone = F.raise_error(F.lit("no exposure field for a bucket")).cast("double") if on_missing == "error" else F.lit(None).cast("double")
@@ -101,7 +101,7 @@ def objective_costs(final: DataFrame, keys: list[str], speed: float) -> DataFram
 def at_arrival(points: DataFrame, field: DataFrame, keys: list[str], bucket: Column, buckets: DataFrame,
                on_missing: str = "infinite") -> DataFrame:
     """Field values at each point's arrival bucket; a missing bucket is an error or unpriceable."""
-    known = F.broadcast(buckets.select("bucket").distinct().withColumn("_known", F.lit(True)))
+    known = buckets.select("bucket").distinct().withColumn("_known", F.lit(True))
     out = (points.withColumn("bucket", bucket).join(field, ["bucket", *keys], "left").join(known, "bucket", "left"))
     if on_missing == "error":
         lost = F.raise_error(F.lit("arrival outside every bucket")).cast("boolean")

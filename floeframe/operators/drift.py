@@ -168,14 +168,19 @@ def radius_points() -> dict[str, tuple[float, str]]:
 
 
 def calibrated_radius(rows: DataFrame, min_rows: int = 1) -> DataFrame:
-    """Quantile radii of train and validation errors with component statistics; one row."""
+    """Quantile radii of train and validation errors with component statistics; one row.
+
+    Fewer than ``min_rows`` errors fail the job: a radius is never left out without a word.
+    """
     use = rows.where(F.col("moved") & F.col("split").isin("train", "validation"))
     e, n = F.col("err_e_m") / 1000, F.col("err_n_m") / 1000
     stats = use.agg(F.count(F.lit(1)).alias("n"), F.min("prev_day").alias("date_min"), F.max("prev_day").alias("date_max"),
                     F.avg(e).alias("mean_east"), F.avg(n).alias("mean_north"), F.stddev_samp(e).alias("stdev_east"),
                     F.stddev_samp(n).alias("stdev_north"), F.corr(e, n).alias("correlation"))
     radii = exact_quantiles(use, [], "err_km", radius_points())
-    return (stats.join(F.broadcast(radii), F.lit(True)).where(F.col("n") >= min_rows)
+    short = F.format_string("only %d errors, at least " + str(min_rows) + " are needed", F.col("n"))
+    enough = F.when(F.col("n") >= min_rows, F.col("n")).otherwise(F.raise_error(short).cast("long"))
+    return (stats.withColumn("n", enough).join(F.broadcast(radii), F.lit(True))
             .withColumn("anisotropy", F.col("stdev_east") / F.nullif(F.col("stdev_north"), F.lit(0.0))))
 
 

@@ -31,14 +31,17 @@ class Lattice:
 def candidate_cells(bergs: DataFrame, grid: Lattice, scale: float = 1.25, extra: int = 3) -> DataFrame:
     """Every cell index in a generous window round each centre.
 
-    The half-widths are taken at the poleward edge of the window, where a degree
-    of longitude is shortest, so no cell inside the radius can be left out.
+    A circle of angle rho round latitude lat spans asin(sin(rho) / cos(lat)) of
+    longitude to each side, and all longitudes once it reaches a pole, so no cell
+    inside the radius can be left out.
     """
     deg_m = ex.EARTH_RADIUS_M * math.pi / 180
     radius = F.col("radius_km") * 1000.0
     half_r = F.ceil(radius * scale / (grid.dlat * deg_m)) + extra
-    edge = F.least(F.abs("lat") + half_r * grid.dlat, F.lit(89.0))
-    half_c = F.ceil(radius * scale / (grid.dlon * deg_m * F.cos(F.radians(edge)))) + extra
+    reach = F.degrees(radius * scale / ex.EARTH_RADIUS_M)
+    polar = F.abs("lat") + reach >= 90.0
+    ratio = F.sin(F.radians(reach)) / F.cos(F.radians(F.abs("lat")))
+    half_c = F.when(polar, F.lit(grid.cols)).otherwise(F.ceil(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) / grid.dlon) + extra)
     r0 = F.floor((F.col("lat") - grid.lat0) / grid.dlat)
     c0 = F.floor((F.col("lon") - grid.lon0) / grid.dlon)
     r_lo, r_hi = F.greatest(r0 - half_r, F.lit(0)), F.least(r0 + half_r, F.lit(grid.rows - 1))

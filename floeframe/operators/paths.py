@@ -14,7 +14,7 @@ from ..session import cut_lineage
 from .cost import finite
 
 NEIGHBOURS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
-MAX_ROUNDS = 100_000
+MAX_ROUNDS = 100_000             # default of ``max_rounds``: beyond it the search fails, it never stops early
 
 
 def edges(cells: DataFrame, cell_m: float, zone: str = "zone", value: str = "cost", cut_corners: bool = False) -> DataFrame:
@@ -43,7 +43,8 @@ def edges(cells: DataFrame, cell_m: float, zone: str = "zone", value: str = "cos
                                                  (dist * 0.5 * (F.col("cost_a") + F.col("cost_b"))).alias("weight"))
 
 
-def _relax(labels: DataFrame, expand, keys: list[str], best: str, carry: list[str], every: int) -> DataFrame:
+def _relax(labels: DataFrame, expand, keys: list[str], best: str, carry: list[str], every: int,
+           max_rounds: int = MAX_ROUNDS) -> DataFrame:
     """Rounds of expand + min per key until nothing improves.
 
     State lives in one table of labels with the round they last improved in.
@@ -52,7 +53,7 @@ def _relax(labels: DataFrame, expand, keys: list[str], best: str, carry: list[st
     """
     state = cut_lineage(labels.withColumn("_round", F.lit(0)))
     done = 0
-    while done < MAX_ROUNDS:
+    while done < max_rounds:
         for _ in range(every):
             done += 1
             fresh = expand(state.where(F.col("_round") == done - 1)).withColumn("_round", F.lit(done))

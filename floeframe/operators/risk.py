@@ -142,7 +142,7 @@ def rio_points(regimes: DataFrame, riv: DataFrame) -> DataFrame:
 
     ``riv`` has one row per class and ice type, a dimension of fixed size.
     """
-    joined = regimes.join(F.broadcast(riv), "ice_type", "left")
+    joined = regimes.join(riv, "ice_type", "left")
     value = required(F.col("riv"), "ice type without a risk value", "double")
     return (joined.groupBy("polygon_id", "ice_class", "category")
             .agg(F.sum("tenths").alias("tenths"), F.sum(F.col("tenths") * value).alias("_rio"))

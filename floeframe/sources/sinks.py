@@ -23,7 +23,9 @@ def scratch_table(df: DataFrame, name: str, partition_by: list[str] = ()) -> Dat
 
 
 def write_partitioned(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Parquet by partition columns; rows of one value may still span several files."""
+    """Parquet by partition columns, dealt out by them first: few files for each value, and large values are split."""
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 

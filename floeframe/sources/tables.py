@@ -175,6 +175,7 @@ def route_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = (read(spark, sf_dir, "lineitem")
               .select(F.col("l_orderkey").alias("route_id"), *_zone_cell(),
                       "l_linenumber", "l_partkey", "l_suppkey"))
-    block = F.col("l_linenumber") * 1_000_000 + F.floor(F.col("l_partkey") / 1000)
+    # one block per line number: it does not fall along the order, however large the part keys are
+    block = F.col("l_linenumber").cast("long")
     return stored(dense_sequence(points, ["route_id"], ["l_linenumber", "l_partkey", "l_suppkey"], block)
                   .select("route_id", "seq", "zone", "r", "c"))

@@ -154,3 +154,21 @@ def test_resistance_and_growth(spark):
                               ex.growth_factor(F.lit(96.0)).alias("g"), ex.growth_factor(F.lit(0.0)).alias("z"),
                               ex.growth_factor(F.lit(-1.0)).alias("n"), ex.growth_factor(F.lit(48.0), law="linear").alias("l")).first()
     assert (r["a"], r["b"], r["g"], r["z"], r["n"], r["l"]) == (3.0, None, 2.0, 0.0, None, 2.0)
+
+
+def test_no_cell_is_lost_where_a_circle_reaches_the_pole(spark):
+    """A centre at 89.6 S: the circle spans all longitudes, and brute force over the whole lattice agrees."""
+    from pyspark.sql import functions as F
+
+    from floeframe.functions import expressions as ex
+    from floeframe.operators.exposure import Lattice, cells_in_radius
+    grid = Lattice(lat0=-90.0, dlat=0.1, lon0=-180.0, dlon=1.0, rows=60, cols=360, wrap=True)
+    cells = spark.range(60 * 360).select((F.col("id") / 360).cast("int").alias("r"), (F.col("id") % 360).cast("int").alias("c")).select(
+        "r", "c", (F.col("r") * 0.1 - 90.0).alias("lat"), (F.col("c") * 1.0 - 180.0).alias("lon"))
+    for lat in (-89.6, -89.0, -86.5):
+        berg = spark.createDataFrame([("a", lat, 10.0, 100.0)], "iceberg_id string, lat double, lon double, radius_km double")
+        got = cells_in_radius(berg, cells, grid).count()
+        h = (F.pow(F.sin(F.radians(F.col("lat") - lat) / 2), 2)
+             + F.cos(F.radians("lat")) * F.cos(F.radians(F.lit(lat))) * F.pow(F.sin(F.radians(F.col("lon") - 10.0) / 2), 2))
+        far = 2 * ex.EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+        assert got == cells.where(far < 100_000.0).count()
