@@ -137,7 +137,7 @@ def _sets(size: int, num: int, den: int):
     return run
 
 
-HEADS = "node long, n int, l int, rare double, short array<long>, long array<long>"
+HEADS = "node long, n int, l int, rare double, short int, long array<long>"      # the first ``short`` of the grams are the short prefix
 
 
 def _heads(num: int, den: int):
@@ -149,8 +149,8 @@ def _heads(num: int, den: int):
                 l, head = choose(n, tier, grams, num, den)  # noqa: E741
                 if head:
                     alone = 1.0 - sum(1 for i, _, _ in grams if i < tier) / max(1, tier)
-                    rows.append((node, n, l, alone, [g for g, short in head if short], [g for g, _ in head]))
-            yield pd.DataFrame(rows, columns=["node", "n", "l", "rare", "short", "long"]).astype({"node": "int64", "n": "int32", "l": "int32", "rare": "float64"})
+                    rows.append((node, n, l, alone, sum(short for _, short in head), [g for g, _ in head]))
+            yield pd.DataFrame(rows, columns=["node", "n", "l", "rare", "short", "long"]).astype({"node": "int64", "n": "int32", "l": "int32", "rare": "float64", "short": "int32"})
     return run
 
 
@@ -240,7 +240,7 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     heads = scratch.store(shared.mapInPandas(_heads(num, den), HEADS), "heads")
     named = scratch.store(classes.select("digest", "node"), "named")
     scratch.drop(classes)
-    placed = heads.select("node", "rare", F.explode("long").alias("key"), F.array_contains("short", F.col("key")).alias("short"))
+    placed = heads.select("node", "rare", "short", F.posexplode("long").alias("at", "key")).withColumn("short", F.col("at") < F.col("short")).drop("at")
     # a gram matters where two documents hold it, one of them in its short prefix
     live = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("any_short")).where("c > 1 and any_short").select("key")
     buckets = scratch.store(placed.drop("short").join(live, "key"), "buckets")
@@ -282,30 +282,38 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     links = once.unionByName(again).where("linked").select("a", "b")
     comps = components(links, scratch)
 
-    # every group by the centre it ended with, if parts of it are still apart
-    final = (once.join(members, "g", "left_anti").unionByName(again).join(comps.withColumnRenamed("node", "a"), "a", "left")
+    # every group by the centre it ended with, if parts of it are still apart; the differences are fetched for those only
+    slender = ["g", "a", "b", "n", "size"]
+    final = (once.select(*slender, F.lit(1).alias("turn")).join(members, "g", "left_anti").unionByName(again.select(*slender, F.lit(2).alias("turn"))).join(comps.withColumnRenamed("node", "a"), "a", "left")
              .withColumn("comp", F.coalesce("comp", "a")).join(comps.select(F.col("node").alias("b"), F.col("comp").alias("hub")), "b", "left")
              .withColumn("hub", F.coalesce("hub", "b")))
     torn = (final.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.least("comp", "hub")).alias("low"), F.max(F.greatest("comp", "hub")).alias("high"))
             .where("m > 1 and low < high").select("g"))
     # the documents are dealt out by what sets them apart; places in the order count also what no other document shares
-    rows = (final.join(torn, "g").select("g", F.col("a").alias("node"), "n", "size", "comp", F.inline("apart")).withColumn("key", F.xxhash64("g", "h")))
+    odd = scratch.store(final.join(torn, "g").select("g", "a", "n", "size", "comp", "turn"), "odd")
+    apart = once.select("g", "a", F.lit(1).alias("turn"), "apart").unionByName(again.select("g", "a", F.lit(2).alias("turn"), "apart"))
+    rows = (odd.join(apart, ["g", "a", "turn"]).select("g", F.col("a").alias("node"), "n", "size", "comp", F.inline("apart")).withColumn("key", F.xxhash64("g", "h")))
     inside = Window.partitionBy("g", "node", "t")
     keyed = (rows.join(counted_keys(rows), "key")
              .withColumn("at", F.col("below") + F.col("wide") - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("docs", "h")) - 1)
              .where(F.col("at") <= F.expr(f"({den} - {num}) * n div {num}")).select("key", "node", "n", "size", "at", "comp"))
+    keyed = placed = scratch.store(keyed, "placed")
     parts = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = (parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
              .where("comps > 1").drop("comps"))
-    keyed = scratch.store(keyed.join(mixed, "key").join(heads.select("node", "l", "short", "long"), "node"), "keyed")
+    # prefixes as 32-bit hashes; ``twice`` is how many of a prefix's grams may hide behind others that have the same one
+    prefixes = heads.select("node", "l", "short", F.transform("long", lambda g: F.hash(g)).alias("long"))
+    prefixes = prefixes.withColumn("twice", F.size("long") - F.size(F.array_distinct("long")))
+    keyed = scratch.store(keyed.join(mixed, "key").join(prefixes, "node"), "keyed")
+    scratch.drop(placed, odd)
 
     # what shares a key and is still apart: all but a key's largest component, against all that have the key
     x, y = keyed.where(F.col("comp") != F.col("main")).alias("x"), keyed.alias("y")
     single = (F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     sizes = den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
     enough = F.expr(f"2 * least(x.size - x.at, y.size - y.at) >= x.size + y.size - ({den} - {num}) * (x.n + y.n) div ({den} + {num})")
-    common = F.size(F.array_intersect(F.when(F.col("x.n") <= F.col("y.n"), F.col("x.short")).otherwise(F.col("x.long")),
-                                      F.when(F.col("y.n") <= F.col("x.n"), F.col("y.short")).otherwise(F.col("y.long"))))
+    prefix = lambda one, other: F.when(F.col(f"{one}.n") <= F.col(f"{other}.n"), F.slice(f"{one}.long", 1, F.col(f"{one}.short"))).otherwise(F.col(f"{one}.long"))
+    common = F.size(F.array_intersect(prefix("x", "y"), prefix("y", "x"))) + F.col("x.twice")
     match = common >= F.least("x.l", "y.l")
     rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & single & sizes & enough & match)
             .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
