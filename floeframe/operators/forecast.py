@@ -37,11 +37,23 @@ def lead_pairs(cells: DataFrame, lead: int = 1, keys=("r", "c"), fields=("sic",)
 
 def supervised_rows(ice: DataFrame, currents: DataFrame, lead: int = 1) -> DataFrame:
     """Features of the base day and the label of the target day; complete rows only."""
-    features = ice.join(currents, ["day", "r", "c"])
-    labels = lead_pairs(ice, lead).select(F.col("base_day").alias("day"), "r", "c", "target_day",
-                                          F.col("target_sic").alias("label"))
-    return (features.join(labels, ["day", "r", "c"])
-            .dropna(how="any", subset=["sic", "u", "v", "label"]))
+    labelled = lead_pairs(ice, lead).withColumnsRenamed({"base_day": "day", "target_sic": "label"})
+    return labelled.join(currents, ["day", "r", "c"]).dropna(how="any", subset=["sic", "u", "v", "label"])
+
+
+def origin_rows(ice: DataFrame, currents: DataFrame, lead: int = 1) -> DataFrame:
+    """What a forecast of ``lead`` days may know: the features of the origin day, for every cell that has them.
+
+    No observation of the valid day is read, so cells without one are forecast too.
+    """
+    return (ice.withColumn("ice_day", F.col("day")).join(currents.withColumn("current_day", F.col("day")), ["day", "r", "c"])
+            .dropna(how="any", subset=["sic", "u", "v"]).withColumn("valid_day", F.date_add("day", lead)))
+
+
+def refuse_later_inputs(rows: DataFrame, origin: str, inputs: list[str]) -> DataFrame:
+    """Fails the job if an input's day is after the origin's."""
+    late = F.greatest(F.lit("0001-01-01").cast("date"), *inputs) > F.col(origin)
+    return rows.where(F.assert_true(~F.coalesce(late, F.lit(False)), "an input is later than its origin").isNull())
 
 
 def subsample(cells: DataFrame, stride: int) -> DataFrame:

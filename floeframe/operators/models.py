@@ -47,11 +47,11 @@ def with_features(rows: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, features: list[str], label: str = "label", trees: int = 8,
-        depth: int = 4, seed: int = 7):
-    """A fitted (assembler, model) pair."""
+        depth: int = 4, seed: int = 7, leaf_rows: int = 50):
+    """A fitted (assembler, model) pair: ``trees`` rounds, ``depth`` levels, at least ``leaf_rows`` rows in a leaf."""
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction",
-                       maxIter=trees, maxDepth=depth, seed=seed)
+                       maxIter=trees, maxDepth=depth, seed=seed, minInstancesPerNode=leaf_rows)
     return assembler, gbt.fit(assembler.transform(rows))
 
 
@@ -76,25 +76,25 @@ def skill_table(rows: DataFrame, predictions: dict[str, str], truth: str, by: li
 
 
 def permutation_importance(rows: DataFrame, fitted, features: list[str], label: str,
-                           order: Column, repeats: int = 5) -> DataFrame:
+                           order: Column, repeats: int = 5, seed: int = 11) -> DataFrame:
     """Rise of the mean absolute error when one feature is shuffled among the rows.
 
-    Both the rows and the donors get a rank (range sort plus slice offsets); a
-    row takes the value of the donor ``shift`` ranks on, so no task holds all rows.
+    In each repeat the donors are ranked by a hash of their order key, so that a row's donor has nothing to do with its
+    place or day; rows and donors meet by rank (range sort plus slice offsets), so no task holds all rows. All features
+    of a repeat are exchanged in the same pass.
     """
     from ..functions.ordered import global_rank
-    ranked = global_rank(rows.withColumn("_o", order), ["_o"], "_rank")
-    total = ranked.count()
-    base = predict(ranked, fitted, clip=None).agg(F.avg(F.abs(F.col("prediction") - F.col(label))).alias("base"))
+    ranked = global_rank(rows.select(*features, label, order.alias("_o")), ["_o"], "_rank")
+    base = predict(rows, fitted, clip=None).agg(F.avg(F.abs(F.col("prediction") - F.col(label))).alias("base"))
+    swapped = F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), *[F.col(f"_d.{g}" if g == f else g).alias(g) for g in features]) for f in features]))
     parts = []
-    for i, f in enumerate(features):
-        for k in range(repeats):
-            shift = (total * (2 * k + 1)) // (2 * repeats + 1) + i + 1
-            donor = ranked.select(((F.col("_rank") + shift) % total + 1).alias("_rank"), F.col(f).alias("_v"))
-            mixed = ranked.join(donor, "_rank").withColumn(f, F.col("_v")).drop("_v")
-            parts.append(predict(mixed, fitted, clip=None).agg(
-                F.lit(f).alias("feature"), F.lit(k).alias("repeat"),
-                F.avg(F.abs(F.col("prediction") - F.col(label))).alias("mae")))
+    for k in range(repeats):
+        dealt = rows.select(F.struct(*features).alias("_d"), F.struct(F.xxhash64(F.lit(seed + k), order).alias("h"), order.alias("key")).alias("_o"))
+        donors = global_rank(dealt, ["_o"], "_rank").select("_rank", "_d")
+        mixed = ranked.join(donors, "_rank").select(label, swapped.alias("_s")).select(label, "_s.*")
+        parts.append(predict(mixed, fitted, clip=None).groupBy("feature").agg(
+            F.lit(k).alias("repeat"), F.avg(F.abs(F.col("prediction") - F.col(label))).alias("mae")))
     scored = reduce(DataFrame.unionByName, parts)
     return (scored.groupBy("feature").agg(F.avg("mae").alias("mae"), F.stddev_samp("mae").alias("spread"))
             .join(F.broadcast(base), F.lit(True))

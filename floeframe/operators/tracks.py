@@ -16,7 +16,8 @@ def melt_sensors(wide: DataFrame, sensors: list[str], keep=("iceberg_id", "date"
     """One row per sensor triplet; (0,0) means no data even when flagged.
 
     A sensor without a flag column gets NULL flags. Columns the schema does not
-    know go into ``source_fields`` untouched.
+    know go into ``source_fields`` untouched. What is not a number counts as missing;
+    ``rejected_fixes`` counts it.
     """
     known = SCHEMA_COLUMNS | set(keep) | {f"{s}_{i}" for s in sensors for i in (1, 2, 3)}
     extra = [c for c in wide.columns if c not in known]
@@ -25,19 +26,27 @@ def melt_sensors(wide: DataFrame, sensors: list[str], keep=("iceberg_id", "date"
     triplets = []
     for s in sensors:
         flag = F.col(f"{s}_3") if f"{s}_3" in wide.columns else F.lit(None)
-        triplets.append(F.struct(F.lit(s).alias("sensor"), F.col(f"{s}_1").cast("double").alias("lat"),
-                                 F.col(f"{s}_2").cast("double").alias("lon"),
+        triplets.append(F.struct(F.lit(s).alias("sensor"), F.col(f"{s}_1").try_cast("double").alias("lat"),
+                                 F.col(f"{s}_2").try_cast("double").alias("lon"),
                                  flag.cast("string").alias("flag")))
     size = lambda c: ex.nm_to_km(F.expr(f"try_cast({c} AS double)")) if c in wide.columns else F.lit(None).cast("double")
     out = wide.select(*keep, size("size_1").alias("size_major_km"), size("size_2").alias("size_minor_km"),
                       fields.alias("source_fields"), F.explode(F.array(*triplets)).alias("t"))
     return (out.select(*keep, "t.sensor", "t.lat", ex.normalise_longitude(F.col("t.lon")).alias("lon"),
-                       "t.flag", (F.col("t.flag").cast("double") == 0).alias("is_interpolated"),
+                       "t.flag", (F.col("t.flag").try_cast("double") == 0).alias("is_interpolated"),
                        "size_major_km", "size_minor_km", "source_fields")
             .where(F.col("lat").isNotNull() & F.col("lon").isNotNull()
                    & ~((F.col("lat") == 0) & (F.col("lon") == 0))))
 
 
+def rejected_fixes(wide: DataFrame, sensors: list[str], by: list[str]) -> DataFrame:
+    """Records per group and sensor whose latitude or longitude is neither blank nor a number."""
+    odd = lambda c: F.coalesce((F.trim(c) != "") & F.col(c).try_cast("double").isNull(), F.lit(False))
+    counts = F.explode(F.array(*[F.struct(F.lit(s).alias("sensor"), (odd(f"{s}_1") | odd(f"{s}_2")).alias("odd")) for s in sensors]))
+    return (wide.select(*by, counts.alias("t")).where("t.odd")
+            .groupBy(*by, F.col("t.sensor").alias("sensor")).agg(F.count(F.lit(1)).alias("rejected")))
+
+
 def days_of_fixes(sightings: DataFrame) -> DataFrame:
     """First and last report of each day; this leaves one row per key and calendar day.
 

@@ -27,8 +27,7 @@ define("edge", """SELECT a.zone, a.r, a.c, b.r AS nr, b.c AS nc, sqrt(CAST(dr *
 
 
 # a mission request per order line: the supplier is the site, the order date the reference time
-define("mission", """SELECT DISTINCT l_suppkey AS site, o_orderdate AS reference, o_orderstatus AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    WHERE l_linenumber = 1""")
+define("mission", """SELECT DISTINCT l_suppkey AS site, o_orderdate AS reference, o_orderstatus AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 define("scenario", f"""SELECT m.*, CAST(h AS INTEGER) AS offset_h, reference + to_hours(CAST(h AS INTEGER)) AS departure, profile
     FROM mission m, (VALUES (0), (6), (12), (18)) x(h), (VALUES {_PROFILES}) p(profile)""", ["mission"])
 define("options", """SELECT *, outcome = 'searchable' AS feasible, CASE WHEN outcome = 'searchable' THEN
@@ -41,7 +40,7 @@ define("options", """SELECT *, outcome = 'searchable' AS feasible, CASE WHEN out
 
 
 def scenario_rows(spark, sf):
-    lines = t.read(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.col("l_suppkey").alias("site"))
+    lines = t.read(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("site"))
     orders = t.read(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("reference"),
                                                 F.col("o_orderstatus").alias("status"))
     requests = lines.join(orders, "l_orderkey").select("site", "reference", "status").distinct()

@@ -1,4 +1,4 @@
-"""Modelling queries: skill is compared, never single predictions, so they have no SQL twin."""
+"""Modelling queries: skill is compared, never single predictions, so only their inputs have SQL twins."""
 
 from __future__ import annotations
 
@@ -13,8 +13,10 @@ from ..session import stored
 from ..sources import tables as t
 from . import drift as dr
 from .registry import query
+from .sql import using
 
-QUOTAS = {"open": 2000, "miz": 20000, "ice": 6000}
+#: Most rows of each band in a fit, whatever the size of the input; bands with fewer give all they have.
+QUOTAS = {"open": 500_000, "miz": 500_000, "ice": 1_000_000}
 
 
 def split_rows(spark, sf, lead=1):
@@ -23,9 +25,10 @@ def split_rows(spark, sf, lead=1):
     return stored(fop.with_split(rows, base="day", target="target_day"))
 
 
-def training_sample(rows):
+def training_sample(rows, quotas=QUOTAS, strict=False):
+    """Training rows by quota; with ``strict`` a band that cannot fill its quota fails the job."""
     train = rows.where("split = 'train'")
-    return stored(fop.stratified_sample(train, QUOTAS, fop.cell_hash(), ["day", "r", "c"], strict=False))
+    return stored(fop.stratified_sample(train, quotas, fop.cell_hash(), ["day", "r", "c"], strict=strict))
 
 
 @query("gbt_skill")
@@ -95,13 +98,27 @@ def residual_model(spark, sf):
             .withColumn("physics_km", F.round("physics_km", 4)).withColumn("corrected_km", F.round("corrected_km", 4)))
 
 
+def held_out_origins(spark, sf):
+    """Every cell of the test days that has its features, whether or not the next day was observed."""
+    rows = op.with_features(fop.origin_rows(t.ice_cells(spark, sf), t.current_cells(spark, sf)))
+    return fop.refuse_later_inputs(rows.where(fop.split_of(F.col("day")) == "test"), "day", ["ice_day", "current_day"])
+
+
+@query("predict_inputs", using("ice_cells current_cells", """SELECT day AS origin, CAST(day + 1 AS DATE) AS valid_day, count(*) AS cells,
+    round(avg(sic), 6) AS mean_sic, round(avg(sqrt(u * u + v * v)), 6) AS mean_speed FROM ice_cells JOIN current_cells USING (day, r, c)
+    WHERE sic IS NOT NULL AND u IS NOT NULL AND v IS NOT NULL AND day BETWEEN DATE '2025-12-01' AND DATE '2025-12-31' GROUP BY day"""))
+def predict_inputs(spark, sf):
+    """What ``predict_field`` predicts from, by origin."""
+    return held_out_origins(spark, sf).groupBy(F.col("day").alias("origin"), "valid_day").agg(
+        F.count(F.lit(1)).alias("cells"), F.round(F.avg("sic"), 6).alias("mean_sic"), F.round(F.avg("speed"), 6).alias("mean_speed"))
+
+
 @query("predict_field")
 def predict_field(spark, sf):
     """Batch prediction of the held-out origins, clipped to 0..100 with the clipped cells counted."""
-    rows = split_rows(spark, sf)
-    fitted = op.fit(training_sample(rows), op.FEATURES)
-    out = op.predict(rows.where("split = 'test'"), fitted, "model")
-    return out.groupBy(F.col("day").alias("origin"), F.col("target_day").alias("valid_day")).agg(
+    fitted = op.fit(training_sample(split_rows(spark, sf)), op.FEATURES)
+    out = op.predict(held_out_origins(spark, sf), fitted, "model")
+    return out.groupBy(F.col("day").alias("origin"), "valid_day").agg(
         F.count(F.lit(1)).alias("cells"), F.count_if("clipped").alias("clipped"), F.round(F.avg("model"), 4).alias("mean_sic"),
         F.count_if(~F.col("model").between(0, 100)).alias("out_of_range"))
 

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 
 from floeframe.functions import expressions as ex
 from floeframe.operators import tracks as op
-from floeframe.sources.tracks_csv import HeaderError, read_tracks, resolve_header
+from floeframe.sources.tracks_csv import HeaderError, read_rejects, read_tracks, resolve_header
 
 
-@pytest.mark.parametrize("bad", [["nic_1", "nic_2", "nic_3"], ["date", "nic_1", "nic_3"], ["date", "size_1", "size_2"],
-                                 ["date", "nic_1", "nic_2", "comment"], ["date", "nic_1", "nic_2", "size_1"],
-                                 ["date", "nic_1", "nic_1", "nic_2"]])
-def test_malformed_headers_are_refused(bad):
-    with pytest.raises(HeaderError):
+@pytest.mark.parametrize("bad, word", [
+    (["radar_1", "radar_2"], "date"), (["date", "radar_2", "radar_3"], "radar_1"), (["date", "radar_1", "radar_2", "size_2"], "size_1"),
+    (["date", "iceberg_id", "size_1", "size_2"], "sensor"), (["date", "radar_1", "radar_2", "remark"], "remark"),
+    (["date", "radar_1", "radar_2", "date"], "date"), (["date", "radar_1", "radar_2", "lidar_9"], "lidar"), ([""], "date")])
+def test_headers_that_break_the_rule(bad, word):
+    with pytest.raises(HeaderError, match=word):
         resolve_header(bad)
 
 
@@ -28,14 +29,40 @@ def test_family_does_not_depend_on_column_order():
 def test_directory_of_mixed_files(spark, tmp_path):
     (tmp_path / "a03.csv").write_text("date,nic_1,nic_2,nic_3,size_1,size_2\n1979035,-58.3,-43.9,1,10,0\n1979063,0,0,1,0,0\n")
     (tmp_path / "a68.csv").write_text("ascat_1,ascat_2,date\n-60.0,190.0,2017001\n")
-    (tmp_path / "bad.csv").write_text("date,nic_1,nic_2,comment\n1979035,-58.3,-43.9,x\n")
+    (tmp_path / "bad.csv").write_text("date,radar_1,radar_2,remark\n1979035,-58.3,-43.9,x\n")
     seen, refused = read_tracks(spark, str(tmp_path))
     rows = {r["iceberg_id"]: r for r in seen.collect()}
-    assert set(rows) == {"a03", "a68"} and len(refused) == 1 and "comment" in next(iter(refused.values()))
+    assert set(rows) == {"a03", "a68"} and len(refused) == 1 and "remark" in next(iter(refused.values()))
     assert rows["a03"]["size_major_km"] == pytest.approx(18.52) and rows["a03"]["size_minor_km"] is None
     assert rows["a68"]["flag"] is None and rows["a68"]["is_interpolated"] is None and rows["a68"]["lon"] == -170.0
 
 
+def test_every_file_is_read_or_refused(spark, tmp_path):
+    files = {"quoted": '"date","radar_1","radar_2"\n2001001,-61,10\n', "extra": "date,radar_1,radar_2,radar_12\n2001002,-62,11,as it was\n",
+             "text": "date,radar_1,radar_2\nabandoned,near,shore\n2001003,-63,12\n2001004,,\n2001005,-64,east\n", "blank": "\n\ndate,radar_1,radar_2\n2001006,-65,13\n",
+             "headless": "2001007,-66,14\n2001008,-67,15\n", "remark": "# seen from a ship\ndate,radar_1,radar_2\n2001009,-68,16\n", "nothing": "", "heading": "date,radar_1,radar_2\n"}
+    for name, body in files.items():
+        (tmp_path / f"{name}.csv").write_text(body)
+    seen, refused = read_tracks(spark, str(tmp_path))
+    got = {(r["source_file"], r["source_row"], r["date"], r["lat"], r["schema_family"]) for r in seen.collect()}
+    assert got == {("quoted.csv", 1, "2001001", -61.0, "radar"), ("extra.csv", 1, "2001002", -62.0, "radar+radar_12"),
+                   ("text.csv", 2, "2001003", -63.0, "radar"), ("blank.csv", 1, "2001006", -65.0, "radar")}
+    assert seen.where("source_file = 'extra.csv'").first()["source_fields"] == {"radar_12": "as it was"}
+    assert {f.rpartition("/")[2] for f in refused} == {"headless.csv", "remark.csv", "nothing.csv"}
+    assert {tuple(r) for r in read_rejects(spark, str(tmp_path)).collect()} == {("text.csv", "radar", 2)}
+
+
+def test_records_keep_their_place_across_blocks(spark, tmp_path):
+    (tmp_path / "long.csv").write_text("date,radar_1,radar_2\n" + "".join(f"{2001001 + i},-60,{i % 90 + 1}\n" for i in range(300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        seen, _ = read_tracks(spark, str(tmp_path))
+        assert sorted((r["source_row"], int(r["date"])) for r in seen.collect()) == [(i + 1, 2001001 + i) for i in range(300)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_date_codes(spark):
     codes = {"2024366": dt.date(2024, 12, 31), "2023366": None, "2023000": None, "202301": None, "1979035": dt.date(1979, 2, 4), "abcdefg": None}
     df = spark.createDataFrame([(c,) for c in codes], "c string").withColumn("d", ex.date_from_yyyyddd(F.col("c")))
