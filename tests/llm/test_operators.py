@@ -241,6 +241,25 @@ def test_line_dedup_guarantee(spark):
         seen |= {tuple(lines[i:j]) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)}
 
 
+def test_line_dedup_takes_whole_runs_whose_parts_stand_first_elsewhere(spark):
+    """All lines of every repeated run go, also where the first place of a part of it holds other neighbours."""
+    rng = random.Random(12)
+    x, y, tail = words(rng, 6), words(rng, 9), words(rng, 1)
+    rows = [(1, x), (2, x + "\n" + y), (3, x + "\n" + y), (4, y + "\n" + x + "\n" + tail), (5, y + "\n" + x), (6, y + "\n" + x + "\n\n" + tail)]
+    pool = [words(rng, rng.randint(1, 12)) for _ in range(25)]
+    rows += [(10 + i, "\n".join(rng.choice(pool) for _ in range(12))) for i in range(60)]
+    out = {r["doc_id"]: set(r["deleted_lines"]) for r in line_dedup.dedup(docs(spark, rows)).collect()}
+    assert out[3] == {0, 1} and out[6] == {0, 1, 3}
+    seen = {}
+    for d, t in rows:
+        lines = [(i, s) for i, s in enumerate(t.split("\n")) if s]
+        for i in range(len(lines)):
+            for j in range(i + 1, len(lines) + 1):
+                run = tuple(s for _, s in lines[i:j])
+                if sum(len(s.split()) for s in run) >= line_dedup.GUARANTEE and seen.setdefault(run, (d, i)) < (d, i):
+                    assert {k for k, _ in lines[i:j]} <= out[d], (d, i, j)
+
+
 def test_line_dedup_edges(spark):
     got = line_dedup.dedup(docs(spark, EDGE)).collect()
     assert len(got) == len(EDGE) and line_dedup.dedup(docs(spark, [])).count() == 0
