@@ -178,5 +178,5 @@ def time_least_cost(spark, sf):
     first = env.where((F.col("bucket") == 0) & ct.finite(F.col("cost")))
     begin = first.groupBy("zone").agg(F.min(F.struct("r", "c")).alias("s")).select("zone", "s.r", "s.c")
     grid = cells.where(F.col("cost").isNotNull())
-    out = paths.time_least_cost(grid, env, begin, t.CELL_M, t.SPEED_MPS, t.BUCKET_S, t.BUCKETS * t.BUCKET_S / 2)
+    out = paths.time_least_cost(grid, env, begin, t.CELL_M, t.SPEED_MPS, t.BUCKET_S, t.BUCKETS * t.BUCKET_S)
     return out.withColumn("total", F.round("total", 4)).withColumn("time", F.round("time", 2))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from floeframe.operators import cost, exposure, paths
 from floeframe.operators import routes as rt
+from floeframe.plans import missions
+from floeframe.sources import tables as t
 
 R = 6371008.8
 
@@ -138,6 +140,13 @@ def test_time_least_cost_finds_the_gate_that_opens_later(spark):
     assert min(at_goal.values()) < at_goal[0]
 
 
+def test_time_least_cost_searches_all_buckets(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(missions.paths, "time_least_cost", lambda *a: asked.append(a[-2:]) or a[2].select("zone", F.lit(0.0).alias("total"), F.lit(0.0).alias("time")))
+    missions.time_least_cost(spark, "/root/testdata/sf0.001")
+    assert asked == [(t.BUCKET_S, t.BUCKETS * t.BUCKET_S)]
+
+
 def test_geometry_groups_and_divergence(spark):
     rows = [(1, [(0, 0), (1, 1)]), (2, [(0, 0), (1, 1)]), (3, [(1, 1), (0, 0)]), (4, [(0, 0)])]
     pts = spark.createDataFrame([(i, s, 0, r, c) for i, path in rows for s, (r, c) in enumerate(path)], "route_id long, seq int, zone int, r int, c int")
