@@ -46,13 +46,35 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.withColumn("speed", F.hypot("u", "v"))
 
 
-def fit(rows: DataFrame, features: list[str], label: str = "label", trees: int = 8,
-        depth: int = 4, seed: int = 7, leaf_rows: int = 50):
-    """A fitted (assembler, model) pair: ``trees`` rounds, ``depth`` levels, at least ``leaf_rows`` rows in a leaf."""
+def rounds_used(losses: list[float], patience: int, tol: float = 1e-7) -> int:
+    """Rounds until none of the last ``patience`` validation losses is below the one before them."""
+    for m in range(patience, len(losses)):
+        if min(losses[m - patience + 1:m + 1]) >= losses[m - patience] - tol:
+            return m + 1
+    return len(losses)
+
+
+def fit(rows: DataFrame, features: list[str], label: str = "label", trees: int = 200, depth: int = 5, seed: int = 7,
+        leaf_rows: int = 50, step: float = 0.1, patience: int | None = 20):
+    """A fitted (assembler, model) pair: up to ``trees`` rounds, ``depth`` levels, at least ``leaf_rows`` rows in a leaf.
+
+    With ``patience`` a tenth of ``rows``, picked by hash, is kept out of the fit and the rounds end when that many in a row
+    bring no lower loss on it. Spark's own rule ends at the first such round, so all rounds are fitted and counted first; the same
+    seed and rows then give the same trees again, up to the counted one.
+    """
     assembler = VectorAssembler(inputCols=features, outputCol="features")
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction",
-                       maxIter=trees, maxDepth=depth, seed=seed, minInstancesPerNode=leaf_rows)
-    return assembler, gbt.fit(assembler.transform(rows))
+    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", maxIter=trees, maxDepth=depth, seed=seed,
+                       minInstancesPerNode=leaf_rows, stepSize=step)
+    ready = assembler.transform(rows)
+    if patience is None or trees <= patience:
+        return assembler, gbt.fit(ready)
+    held = F.pmod(F.xxhash64(*features, label), F.lit(10)) == 0
+    used, kept_out = ready.where(~held), ready.where(held)
+    if kept_out.isEmpty() or used.isEmpty():
+        return assembler, gbt.fit(ready)
+    model = gbt.fit(used)
+    best = rounds_used(model.evaluateEachIteration(kept_out, "squared"), patience)
+    return assembler, model if best == trees else gbt.copy({gbt.maxIter: best}).fit(used)
 
 
 def predict(rows: DataFrame, fitted, name: str = "prediction", clip=SIC_RANGE) -> DataFrame:

@@ -70,7 +70,9 @@ def importance(spark, sf):
 
 
 RESIDUAL_FEATURES = ["lat0", "lon0", "wind_u", "wind_v", "cur_u", "cur_v", "disp_e", "disp_n"]
-SETTINGS = [(4, 2), (8, 3), (12, 4)]        # (trees, depth) of the three fixed settings
+#: The three fixed settings; depths 4 and 5 hold 15 and 31 leaves. All rounds are kept.
+SETTINGS = [{"trees": 100, "depth": 4, "step": 0.05, "leaf_rows": 20}, {"trees": 200, "depth": 5, "step": 0.05, "leaf_rows": 20},
+            {"trees": 100, "depth": 4, "step": 0.1, "leaf_rows": 40}]
 
 
 @query("residual_model")
@@ -82,10 +84,10 @@ def residual_model(spark, sf):
     rows = stored(pop.withColumn("disp_e", de).withColumn("disp_n", dn).withColumn("res_e", oe - de).withColumn("res_n", on - dn))
     train = rows.where("moved AND split = 'train'")
     parts = None
-    for k, (trees, depth) in enumerate(SETTINGS):
+    for k, setting in enumerate(SETTINGS):
         scored = rows.where("moved AND split <> 'train'")
         for comp in ("e", "n"):
-            scored = op.predict(scored, op.fit(train, RESIDUAL_FEATURES, f"res_{comp}", trees, depth), f"fix_{comp}", clip=None)
+            scored = op.predict(scored, op.fit(train, RESIDUAL_FEATURES, f"res_{comp}", patience=None, **setting), f"fix_{comp}", clip=None)
         s = F.col("elapsed_s")
         lat, lon = ex.advect(F.col("lat0"), F.col("lon0"), (F.col("disp_e") + F.col("fix_e")) / s, (F.col("disp_n") + F.col("fix_n")) / s, s)
         err = ex.great_circle_m(lat, lon, F.col("lat1"), F.col("lon1")) / 1000

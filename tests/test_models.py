@@ -1,12 +1,14 @@
 """Model jobs on tables with a planted signal, and what a forecast may know."""
 
 import datetime as dt
+import inspect
 
 import pytest
 from pyspark.sql import functions as F
 
 from floeframe.operators import forecast as fc
 from floeframe.operators import models as op
+from floeframe.plans.models import SETTINGS
 
 
 def test_importance_finds_the_planted_feature(spark):
@@ -21,6 +23,16 @@ def test_importance_finds_the_planted_feature(spark):
     assert table["model"] < table["none"] / 3
 
 
+def test_fits_have_the_rounds_of_the_reference(spark):
+    assert op.rounds_used([5.0, 4.0, 4.5, 3.0, 3.0, 3.1, 3.2, 1.0], 3) == 7 and op.rounds_used([3.0, 2.0, 1.0], 3) == 3
+    given = {k: v.default for k, v in inspect.signature(op.fit).parameters.items()}
+    assert (given["trees"], given["depth"], given["step"], given["leaf_rows"], given["patience"]) == (200, 5, 0.1, 50, 20)
+    assert [(s["trees"], s["depth"], s["step"], s["leaf_rows"]) for s in SETTINGS] == [(100, 4, 0.05, 20), (200, 5, 0.05, 20), (100, 4, 0.1, 40)]
+    noise = spark.range(600).select(F.rand(1).alias("a"), F.rand(2).alias("label"))
+    _, model = op.fit(noise, ["a"], trees=12, depth=2, leaf_rows=5, step=1.0, patience=2)
+    assert 3 <= model.getNumTrees < 12                 # noise gets no better, so the rounds end early
+
+
 def test_a_forecast_needs_no_observation_of_its_valid_day(spark):
     day = dt.date(2025, 12, 5)
     ice = spark.createDataFrame([(day, 0, 0, 50.0), (day, 0, 1, None), (day, 0, 2, 70.0)], "day date, r int, c int, sic double")
