@@ -329,6 +329,22 @@ def test_secret_spans(spark):
     assert secret_scan.fit(docs(spark, [])).automata == {}
 
 
+def test_secret_candidates_of_every_labelled_format():
+    """Short, dotted and letters-only credentials without a keyword are scored; parts outside base spans too."""
+    rng = random.Random(6)
+    of = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    capital, both = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    ordinary = secret_scan.background_of(words(rng, 400).split())
+    for make in (lambda: of(both, 11) + "7", lambda: ".".join(of(both, 7) + "7" for _ in range(3)), lambda: of(capital, 20)):
+        model = secret_scan.SecretModel({"assign": secret_scan.infer([make() for _ in range(200)])}, ordinary)
+        v, about = make(), words(rng, 8)
+        found = lambda t: [(k, t[s:e]) for s, e, k in secret_scan.spans_of(t, model)]
+        assert found(f"{about} {v} then") == [("format", v)] and found(f"{about} {v}.") == [("format", v)]
+        assert found(f"{about} Token = {v} {about}") == [("assign", f"Token = {v}")]
+        assert found(v + "0123456789abcdef" * 2) == [("format", v), ("hex", "0123456789abcdef" * 2)] if v.isalpha() else True
+        assert found(f"{about} 12345678901234567890 {words(rng, 30)}") == []
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
