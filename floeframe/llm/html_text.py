@@ -4,7 +4,8 @@ A page is read into a sequence of units: words, and opening or closing tags. Wor
 negative; one linear scan finds the contiguous run with the largest sum. The weights are log odds counted on
 labelled pages: pages that mark their content with exactly one ``article`` or ``main`` element label every unit
 as inside or outside of it. The run is then widened to the innermost content container around it (``article``,
-``main``, or a ``div``/``section``/``td`` that is not boilerplate), so that short blocks at its edges are not lost.
+``main``, or a ``div``/``section``/``td`` that is not boilerplate), so that short blocks at its edges are not lost. Where no
+``article`` or ``main`` is around it, every block beside it or beside an element around it that scores above zero is taken too.
 
 Boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
 are known by tag name, role or words in class and id. Their text scores strongly negative and never reaches the
@@ -161,12 +162,45 @@ def _log(x: float) -> float:
     return log(x)
 
 
+def _score(u: Unit, weight: dict[str, float]) -> float:
+    w = weight.get(u.kind, weight["tag"])
+    return w * u.words if u.kind in ("word", "link") else w
+
+
+def _without_content(seq: list[Unit], boxes: list[tuple[str, int, bool]], box: int, low: int, high: int, weight: dict[str, float]) -> list[Unit]:
+    """The run to the ends of its blocks, and every other block beside it or beside an element around it that scores above zero.
+
+    A block is an element that is not inline, or the text between such elements; boilerplate neither counts nor costs.
+    """
+    path = [box]
+    while path[-1] > 0:
+        path.append(boxes[path[-1]][1])
+    around, last = set(path), path[-1]
+    block: list[tuple[int, int]] = []
+    top = {b: b for b in around}                       # outermost element that is not inline and not around the run
+    for b in range(len(boxes)):
+        if b not in around:
+            up = top[boxes[b][1]]
+            top[b] = up if up not in around or boxes[b][0] in INLINE else b
+    stretch = 0
+    for i, u in enumerate(seq):
+        at = top[u.box]
+        if i and (at in around) and (u.breaks or top[seq[i - 1].box] != at):
+            stretch += 1
+        block.append((at, stretch if at in around else 0))
+    total: dict[tuple[int, int], float] = {}
+    for i, u in enumerate(seq):
+        if not u.hidden:
+            inside = box != last and boxes[box][0] != "body" and _within(u.box, box, boxes)
+            total[block[i]] = total.get(block[i], 0.0) + (float("inf") if inside or low <= i < high and u.words else _score(u, weight))
+    return [u for i, u in enumerate(seq) if u.hidden or u.breaks or total.get(block[i], 0.0) > 0]
+
+
 def best_run(seq: list[Unit], weight: dict[str, float]) -> tuple[int, int]:
     """Bounds of the contiguous run with the largest score; (0, 0) if none is positive."""
     best, at, run, start = 0.0, (0, 0), 0.0, 0
     for i, u in enumerate(seq):
-        w = weight.get(u.kind, weight["tag"])
-        score = (HIDDEN * max(1, u.words) if u.hidden else w * u.words if u.kind in ("word", "link") else w)
+        score = HIDDEN * max(1, u.words) if u.hidden else _score(u, weight)
         if run <= 0:
             run, start = 0.0, i
         run += score
@@ -191,13 +225,12 @@ def main_text(page: str | None, weight: dict[str, float]) -> str:
     around = box
     while around > 0 and boxes[around][0] not in CONTENT:
         around = boxes[around][1]
-    box = around if around > 0 else box
-    chosen = [box]
-    if boxes[box][0] in ("body", ""):                        # no container: the run itself, to the ends of its blocks
-        whole = not any(b[0] for b in boxes[1:])
-        spans = seq if whole else seq[low:high]
+    if around > 0:
+        spans = [u for u in seq if _within(u.box, around, boxes)]
+    elif not any(b[0] for b in boxes[1:]):
+        spans = seq
     else:
-        spans = [u for u in seq if _within(u.box, chosen[0], boxes)]
+        spans = _without_content(seq, boxes, box, low, high, weight)
     parts = []
     for u in spans:
         if u.hidden:

@@ -112,6 +112,17 @@ def test_page_text_without_container_and_edges(spark):
     assert got[0]["text"] == "" and got[1]["text"] == " ".join(["a & b"] * 50_000)
 
 
+def test_page_text_without_container_goes_on_behind_boilerplate():
+    rng = random.Random(13)
+    w, first, tail, last = html_text.weights({}), words(rng, 90), words(rng, 12), words(rng, 15)
+    advert = "<div class=ad>eight words of an advert stand right here</div>"
+    menu = "<ul><li><a href=x>x</a></li><li><a href=y>y</a></li></ul>"
+    assert html_text.main_text(f"<body>{menu}<p>{first}</p>{advert}<p>{tail} <b>bold</b> end</p><p>{last}</p></body>", w) == f"{first} {tail} bold end {last}"
+    for box in ("div", "section"):
+        page = f"<body>{menu}<{box}><p>{tail}</p></{box}><form>{words(rng, 80)}</form><{box}><p>{first}</p></{box}>{advert}<{box}><p>{last}</p></{box}></body>"
+        assert html_text.main_text(page, w) == f"{tail} {first} {last}"
+
+
 # --- n-gram join -------------------------------------------------------------------------------------------
 
 def plain_components(rows, size=3, num=90, den=100):
