@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html_text, language, line_dedup, ngram_join, packing, quality, secret_scan
+from . import chat, decontaminate, exact_dedup, html_text, language, line_dedup, merkle, ngram_join, packing, quality, secret_scan
 from .common import Scratch, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,75 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_ngram_join")
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a string's UTF-8 bytes, bit by bit (DuckDB has no function for it)."""
+    bit = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    byte = f"list_reduce(range(8), lambda c, i: {bit}, xor(crc, b))"
+    data = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({data}, lambda crc, b: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _told(column: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({column} AS VARCHAR))) || ':' || {column}, '-')"
+
+
+_SIMPLY = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_LEVELS = 11          # hash steps that the SQL twin unrolls: 8**11 leaves
+
+
+def _merkle_levels(name: str, source: str) -> tuple[str, str]:
+    """Tables <name>0.. of (tree, pos, digest), each the hashes of runs of 8 below it; and the last of them."""
+    tables = [f"{name}0 AS (SELECT tree, pos, digest, count(*) OVER (PARTITION BY tree) AS n FROM {source})"]
+    for k in range(1, SQL_LEVELS + 1):
+        tables.append(f"""{name}{k} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM (
+            SELECT tree, pos // 8 AS pos, CASE WHEN max(n) = 1 THEN max(digest) ELSE sha256(string_agg(digest, '' ORDER BY pos)) END AS digest
+            FROM {name}{k - 1} GROUP BY tree, pos // 8))""")
+    return ", ".join(tables), f"{name}{SQL_LEVELS}"
+
+
+def _merkle_folds(name: str, into: str, source: str, tree: str, pos: str) -> tuple[str, str]:
+    """Tables <into>0.. with proof and folded carried up the levels of <name>; and the last of them."""
+    tables = [f"{into}0 AS (SELECT * FROM {source})"]
+    for k in range(SQL_LEVELS):
+        run = f"(SELECT tree, pos // 8 AS run, max(n) AS n, string_agg(digest, '' ORDER BY pos) AS told FROM {name}{k} GROUP BY ALL)"
+        at = f"64 * CAST({pos} // {8 ** k} % 8 AS INTEGER)"
+        left, right = f"substr(told, 1, {at})", f"substr(told, {at} + 65)"
+        tables.append(f"""{into}{k + 1} AS (SELECT d.* EXCLUDE (proof, folded), CASE WHEN n = 1 THEN proof ELSE proof || {left} || {right} END AS proof,
+            CASE WHEN n = 1 THEN folded ELSE sha256({left} || folded || {right}) END AS folded
+            FROM {into}{k} d JOIN {run} x ON x.tree = d.{tree} AND x.run = d.{pos} // {8 ** (k + 1)})""")
+    return ", ".join(tables), f"{into}{SQL_LEVELS}"
+
+
+def _op13_sql() -> str:
+    low, low_top = _merkle_levels("low", "placed")
+    high, high_top = _merkle_levels("high", "subroots")
+    up, up_top = _merkle_folds("low", "up", "begun", "tree", "pos")
+    over, over_top = _merkle_folds("high", "over", "halfway", "one", "tree_pos")
+    fields = " || ".join(_told(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    return f"""
+WITH leaves AS (SELECT doc_id, coalesce('s' || lang, 'n') AS tree, sha256({fields} || {_told('text')}) AS digest,
+    CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN sha256({fields} || {_told(_SIMPLY)}) ELSE sha256({fields} || {_told('text')}) END AS altered
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM leaves),
+{low},
+subroots AS (SELECT 'root' AS tree, tree AS lang, row_number() OVER (ORDER BY tree) - 1 AS pos, digest FROM {low_top}),
+{high},
+begun AS (SELECT doc_id, tree, pos, digest AS leaf, '' AS proof, altered AS folded FROM placed),
+{up},
+halfway AS (SELECT u.*, 'root' AS one, s.pos AS tree_pos, s.digest AS subroot FROM {up_top} u JOIN subroots s ON s.lang = u.tree),
+{over}
+SELECT doc_id, leaf, subroot, root.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.digest AS verified
+FROM {over_top}, (SELECT digest FROM {high_top}) root
+"""
+
+
+@query("op13_merkle", _op13_sql())
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    proved = merkle.prove_all(docs, Scratch(spark, "merkle"), F.when(tampered, F.translate("text", merkle.UPPER, merkle.LOWER)).otherwise(F.col("text")))
+    return (proved.withColumn("folded_root", merkle.folded("altered", "pos", "n", "tree_pos", "n_trees", "proof"))
+            .select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root",
+                    (F.col("folded_root") == F.col("root")).alias("verified")))
