@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html_text, language, line_dedup, merkle, ngram_join, packing, quality, secret_scan
+from . import chat, decontaminate, exact_dedup, html_text, language, line_dedup, merkle, ngram_join, packing, quality, secret_scan, warc
 from .common import Scratch, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,27 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (proved.withColumn("folded_root", merkle.folded("altered", "pos", "n", "tree_pos", "n_trees", "proof"))
             .select("doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root",
                     (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
+_BASE32 = """list_aggregate(flatten(list_transform(range(8), lambda g: list_transform(range(4), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(CAST('0x' || substr(sha, 5 * g + 1, 5) AS BIGINT) // CAST(pow(32, 3 - i) AS BIGINT) % 32 AS INTEGER) + 1, 1)))),
+    'string_agg', '')"""
+OP12_SQL = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(encode(coalesce(html, ''))) AS sha FROM pages),
+best AS (SELECT body, max(page_id) AS keep FROM p GROUP BY body)
+SELECT page_id, CAST(octet_length(p.body) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM keep THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to
+FROM p JOIN best USING (body)
+"""
+
+
+@query("op12_warc", OP12_SQL)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    scratch = Scratch(spark, "warc")
+    captures = warc.write_archives(pages, f"{scratch.root}/archives", scratch, min_bytes=0)
+    parts = warc.write_index(captures, f"{scratch.root}/index", scratch)
+    found = warc.fetch(warc.lookup(warc.keys(pages), parts, f"{scratch.root}/index"), f"{scratch.root}/archives", payloads=False)
+    return found.select(F.expr("try_cast(page_id AS BIGINT)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                        F.col("refers_to").cast("long").alias("refers_to"))
