@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, html_text, language, line_dedup, merkle, ngram_join, packing, quality, secret_scan, warc
+from . import chat, decontaminate, exact_dedup, html_text, language, line_dedup, merkle, ngram_join, packing, quality, secret_scan, spelling, warc
 from .common import Scratch, held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +223,28 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.fetch(warc.lookup(warc.keys(pages), parts, f"{scratch.root}/index"), f"{scratch.root}/archives", payloads=False)
     return found.select(F.expr("try_cast(page_id AS BIGINT)").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                         F.col("refers_to").cast("long").alias("refers_to"))
+
+
+_RUN = "translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP11_SQL = rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, {_RUN} AS run FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS r FROM documents)),
+counted AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT *, {crc32_sql("concat(doc_id, ':', run)")} AS h FROM counted),
+words AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM (SELECT k, CASE WHEN h % 31 = 0
+      THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, n, unnest(list_transform(range(length(word)), lambda i: {{'m': substr(word, 1, i) || '*' || substr(word, i + 2), 'd': substr(word, 1, i) || substr(word, i + 2)}})) AS x FROM words),
+shorter AS (SELECT DISTINCT w.word AS a, w.n AS na, c.word AS b, c.n AS nb FROM cut c JOIN words w ON w.word = c.x.d),
+pairs AS (SELECT a.word AS word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.x.m = b.x.m AND a.word <> b.word
+  UNION ALL SELECT a, b, nb FROM shorter UNION ALL SELECT b, a, na FROM shorter),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n FROM pairs GROUP BY word),
+forms AS (SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN form_n >= 10 * w.n THEN form END AS form,
+    CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root, 0 AS depth FROM forms UNION ALL SELECT k.word, f.form, depth + 1 FROM walk k JOIN forms f ON f.word = k.root WHERE f.form IS NOT NULL)
+SELECT f.word, n, n_near, form, form_n, root FROM forms f JOIN (SELECT word, arg_max(root, depth) AS root FROM walk GROUP BY word) USING (word)
+"""
+
+
+@query("op11_spelling", OP11_SQL)
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "spelling"))
