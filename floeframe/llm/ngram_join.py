@@ -136,21 +136,28 @@ def _sets(size: int, num: int, den: int):
                 yield out.astype({"n": "int32", "tier": "int32"})
     return run
 
-
+HELD = 50_000            # grams or differences that a task hands on at once
 HEADS = "node long, n int, l int, rare double, short int, long array<long>"      # the first ``short`` of the grams are the short prefix
 
 
 def _heads(num: int, den: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["node", "n", "l", "rare", "short", "long"]).astype({"node": "int64", "n": "int32", "l": "int32", "rare": "float64", "short": "int32"})
+
         for f in frames:
-            rows = []
-            for node, n, tier, shared in zip(f["node"], f["n"], f["tier"], f["shared"]):
-                grams = [(s["i"], s["gram"], s["docs"]) for s in shared]
+            rows, held = [], 0
+            for node, n, tier, *shared in zip(f["node"], f["n"], f["tier"], f["i"], f["gram"], f["docs"]):
+                grams = list(zip(*(x.tolist() for x in shared)))
                 l, head = choose(n, tier, grams, num, den)  # noqa: E741
                 if head:
                     alone = 1.0 - sum(1 for i, _, _ in grams if i < tier) / max(1, tier)
                     rows.append((node, n, l, alone, sum(short for _, short in head), [g for g, _ in head]))
-            yield pd.DataFrame(rows, columns=["node", "n", "l", "rare", "short", "long"]).astype({"node": "int64", "n": "int32", "l": "int32", "rare": "float64", "short": "int32"})
+                    held += len(head)
+                if held >= HELD:
+                    yield frame(rows)
+                    rows, held = [], 0
+            yield frame(rows)
     return run
 
 
@@ -160,7 +167,9 @@ def _squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": f["node"], "body": [pack.compress(t.encode("utf-8", "replace")) for t in f["text"]]})
 
 
-MEASURED = "g long, a long, b long, linked boolean, n int, size int, apart array<struct<t:int,h:long,below:int,wide:int>>"
+APART = ("t", "h", "below", "wide")
+MEASURED = "g long, a long, b long, linked boolean, n int, size int, t array<int>, h array<long>, below array<int>, wide array<int>"
+
 
 
 def _measure(size: int, num: int, den: int, differences: bool):
@@ -175,7 +184,7 @@ def _measure(size: int, num: int, den: int, differences: bool):
         def grams(body: bytes) -> set[bytes]:
             return gram_set(unpack.decompress(body).lower().split(), size)
 
-        def first(apart: set[bytes], most: int, aside: np.ndarray) -> list[dict]:
+        def first(apart: set[bytes], most: int, aside: np.ndarray) -> tuple[np.ndarray, ...]:
             h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, apart), dtype=np.uint64, count=len(apart)))
             t = np.searchsorted(CLASSES, h, side="right")
             late = np.isin(h.view(np.int64), aside)
@@ -185,21 +194,30 @@ def _measure(size: int, num: int, den: int, differences: bool):
                 h, t = h[take], t[take]
             below = np.searchsorted(in_order := np.sort(t), t)           # how many are in earlier classes, and in this one
             wide = np.searchsorted(in_order, t, side="right") - below
-            return [dict(zip(("t", "h", "below", "wide"), x)) for x in zip(t.tolist(), h.view(np.int64).tolist(), below.tolist(), wide.tolist())]
+            return t.astype(np.int32), h.view(np.int64), below.astype(np.int32), wide.astype(np.int32)
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return (pd.DataFrame(rows, columns=["g", "a", "b", "linked", "n", "size", *APART])
+                    .astype({"g": "int64", "a": "int64", "b": "int64", "linked": bool, "n": "int32", "size": "int32"}))
+
+        none = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
         last, kept = None, set()
         for f in frames:
-            rows = []
+            rows, held = [], 0
             for g, a, b, mine, theirs, aside in zip(f["g"], f["a"], f["b"], f["body_a"], f["body_b"], f["aside"]):
                 if theirs != last:                  # rows come sorted by b, so its set is made once
                     last, kept = theirs, grams(theirs)
                 other = grams(mine)
                 both = len(other & kept)
                 linked = den * both >= num * (len(other) + len(kept) - both)
-                apart = first(other ^ kept, 3 * ((den - num) * len(other) // num + 1) // 2, aside) if differences else []
-                rows.append((g, a, b, linked, len(other), len(other) + len(kept) - 2 * both, apart))
-            yield (pd.DataFrame(rows, columns=["g", "a", "b", "linked", "n", "size", "apart"])
-                   .astype({"g": "int64", "a": "int64", "b": "int64", "linked": bool, "n": "int32", "size": "int32"}))
+                apart = first(other ^ kept, 3 * ((den - num) * len(other) // num + 1) // 2, aside) if differences else none
+                rows.append((g, a, b, linked, len(other), len(other) + len(kept) - 2 * both, *apart))
+                held += len(apart[1])
+                if held >= HELD:
+                    yield frame(rows)
+                    rows, held = [], 0
+            yield frame(rows)
     return run
 
 
@@ -237,6 +255,7 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     counted = held.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
     shared = (held.join(counted, "gram").groupBy("node", "n", "tier")
               .agg(F.collect_list(F.struct("i", "gram", F.col("docs").cast("int").alias("docs"))).alias("shared")))
+    shared = shared.select("node", "n", "tier", *[F.col(f"shared.{c}").alias(c) for c in ("i", "gram", "docs")])
     heads = scratch.store(shared.mapInPandas(_heads(num, den), HEADS), "heads")
     named = scratch.store(classes.select("digest", "node"), "named")
     scratch.drop(classes)
@@ -251,7 +270,8 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     def measured(pairs: DataFrame, differences: bool) -> DataFrame:
         full = (pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
                 .join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b"))
-        return full.select("g", "a", "b", "body_a", "body_b", "aside").mapInPandas(_measure(size, num, den, differences), MEASURED)
+        return (full.select("g", "a", "b", "body_a", "body_b", "aside").mapInPandas(_measure(size, num, den, differences), MEASURED)
+                .withColumn("apart", F.arrays_zip(*APART)).drop(*APART))
 
     nothing = F.array().cast("array<bigint>")
 
