@@ -136,6 +136,7 @@ def _sets(size: int, num: int, den: int):
                 yield out.astype({"n": "int32", "tier": "int32"})
     return run
 
+
 HELD = 50_000            # grams or differences that a task hands on at once
 HEADS = "node long, n int, l int, rare double, short int, long array<long>"      # the first ``short`` of the grams are the short prefix
 
