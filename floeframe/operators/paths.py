@@ -1,12 +1,18 @@
-"""Edges of a cell grid and least-cost fields by distributed relaxation.
+"""Edges of a cell grid, least-cost fields by distributed relaxation, and the routes through them.
 
-Many independent grids (``zone``) are solved together: every round is one
-equi-join of the improved cells with the edge table and one ``min`` per cell,
-so a round costs what the frontier holds, not what the grid holds.
+Many independent grids (``zone``) are solved together. ``least_cost`` relaxes cell by cell: a round joins the improved cells with
+the edge table and takes one ``min`` per cell of the state. ``tiled_least_cost`` relaxes tile by tile, for large grids:
+its rounds follow tiles, and between rounds it holds only what enters tiles. ``time_least_cost`` settles one time bucket after
+another. Routes are read off a settled field by pointer doubling, in as many rounds as the route's length has binary digits.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,28 +101,201 @@ def least_cost(edge_table: DataFrame, starts: DataFrame, zone: str = "zone", dou
     return _relax(starts.select(zone, "r", "c", F.lit(0.0).alias("total")), expand, [zone, "r", "c"], "total", [], every)
 
 
+# --- tile by tile ------------------------------------------------------------------------------------------
+
+def _tile_search(cost: np.ndarray, entries: list[tuple[float, int, int]], cell_m: float, cut_corners: bool) -> tuple[np.ndarray, dict[tuple[int, int], float]]:
+    """Cheapest totals within one tile, and of the moves that leave it.
+
+    ``cost`` has the tile's cells and a rim of one cell around them, NaN where closed; totals beyond the rim's inner edge are exits.
+    """
+    rows, cols = cost.shape
+    total = np.full(cost.shape, np.inf)
+    exits: dict[tuple[int, int], float] = {}
+    open_ = np.isfinite(cost)
+    heap = []
+    for at, r, c in entries:
+        if open_[r, c] and at < total[r, c]:
+            total[r, c] = at
+            heap.append((at, r, c))
+    heapq.heapify(heap)
+    steps = [(a, b, 0.5 * cell_m * math.hypot(a, b)) for a, b in NEIGHBOURS]
+    while heap:
+        at, r, c = heapq.heappop(heap)
+        if at > total[r, c]:
+            continue
+        here = cost[r, c]
+        for a, b, half in steps:
+            nr, nc = r + a, c + b
+            if not open_[nr, nc] or (a and b and not cut_corners and not open_[r, nc] and not open_[nr, c]):
+                continue
+            new = at + half * (here + cost[nr, nc])
+            if 0 < nr < rows - 1 and 0 < nc < cols - 1:
+                if new < total[nr, nc]:
+                    total[nr, nc] = new
+                    heapq.heappush(heap, (new, nr, nc))
+            elif new < exits.get((nr, nc), math.inf):
+                exits[nr, nc] = new
+    return total, exits
+
+
+def tiled_least_cost(cells: DataFrame, starts: DataFrame, cell_m: float, zone: str = "zone", value: str = "cost", tile: int = 64,
+                     cut_corners: bool = False, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """The field of ``least_cost``, in rounds that follow tiles.
+
+    A round solves each tile that something cheaper has entered since it was last solved, from all entries known so far (at most 4 * tile
+    cells of its edge and the start), and hands what leaves it to its neighbours. Only entries live between rounds. Once no
+    entry improves, one last pass fills in the tiles. A tile has tile**2 cells, whatever the grid's size. A cell (zone, r, c) occurs once.
+    """
+    side = F.lit(tile)
+    open_cells = cells.where(finite(F.col(value))).select(zone, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col(value).cast("double").alias("_v"))
+    reach = lambda x: F.array_distinct(F.array(*[F.floor((F.col(x) + d) / side).cast("int") for d in (-1, 0, 1)]))
+    placed = (open_cells.withColumn("_tr", F.explode(reach("r"))).withColumn("_tc", F.explode(reach("c"))))
+    keys = [zone, "_tr", "_tc"]
+    grids = cut_lineage(placed.groupBy(*keys).agg(F.collect_list(F.struct("r", "c", "_v")).alias("_cells")))   # at most (tile + 2)**2
+    grids = grids.select(*[F.col(c).alias(f"_g{c}") for c in keys], "_cells")         # names of its own: both sides may stem from one table
+    home = [F.floor(F.col(x) / side).cast("int").alias(f"_t{x}") for x in ("r", "c")]
+    kind = dict(cells.dtypes)[zone]
+    schema = f"{zone} {kind}, r int, c int, total double"
+
+    def solve(field: bool):
+        def run(key: tuple, entries: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(entries) and len(grid):
+                base_r, base_c = int(key[1]) * tile - 1, int(key[2]) * tile - 1
+                cost = np.full((tile + 2, tile + 2), np.nan)
+                for x in grid["_cells"].iat[0]:
+                    cost[x["r"] - base_r, x["c"] - base_c] = x["_v"]
+                began = zip(entries["total"].tolist(), (entries["r"] - base_r).tolist(), (entries["c"] - base_c).tolist())
+                total, exits = _tile_search(cost, list(began), cell_m, cut_corners)
+                if field:
+                    out = [(key[0], base_r + int(r), base_c + int(c), float(total[r, c])) for r, c in zip(*np.nonzero(np.isfinite(total)))]
+                else:
+                    out = [(key[0], base_r + r, base_c + c, t) for (r, c), t in exits.items()]
+            return pd.DataFrame(out, columns=[zone, "r", "c", "total"])
+        return run
+
+    def solved(entries: DataFrame, field: bool) -> DataFrame:
+        return entries.groupBy(*keys).cogroup(grids.groupBy(*[f"_g{c}" for c in keys])).applyInPandas(solve(field), schema)
+
+    entries = cut_lineage(starts.select(zone, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0.0).alias("total"), F.lit(0).alias("_round"))
+                          .withColumns({f"_t{x}": F.floor(F.col(x) / side).cast("int") for x in ("r", "c")}))
+    for done in range(1, max_rounds + 1):
+        active = entries.where(F.col("_round") == done - 1).select(*keys).distinct()
+        fresh = solved(entries.join(active, keys, "left_semi"), False).select(zone, "r", "c", "total", F.lit(done).alias("_round"), *home)
+        best = F.min(F.struct("total", "_round")).alias("m")
+        entries = cut_lineage(entries.unionByName(fresh).groupBy(zone, "r", "c", "_tr", "_tc").agg(best)
+                              .select(zone, "r", "c", "m.total", "m._round", "_tr", "_tc"))
+        if entries.where(F.col("_round") == done).isEmpty():
+            return solved(entries, True)
+    raise RuntimeError("relaxation did not settle")
+
+
+# --- routes ------------------------------------------------------------------------------------------------
+
+def predecessors(edge_table: DataFrame, field: DataFrame, zone: str = "zone") -> DataFrame:
+    """zone, r, c, pr, pc: the cell before each reached one on its cheapest path; starts have none.
+
+    Of equally cheap ones (to 6 decimals) the first in row order. A predecessor costs strictly less, so links never form
+    a circle; costs are to be above zero.
+    """
+    here = field.select(zone, "r", "c", F.col("total").alias("_from"))
+    there = field.select(zone, F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("total").alias("_to"))
+    steps = (edge_table.select(zone, "r", "c", "nr", "nc", "weight").join(here, [zone, "r", "c"]).join(there, [zone, "nr", "nc"])
+             .where(F.col("_from") < F.col("_to")))
+    best = F.min(F.struct(F.round(F.col("_from") + F.col("weight"), 6).alias("t"), F.col("r").alias("pr"), F.col("c").alias("pc"))).alias("m")
+    return steps.groupBy(zone, F.col("nr").alias("r"), F.col("nc").alias("c")).agg(best).select(zone, "r", "c", "m.pr", "m.pc")
+
+
+def trace(links: DataFrame, ends: DataFrame, node: list[str], before: list[str], within: list[str] = ("zone",), route: str = "route_id") -> DataFrame:
+    """Ordered rows of the way from a root to each end: route, seq (from 0 at the root), ``within``, node.
+
+    ``links`` lead from ``node`` to the node ``before`` it, both ``within`` the same. Pointers double: after k rounds every link
+    spans 2**k steps and each route has its last 2**k nodes, so a route of n nodes takes about log2(n) rounds.
+    """
+    within = list(within)
+    jump = cut_lineage(links.select(*within, *node, *before).where(F.col(before[0]).isNotNull()))
+    found = cut_lineage(ends.select(route, *within, *node, F.lit(0).cast("long").alias("back")))
+    hop = 1
+    while True:
+        more = found.join(jump, [*within, *node]).select(route, *within, *[F.col(b).alias(n) for n, b in zip(node, before)], (F.col("back") + hop).alias("back"))
+        more = cut_lineage(more)
+        if more.isEmpty():
+            break
+        found = cut_lineage(found.unionByName(more))
+        onward = jump.select(*within, *[F.col(n).alias(b) for n, b in zip(node, before)], *[F.col(b).alias(f"_{b}") for b in before])
+        jump = cut_lineage(jump.join(onward, [*within, *before]).select(*within, *node, *[F.col(f"_{b}").alias(b) for b in before]))
+        hop *= 2
+    length = found.groupBy(route).agg(F.max("back").alias("_length"))
+    return found.join(length, route).select(route, (F.col("_length") - F.col("back")).cast("int").alias("seq"), *within, *node)
+
+
+def outcomes(ends: DataFrame, cells: DataFrame, field: DataFrame, zone: str = "zone", value: str = "cost") -> DataFrame:
+    """``ends`` with total, found, and the reason why there is no route: outside, blocked or unreachable."""
+    there = cells.select(zone, "r", "c", finite(F.col(value)).alias("_open"))
+    out = ends.join(there, [zone, "r", "c"], "left").join(field.select(zone, "r", "c", "total"), [zone, "r", "c"], "left")
+    reason = (F.when(F.col("_open").isNull(), "outside").when(~F.col("_open"), "blocked").when(F.col("total").isNull(), "unreachable"))
+    return out.withColumn("found", F.col("total").isNotNull()).withColumn("reason", reason).drop("_open")
+
+
+# --- by time bucket ----------------------------------------------------------------------------------------
+
 def time_least_cost(grid: DataFrame, field: DataFrame, starts: DataFrame, cell_m: float, speed: float, bucket_s: float,
                     deadline_s: float, zone: str = "zone", every: int = 4) -> DataFrame:
-    """The same with costs that change by arrival bucket: one label per (cell, bucket).
+    """The same with costs that change by arrival bucket: one label per (cell, bucket), with the label before it (pr, pc, pb).
+
+    ``grid`` holds the passable cells (geometry only), ``field`` the cost of a cell in a bucket, above zero; a missing or infinite
+    cost is impassable at that time. The label of a key is the cheapest way to arrive in it that extends labels of other keys; of
+    equal costs the earliest, then the first predecessor in row order.
 
-    ``grid`` holds the passable cells (geometry only), ``field`` the cost of a
-    cell in a bucket; a missing or infinite cost is impassable at that time.
-    The label kept per key is the cheapest, and of equal costs the earliest.
+    Arrival only grows, so bucket after bucket becomes final. Inside a bucket each round recomputes all labels from what has
+    entered the bucket and from the labels of the round before, until two rounds agree; a label that lost its place leaves no
+    offspring. Costs above zero make that fixed point unique: ``every`` (rounds between two tests for it) cannot change the result.
     """
     moves = edges(grid.withColumn("cost", F.lit(1.0)), cell_m, zone).select(zone, "r", "c", "nr", "nc", "dist_m")
-    moves = cut_lineage(moves.repartition(zone, "r", "c"))
-    costs = cut_lineage(field.where(finite(F.col("cost"))).select(zone, "r", "c", "bucket", "cost").repartition(zone, "r", "c"))
-    here = costs.withColumnRenamed("cost", "_here")
+    costs = field.where(finite(F.col("cost"))).select(zone, "r", "c", "bucket", "cost")
+    span = math.ceil(math.sqrt(2.0) * cell_m / speed / bucket_s)
     there = costs.select(zone, F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("bucket").alias("nb"), F.col("cost").alias("_there"))
+    ahead = F.explode(F.array(*[F.lit(k) for k in range(span + 1)])).alias("_k")
+    # the moves of a label in one row: 8 neighbours in each bucket that one move can reach
+    ways = (costs.join(moves, [zone, "r", "c"]).select("*", ahead).withColumn("nb", F.col("bucket") + F.col("_k")).join(there, [zone, "nr", "nc", "nb"])
+            .groupBy(zone, "r", "c", "bucket")
+            .agg(F.collect_list(F.struct("nr", "nc", "nb", "dist_m", (F.col("dist_m") * 0.5 * (F.col("cost") + F.col("_there"))).alias("w"))).alias("ways")))
+    ways = cut_lineage(ways)
+    keys, label = [zone, "r", "c", "bucket"], ["total", "time", "pr", "pc", "pb"]
+    best = F.min(F.struct(*label)).alias("m")
 
-    def expand(frontier: DataFrame) -> DataFrame:
-        step = (frontier.join(here, [zone, "r", "c", "bucket"]).join(moves, [zone, "r", "c"])
-                .withColumn("arrive", F.col("time") + F.col("dist_m") / speed).where(F.col("arrive") <= deadline_s)
-                .withColumn("nb", F.floor(F.col("arrive") / bucket_s).cast("int")).join(there, [zone, "nr", "nc", "nb"]))
-        total = F.col("total") + F.col("dist_m") * 0.5 * (F.col("_here") + F.col("_there"))
-        return (step.groupBy(zone, F.col("nr").alias("r"), F.col("nc").alias("c"), F.col("nb").alias("bucket"))
-                .agg(F.min(F.struct(total.alias("total"), F.col("arrive").alias("time"))).alias("m"))
-                .select(zone, "r", "c", "bucket", "m.total", "m.time"))
-
-    seeds = starts.select(zone, "r", "c", F.lit(0).alias("bucket"), F.lit(0.0).alias("total"), F.lit(0.0).alias("time"))
-    return _relax(seeds, expand, [zone, "r", "c", "bucket"], "total", ["time"], every)
+    def cheapest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(best).select(*keys, *[f"m.{x}" for x in label])
+
+    def moved(labels: DataFrame) -> DataFrame:
+        step = labels.join(ways, keys).select(zone, "r", "c", "bucket", "total", "time", F.inline("ways"))
+        arrive = F.col("time") + F.col("dist_m") / speed
+        step = step.withColumn("arrive", arrive).where((F.col("arrive") <= deadline_s) & (F.floor(F.col("arrive") / bucket_s) == F.col("nb")))
+        return step.select(zone, F.col("nr").alias("_r"), F.col("nc").alias("_c"), F.col("nb").alias("_b"), (F.col("total") + F.col("w")).alias("_total"),
+                           F.col("arrive").alias("_time"), "r", "c", "bucket").toDF(zone, "r", "c", "bucket", *label)
+
+    none = F.lit(None).cast("int")
+    arriving = [starts.select(zone, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0).alias("bucket"), F.lit(0.0).alias("total"),
+                              F.lit(0.0).alias("time"), none.alias("pr"), none.alias("pc"), none.alias("pb"))]
+    settled = None
+    for bucket in range(math.floor(deadline_s / bucket_s) + 1):
+        entered = arriving[0]
+        for x in arriving[1:]:
+            entered = entered.unionByName(x)
+        entered = cut_lineage(cheapest(entered.where(F.col("bucket") == bucket)))
+        if entered.isEmpty():
+            continue
+        now, rounds = entered, 0
+        while True:
+            for _ in range(every):
+                before, now = now, cheapest(entered.unionByName(moved(now).where(F.col("bucket") == bucket)))
+            rounds += every
+            now, before = cut_lineage(now), before if every == 1 else cut_lineage(before)
+            if now.count() == before.count() and now.join(before, [*keys, "total", "time"], "left_anti").isEmpty():
+                break
+            if rounds > MAX_ROUNDS:
+                raise RuntimeError("relaxation did not settle")
+        settled = now if settled is None else settled.unionByName(now)
+        leaving = cut_lineage(cheapest(moved(now).where(F.col("bucket") > bucket)))
+        arriving = [*arriving[-span:], leaving]
+    return settled if settled is not None else entered

@@ -1,4 +1,4 @@
 """Imports every subject module, so that the registry is complete."""
 
-from . import cost, drift, exposure, forecast, missions, models, risk, routes, storage, tracks  # noqa: F401
+from . import cost, drift, exposure, forecast, missions, models, planned, risk, routes, storage, tracks  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -157,11 +157,12 @@ def edges(spark, sf):
                                                                F.round("weight", 4).alias("weight"))
 
 
-_WALK = using("edge", """SELECT zone, r, c, round(min(total), 4) AS total FROM walk GROUP BY ALL""", also="""walk AS (
+WALK = """walk AS (
     SELECT zone, CAST(split_part(s, ':', 1) AS INTEGER) AS r, CAST(split_part(s, ':', 2) AS INTEGER) AS c, 0.0::DOUBLE AS total, 0 AS hops
     FROM (SELECT zone, arg_min(r || ':' || c, r * 1000 + c) AS s FROM passable GROUP BY zone)
     UNION ALL SELECT w.zone, e.nr, e.nc, min(w.total + e.weight), any_value(w.hops) + 1 FROM walk w JOIN edge e ON e.zone = w.zone AND e.r = w.r AND e.c = w.c
-    WHERE w.hops < 120 GROUP BY w.zone, e.nr, e.nc)""").replace("WITH ", "WITH RECURSIVE ", 1)
+    WHERE w.hops < 120 GROUP BY w.zone, e.nr, e.nc)"""
+_WALK = using("edge", "SELECT zone, r, c, round(min(total), 4) AS total FROM walk GROUP BY ALL", also=WALK).replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("least_cost", _WALK)
@@ -170,6 +171,13 @@ def least_cost(spark, sf):
     return (paths.least_cost(paths.edges(cells, t.CELL_M), starts(cells)).withColumn("total", F.round("total", 4)))
 
 
+@query("least_cost_tiled", _WALK)
+def least_cost_tiled(spark, sf):
+    """The same field by tiles of 8 x 8 cells."""
+    cells = grid_cells(spark, sf)
+    return paths.tiled_least_cost(cells, starts(cells), t.CELL_M, tile=8).withColumn("total", F.round("total", 4))
+
+
 @query("time_least_cost")
 def time_least_cost(spark, sf):
     """Cheapest label per cell and arrival bucket; no SQL twin, checked exhaustively in the tests."""

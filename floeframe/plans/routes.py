@@ -29,27 +29,34 @@ def clock(spark, sf):
     return op.clocked(t.route_points(spark, sf), t.CELL_M, t.SPEED_MPS)
 
 
-def priced(spark, sf):
+def priced(spark, sf, clocked=None):
     """Route points with the cost terms of their arrival bucket."""
     field = cq.final(spark, sf).drop("u", "v", "land", "shelf", "supplied")
     buckets = spark.range(t.BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    return ct.at_arrival(clock(spark, sf), field, CELL, ex.bucket_of(F.col("arrival_s"), t.BUCKET_S), buckets)
+    return ct.at_arrival(clock(spark, sf) if clocked is None else clocked, field, CELL, ex.bucket_of(F.col("arrival_s"), t.BUCKET_S), buckets)
 
 
 _NEXT = ", ".join(f"lead({c}) OVER w AS n_{c}" for c in [*TERMS, "final_cost"])
 _ALL = [*TERMS, "final_cost"]
 
 
-@query("route_price", using("priced", f"""SELECT route_id, cells, distance_m, travel_s, unpriceable,
+PRICE = f"""SELECT route_id, cells, distance_m, travel_s, unpriceable,
     CASE WHEN outside > 0 THEN 'outside_buckets' WHEN unpriceable > 0 THEN 'unpriceable_cell' END AS reason,
     CASE WHEN unpriceable = 0 THEN TRUE END AS reconciles,
     {', '.join(f'CASE WHEN unpriceable = 0 THEN round(coalesce(s_{c}, 0), 4) END AS {c}' for c in _ALL)}
     FROM (SELECT route_id, count(*) AS cells, round(sum(dist_m), 4) AS distance_m, round(max(arrival_s), 4) AS travel_s,
       count(*) FILTER (WHERE bad) AS unpriceable, count(*) FILTER (WHERE NOT bucket_known) AS outside,
       {', '.join(f'sum(dist_m * 0.5 * ({c} + n_{c})) FILTER (WHERE NOT bad AND n_{c} IS NOT NULL AND isfinite(n_{c})) AS s_{c}' for c in _ALL)}
-      FROM (SELECT *, {_NEXT} FROM priced WINDOW w AS (PARTITION BY route_id ORDER BY seq)) GROUP BY route_id)"""))
+      FROM (SELECT *, {_NEXT} FROM priced WINDOW w AS (PARTITION BY route_id ORDER BY seq)) GROUP BY route_id)"""
+
+
+@query("route_price", using("priced", PRICE))
 def route_price(spark, sf):
-    out = op.price(priced(spark, sf), TERMS, "final_cost")
+    return prices(priced(spark, sf))
+
+
+def prices(points):
+    out = op.price(points, TERMS, "final_cost")
     return out.select("route_id", "cells", F.round("distance_m", 4).alias("distance_m"), F.round("travel_s", 4).alias("travel_s"),
                       "unpriceable", "reason", "reconciles", *[F.round(c, 4).alias(c) for c in _ALL])
 

@@ -140,6 +140,104 @@ def test_time_least_cost_finds_the_gate_that_opens_later(spark):
     assert min(at_goal.values()) < at_goal[0]
 
 
+def dijkstra(grid, begin):
+    heap, done = [(0.0, begin)], {}
+    while heap:
+        d, at = heapq.heappop(heap)
+        if at in done:
+            continue
+        done[at] = d
+        for t, m in moves(grid, at):
+            heapq.heappush(heap, (d + m * 0.5 * (grid[at] + grid[t]), t))
+    return done
+
+
+@pytest.mark.parametrize("tile", [1, 5])
+def test_tiles_of_any_size_give_the_same_field(spark, tile):
+    worlds = {f"z{z}": world(z, 11) for z in range(4)}
+    worlds["away"] = {(r - 5, c - 3): v for (r, c), v in world(9, 11).items()}             # tiles also below zero
+    worlds["shut"] = {(0, 0): 1.0, (5, 5): 2.0, (0, 1): None}
+    rows = [(z, r, c, v, 7) for z, g in worlds.items() for (r, c), v in g.items()] + [("nostart", 0, 0, 1.0, 7)]
+    begin = {z: min(k for k, v in g.items() if v is not None) for z, g in worlds.items()}
+    starts = spark.createDataFrame([(z, *s) for z, s in begin.items()] + [("nowhere", 0, 0)], "zone string, r int, c int")
+    out = paths.tiled_least_cost(spark.createDataFrame(rows, "zone string, r int, c int, cost double, total int"), starts, 10.0, tile=tile)
+    got = {(x["zone"], x["r"], x["c"]): x["total"] for x in out.collect()}
+    want = {(z, *k): v for z, g in worlds.items() for k, v in dijkstra(g, begin[z]).items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
+def test_rounds_follow_tiles(spark):
+    cells = spark.range(96 * 96).select(F.lit(0).alias("zone"), (F.col("id") / 96).cast("int").alias("r"), (F.col("id") % 96).cast("int").alias("c"), F.lit(1.0).alias("cost"))
+    start = spark.createDataFrame([(0, 0, 0)], "zone int, r int, c int")
+    far = paths.tiled_least_cost(cells, start, 1.0, tile=32, max_rounds=8).where("r = 95 AND c = 95").first()
+    assert far["total"] == pytest.approx(95 * math.sqrt(2))
+    with pytest.raises(RuntimeError, match="did not settle"):
+        paths.tiled_least_cost(cells, start, 1.0, tile=32, max_rounds=2)
+
+
+def test_routes_are_cheapest_and_ordered(spark):
+    worlds = {z: world(20 + z, 9) for z in range(3)}
+    begin = {z: min(k for k, v in g.items() if v is not None) for z, g in worlds.items()}
+    df = spark.createDataFrame([(z, r, c, v) for z, g in worlds.items() for (r, c), v in g.items()], "zone int, r int, c int, cost double")
+    starts = spark.createDataFrame([(z, *s) for z, s in begin.items()], "zone int, r int, c int")
+    field = paths.least_cost(paths.edges(df, 10.0), starts)
+    ends = [(z * 1000 + i, z, *k) for z, g in worlds.items() for i, k in enumerate(sorted(g)[-12:] + [begin[z], (99, 99)])]
+    asked = spark.createDataFrame(ends, "route_id int, zone int, r int, c int")
+    told = {r["route_id"]: r for r in paths.outcomes(asked, df, field).collect()}
+    out = paths.trace(paths.predecessors(paths.edges(df, 10.0), field), asked.join(field.select("zone", "r", "c"), ["zone", "r", "c"]), ["r", "c"], ["pr", "pc"])
+    routes = {}
+    for x in out.orderBy("route_id", "seq").collect():
+        routes.setdefault(x["route_id"], []).append((x["seq"], (x["r"], x["c"])))
+    for i, z, r, c in ends:
+        g, want = worlds[z], dijkstra(worlds[z], begin[z])
+        reason = None if (r, c) in want else "outside" if (r, c) not in g else "blocked" if g[r, c] is None else "unreachable"
+        assert (told[i]["found"], told[i]["reason"]) == ((r, c) in want, reason) and (i in routes) == ((r, c) in want)
+        if i in routes:
+            way = [k for _, k in routes[i]]
+            assert [s for s, _ in routes[i]] == list(range(len(way))) and way[0] == begin[z] and way[-1] == (r, c)
+            spent = sum(dict(moves(g, a))[b] * 0.5 * (g[a] + g[b]) for a, b in zip(way, way[1:]))     # every move is permitted
+            assert spent == pytest.approx(want[r, c]) and told[i]["total"] == pytest.approx(want[r, c])
+
+
+def timed_world(seed, n=5, buckets=5):
+    rng = random.Random(seed)
+    shape = {(r, c): 1.0 if rng.random() < 0.85 or (r, c) == (0, 0) else None for r in range(n) for c in range(n)}
+    cost = {(r, c, b): 1 + rng.random() * 9 for (r, c), v in shape.items() if v for b in range(buckets) if rng.random() < 0.85 or (r, c, b) == (0, 0, 0)}
+    return shape, cost
+
+
+def settle_in_order(shape, cost, bucket_s, deadline):
+    """Labels settle bucket by bucket and cheapest first, once per (cell, bucket)."""
+    heap, done = [(0, 0.0, 0.0, (0, 0))], {}
+    while heap:
+        b, g, t, at = heapq.heappop(heap)
+        if (at, b) in done:
+            continue
+        done[at, b] = (g, t)
+        for to, m in moves(shape, at):
+            when = t + m
+            nb = int(when // bucket_s)
+            if when <= deadline and (*at, b) in cost and (*to, nb) in cost:
+                heapq.heappush(heap, (nb, g + m * 0.5 * (cost[(*at, b)] + cost[(*to, nb)]), when, to))
+    return done
+
+
+@pytest.mark.parametrize("bucket_s, deadline", [(35.0, 140.0), (8.0, 39.0)])
+def test_time_buckets_do_not_depend_on_rounds(spark, bucket_s, deadline):
+    worlds = {z: timed_world(z) for z in range(3)}
+    grid = spark.createDataFrame([(z, r, c, v) for z, (shape, _) in worlds.items() for (r, c), v in shape.items()], "zone int, r int, c int, cost double").where("cost IS NOT NULL")
+    field = spark.createDataFrame([(z, *k, v) for z, (_, cost) in worlds.items() for k, v in cost.items()], "zone int, r int, c int, bucket int, cost double")
+    starts = spark.createDataFrame([(z, 0, 0) for z in worlds], "zone int, r int, c int")
+    want = {(z, *at, b): v for z, (shape, cost) in worlds.items() for (at, b), v in settle_in_order(shape, cost, bucket_s, deadline).items()}
+    for every in (1, 3):
+        out = paths.time_least_cost(grid, field, starts, 10.0, 1.0, bucket_s, deadline, every=every).collect()
+        got = {(x["zone"], x["r"], x["c"], x["bucket"]): (x["total"], x["time"]) for x in out}
+        assert got.keys() == want.keys(), every
+        assert all(got[k] == pytest.approx(v) for k, v in want.items()), every
+        links = {(x["zone"], x["r"], x["c"], x["bucket"]): (x["zone"], x["pr"], x["pc"], x["pb"]) for x in out}
+        assert all(v[1] is None or got[v][0] < got[k][0] for k, v in links.items())                   # each label extends a settled one
+
+
 def test_time_least_cost_searches_all_buckets(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(missions.paths, "time_least_cost", lambda *a: asked.append(a[-2:]) or a[2].select("zone", F.lit(0.0).alias("total"), F.lit(0.0).alias("time")))
