@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .common import Scratch
 
 LETTERS = r"[A-Za-zÀ-ÿ]"
@@ -39,7 +40,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PLACES = 32
 FOLD = np.array([c - 97 if 97 <= c <= 122 else 26 + c % 6 for c in range(256)])      # letter to place in the vector
 FACTOR = 10              # a form is at least so many times as frequent
-LEAF = 24                # words in a leaf of a cell's tree
+LEAF = 48                # words in a leaf of a cell's tree
 CELL = 4096              # words a cell is meant to hold
 MOST_CELLS = 20_000      # beyond so many, cells grow instead
 SAMPLE = 16              # sampled words for each cell, for the splits
@@ -109,18 +110,19 @@ class Tree:
 
     def search(self, vectors: np.ndarray, up: int, down: int) -> Iterator[tuple[object, np.ndarray]]:
         """(leaf's rows or cell, numbers of the vectors in reach): counts may rise by ``up`` and fall by ``down`` in all."""
-        stack = [(0, np.arange(len(vectors)))]
+        stack = [(0, np.arange(len(vectors)), np.ascontiguousarray(vectors.T))]
         while stack:
-            at, q = stack.pop()
-            v = vectors[q]
-            rise, fall = np.maximum(self.low[at] - v, 0).sum(1), np.maximum(v - self.high[at], 0).sum(1)
-            q = q[(rise <= up) & (fall <= down)]
+            at, q, v = stack.pop()                               # places by words, so that sums run along memory
+            reach = np.maximum(self.low[at][:, None] - v, 0).sum(0, dtype=v.dtype) <= up
+            reach &= np.maximum(v - self.high[at][:, None], 0).sum(0, dtype=v.dtype) <= down
+            if not reach.all():
+                q, v = q[reach], v[:, reach]
             if not len(q):
                 continue
             if self.children[at] is None:
                 yield self.rows[at], q
             else:
-                stack += [(self.children[at][0], q), (self.children[at][1], q)]
+                stack += [(self.children[at][0], q, v), (self.children[at][1], q, v)]
 
 
 def replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -218,28 +220,36 @@ def _route(trees: dict[int, Tree | None], ways: dict[tuple[int, int], int]):
     """Each word as a target (role 0) of its own cell and as a query of its own (1) and other cells (2)."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            home = f["cell"].to_numpy()
+            salts = np.array([xxhash.xxh32_intdigest(w.encode()) for w in f["word"]], dtype=np.int64)
+            rows = []                                            # (row numbers, size, cell, role, salt), one array each
             for length, at in by_length(f["word"]):
-                part = f.iloc[at]
-                vectors, home = counts(codes(part["word"].tolist())), part["cell"].to_numpy()
+                vectors = counts(codes(f["word"].iloc[at].tolist()))
                 if length == 126:
                     vectors = vectors.astype(np.int32)           # the next length counts in wider numbers
-                salts = np.array([xxhash.xxh32_intdigest(w.encode()) for w in part["word"]], dtype=np.int64)
-                for longer in (0, 1):
-                    size = length + longer
+                for size in (length, length + 1):
                     if size not in trees:
                         continue
-                    for cell, q in _cells(trees[size], vectors, 1, 1 - longer):
-                        parts = ways.get((size, cell), 1)
-                        own = home[q] == cell
-                        if not longer:
-                            yield part.iloc[q[own]].assign(size=size, cell=cell, role=0, salt=salts[q[own]] % parts)
-                            q, own = q[home[q] >= cell], own[home[q] >= cell]
-                        if len(q):
-                            for salt in range(parts):
-                                yield part.iloc[q].assign(size=size, cell=cell, salt=salt, role=np.where(own, 1, 2) if not longer else 2)
+                    for cell, q in _cells(trees[size], vectors, 1, int(size == length)):
+                        parts, q = ways.get((size, cell), 1), at[q]
+                        role = np.full(len(q), 2)
+                        if size == length:
+                            role[home[q] == cell] = 1
+                            own = q[role == 1]
+                            rows.append((own, size, cell, np.zeros(len(own), int), salts[own] % parts))
+                            q, role = q[home[q] >= cell], role[home[q] >= cell]
+                        rows += [(q, size, cell, role, np.full(len(q), salt)) for salt in range(parts) if len(q)]
+            picked = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, int)
+            lengths = [len(r[0]) for r in rows]
+            for begin in range(0, len(picked), ROUTED_ROWS):
+                some = slice(begin, begin + ROUTED_ROWS)
+                out = f.iloc[picked[some]][["word", "n"]]
+                yield out.assign(cell=np.repeat([r[2] for r in rows], lengths)[some], size=np.repeat([r[1] for r in rows], lengths)[some],
+                                 role=np.concatenate([r[3] for r in rows])[some], salt=np.concatenate([r[4] for r in rows])[some])
     return run
 
 
+ROUTED_ROWS = 50_000     # rows handed on at once
 ROUTED = "word string, n long, cell int, size int, role int, salt int"
 FOUND = "word string, near long, best_n long, best string"
 
@@ -301,7 +311,7 @@ def near(vocabulary: DataFrame, scratch: Scratch) -> DataFrame:
     held = homes.groupBy(F.char_length("word"), "cell").count().collect()
     ways = {(size, cell): k for size, cell, rows in held if (k := math.ceil(rows * max(size, 64) / (2 * CELL * 64))) > 1}
     key = ["size", "cell", "salt"]
-    routed = homes.mapInPandas(_route(trees, ways), ROUTED).repartition(*key).sortWithinPartitions(*key, "role")
+    routed = spread(homes).mapInPandas(_route(trees, ways), ROUTED).repartition(*key).sortWithinPartitions(*key, "role")
     found = routed.mapInPandas(_cell, FOUND)
     best = F.min(F.struct((-F.col("best_n")).alias("a"), F.col("best").alias("b"))).alias("m")
     return found.groupBy("word").agg(F.sum("near").alias("near"), best).select("word", "near", (-F.col("m.a")).alias("best_n"), F.col("m.b").alias("best"))
