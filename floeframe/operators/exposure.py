@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
@@ -128,3 +128,28 @@ def nearest_approach(states: DataFrame, start: tuple[float, float], goal: tuple[
     d = F.hypot(x - (ax + t * dx), y - (ay + t * dy))
     return (states.withColumn("_d", d).groupBy("iceberg_id")
             .agg(F.min("_d").alias("distance_m"), F.min_by("hours", F.struct("_d", "hours")).alias("at_hours")))
+
+
+def state_at(states: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """Where each key's body is at each asked hour: keys, at_h, lat, lon, from_h, to_h, exact, outside.
+
+    ``states`` has (keys, hours, lat, lon), ``asked`` (keys, at_h). Both are united and walked once in the order of hours: the last
+    state before and the first after bracket an hour, with no join. Longitude takes the shorter arc, an hour that has a state of its own is
+    exact, and one before the first or after the last state is outside and has no position; nothing is carried beyond a forecast. Of
+    several states of one hour the first by position counts. A key's rows are its horizons and the hours asked of it.
+    """
+    one = states.groupBy(*keys, "hours").agg(F.min(F.struct("lat", "lon")).alias("_p")).select(*keys, "hours", F.struct("hours", "_p.lat", "_p.lon").alias("_s"))
+    rows = (one.withColumn("_asked", F.lit(False))
+            .unionByName(asked.select(*keys, F.col("at_h").cast("double").alias("hours"), F.lit(True).alias("_asked")), allowMissingColumns=True))
+    window = Window.partitionBy(*keys).orderBy("hours", "_asked")            # a state comes before a question of the same hour
+    rows = (rows.withColumn("_a", F.last("_s", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+            .withColumn("_b", F.first("_s", ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing)))
+            .where("_asked"))
+    exact = F.coalesce(F.col("_a.hours") == F.col("hours"), F.lit(False))
+    outside = ~exact & (F.col("_a").isNull() | F.col("_b").isNull())
+    f = (F.col("hours") - F.col("_a.hours")) / (F.col("_b.hours") - F.col("_a.hours"))
+    between = lambda c, gap: F.when(exact, F.col(f"_a.{c}")).when(~outside, F.col(f"_a.{c}") + gap * f)
+    return (rows.withColumn("lat", between("lat", F.col("_b.lat") - F.col("_a.lat")))
+            .withColumn("lon", between("lon", ex.shortest_arc(F.col("_b.lon") - F.col("_a.lon"))))
+            .select(*keys, F.col("hours").alias("at_h"), "lat", F.when(F.col("lon").isNotNull(), ex.normalise_longitude(F.col("lon"))).alias("lon"),
+                    F.col("_a.hours").alias("from_h"), F.when(exact, F.col("_a.hours")).otherwise(F.col("_b.hours")).alias("to_h"), exact.alias("exact"), outside.alias("outside")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cost as op
 from ..operators import risk as rk
+from ..operators import timeline as tl
 from ..sources import tables as t
 from . import exposure as xp
 from . import risk as rp
@@ -183,3 +184,43 @@ def timeline_summary(spark, sf):
     FROM (SELECT *, CASE WHEN source = 'model_forecast' THEN want_day ELSE base_day END AS ed FROM sources) GROUP BY request"""))
 def date_alignment(spark, sf):
     return op.date_alignment(sources(spark, sf), ["want_day", "environment_day"], ["request"])
+
+
+_WINDOW = """SELECT request, CAST(b.bucket AS INTEGER) AS bucket, valid_from, CAST(departure AS DATE) AS base, CAST(valid_from AS DATE) AS want,
+    CAST(departure AS DATE) IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'O') AS base_seen,
+    CAST(valid_from AS DATE) IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderstatus = 'O') AS own_seen,
+    (SELECT min(l) FROM (VALUES (24), (48)) x(l) WHERE CAST(departure AS DATE) + CAST(l // 24 AS INTEGER) = CAST(valid_from AS DATE)
+       AND valid_from + to_hours(6) <= CAST(valid_from AS DATE) + INTERVAL 1 DAY) AS lead,
+    date_diff('second', CAST(CAST(departure AS DATE) AS TIMESTAMP), valid_from) / 3600.0 AS asked
+    FROM (SELECT *, departure + to_hours(bucket * 6) AS valid_from FROM requests) b"""
+define("windowed", f"""SELECT w.*, f.lead_h AS made FROM ({_WINDOW}) w LEFT JOIN fields f ON f.origin = w.base AND f.lead_h = w.lead""", ["requests", "fields"])
+_POLICY_SQL = {
+    tl.PERSISTENCE: ("base_seen AND want = base", "'observed_analysis'", "base_seen", "base", "false", "'departure_analysis_absent'", "NULL"),
+    tl.DATED_OBSERVATION: ("own_seen", "'observed_analysis'", "false", "want", "want > base", "'no_analysis_of_the_day'", "NULL"),
+    tl.MODEL_FORECAST: ("made IS NOT NULL", "'model_forecast'", "false", "want", "false",
+                        "CASE WHEN lead IS NOT NULL THEN 'field_not_made' WHEN asked = 0 THEN 'observation' WHEN asked IN (6, 12) THEN 'no_sub_daily_target' ELSE 'not_covered' END", "made"),
+    tl.LONG_HORIZON: ("made IS NOT NULL", "'model_forecast'", "true", "want", "false", "CAST(NULL AS VARCHAR)", "made")}
+
+
+def _policy_sql(policy: str) -> str:
+    direct, name, carried, day, future, missing, lead = _POLICY_SQL[policy]
+    return using("windowed", f"""SELECT request, bucket, source_type, lead_h, CASE source_type WHEN 'explicit_persistence' THEN base WHEN 'unavailable' THEN NULL ELSE {day} END
+        AS environment_day, CASE WHEN source_type = 'explicit_persistence' THEN 'persisted_from_' || base END AS fallback,
+        source_type = 'explicit_persistence' AS persisted, source_type = 'observed_analysis' AND {future} AS uses_future_observation,
+        CASE WHEN source_type = 'unavailable' THEN {missing} END AS reason
+        FROM (SELECT *, CAST({lead} AS INTEGER) AS lead_h, CASE WHEN {direct} THEN {name} WHEN {carried} THEN 'explicit_persistence' ELSE 'unavailable' END AS source_type FROM windowed)""")
+
+
+def _policy(name: str, policy: str, on_missing: str):
+    @query(name, _policy_sql(policy))
+    def run(spark, sf):
+        """Every bucket's environment under one policy."""
+        return (tl.timeline(*bucket_requests(spark, sf), policy, 6 * 3600.0, on_missing)
+                .select("request", "bucket", "source_type", "lead_h", "environment_day", "fallback", "persisted", "uses_future_observation", "reason"))
+    return run
+
+
+timeline_persistence = _policy("timeline_persistence", tl.PERSISTENCE, "refuse")
+timeline_observation = _policy("timeline_observation", tl.DATED_OBSERVATION, "refuse")
+timeline_forecast = _policy("timeline_forecast", tl.MODEL_FORECAST, "refuse")
+timeline_evaluation = _policy("timeline_evaluation", tl.LONG_HORIZON, "persist")

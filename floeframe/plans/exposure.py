@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import global_rank
 from ..operators import exposure as op
+from ..session import stored
 from ..sources import tables as t
 from . import drift as dr
 from .registry import query
@@ -112,19 +113,24 @@ def states_by_berg(spark, sf):
                  F.array_join(F.transform(listed, lambda s: s["label"]), ",").alias("labels")))
 
 
-@query("berg_at", using("berg_states", """SELECT a.iceberg_id, a.sensor, a.prev_day, round(a.lat + (b.lat - a.lat) * 0.5, 6) AS lat,
-    round(a.lon + ((((b.lon - a.lon) + 540.0) % 360.0 + 360.0) % 360.0 - 180.0) * 0.5, 6) AS lon, FALSE AS exact
-    FROM berg_states a JOIN berg_states b USING (iceberg_id, sensor, prev_day) WHERE a.hours = 24 AND b.hours = 48"""))
+ASKED_H = [-6.0, 0.0, 9.0, 24.0, 36.0, 47.5, 100.0, 1000.0]
+
+
+@query("berg_at", using("berg_states", f"""SELECT iceberg_id, sensor, prev_day, at_h, round(lat, 6) AS lat,
+    round(CASE WHEN lon >= -180 AND lon < 180 THEN lon ELSE ((lon + 180.0) % 360.0 + 360.0) % 360.0 - 180.0 END, 6) AS lon,
+    a.hours AS from_h, b.hours AS to_h, coalesce(a.hours = at_h, FALSE) AS exact, a.hours IS NULL OR b.hours IS NULL AS outside
+    FROM (SELECT k.*, at_h, a, b, CASE WHEN a.hours = at_h THEN a.lat ELSE a.lat + (b.lat - a.lat) * (at_h - a.hours) / (b.hours - a.hours) END AS lat,
+        CASE WHEN a.hours = at_h THEN a.lon ELSE a.lon + ((((b.lon - a.lon) + 540.0) % 360.0 + 360.0) % 360.0 - 180.0) * (at_h - a.hours) / (b.hours - a.hours) END AS lon
+      FROM (SELECT iceberg_id, sensor, prev_day, at_h,
+          (SELECT arg_max({{'hours': s.hours, 'lat': s.lat, 'lon': s.lon}}, s.hours) FROM berg_states s WHERE s.iceberg_id = k.iceberg_id AND s.sensor = k.sensor AND s.prev_day = k.prev_day AND s.hours <= at_h) AS a,
+          (SELECT arg_min({{'hours': s.hours, 'lat': s.lat, 'lon': s.lon}}, s.hours) FROM berg_states s WHERE s.iceberg_id = k.iceberg_id AND s.sensor = k.sensor AND s.prev_day = k.prev_day AND s.hours >= at_h) AS b
+        FROM (SELECT DISTINCT iceberg_id, sensor, prev_day FROM berg_states) k, (VALUES {", ".join(f"({h}::DOUBLE)" for h in ASKED_H)}) x(at_h)) k)"""))
 def berg_at(spark, sf):
-    """Position at 36 h between two forecast horizons, by the shortest longitude arc, flagged."""
-    from ..functions import expressions as ex
-    at = lambda h, c: F.max(F.when(F.col("hours") == h, F.col(c)))
-    pair = (berg_states(spark, sf).where(F.col("hours").isin(24.0, 48.0)).groupBy("iceberg_id", "sensor", "prev_day")
-            .agg(at(24, "lat").alias("a"), at(48, "lat").alias("b"), at(24, "lon").alias("x"), at(48, "lon").alias("y")))
-    f = (36.0 - 24.0) / (48.0 - 24.0)
-    return pair.select("iceberg_id", "sensor", "prev_day", F.round(F.col("a") + (F.col("b") - F.col("a")) * f, 6).alias("lat"),
-                       F.round(F.col("x") + ex.shortest_arc(F.col("y") - F.col("x")) * f, 6).alias("lon"),
-                       F.lit(False).alias("exact"))
+    """Positions at several hours: on a horizon, between two by the shortest longitude arc, and outside all of them."""
+    key = ["iceberg_id", "sensor", "prev_day"]
+    states = stored(berg_states(spark, sf).select(*key, "hours", "lat", "lon"))
+    asked = states.select(*key).distinct().select(*key, F.explode(F.array(*[F.lit(h) for h in ASKED_H])).alias("at_h"))
+    return op.state_at(states, asked, key).withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
 
 
 START, GOAL = (-1500000.0, 800000.0), (900000.0, 2100000.0)
