@@ -131,3 +131,44 @@ def nearest_point(points: DataFrame, row: float, col: float, cell_m: float) -> D
     return (points.withColumn("_d", d).groupBy("route_id")
             .agg(F.min_by(F.struct("seq", "r", "c", F.col("_d").alias("distance_m")), F.struct("_d", "seq")).alias("b"))
             .select("route_id", "b.*"))
+
+
+WORD = 64                # positions in one bitmap word
+
+
+def bitmaps(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """keys, word, bits: the set of positions (0 and up) of each key, 64 to a number; combined on the map side, of fixed size."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.col(position), F.lit(WORD)).cast("int"))
+    return (rows.where(F.col(position) >= 0).groupBy(*keys, F.floor(F.col(position) / WORD).cast("long").alias("word"))
+            .agg(F.bit_or(bit).alias("bits")))
+
+
+def positions(words: DataFrame, bits: Column, name: str) -> DataFrame:
+    """One row per position in ``bits``; ``words`` keeps its other columns."""
+    there = F.filter(F.array(*[F.lit(i) for i in range(WORD)]), lambda i: F.call_function("shiftright", F.col("_bits"), i).bitwiseAND(1) == 1)
+    return (words.withColumn("_bits", bits).withColumn("_at", F.explode(there))
+            .withColumn(name, (F.col("word") * WORD + F.col("_at")).cast("int")).drop("_bits", "_at"))
+
+
+def bucket_status(used: DataFrame, fields: DataFrame) -> DataFrame:
+    """route_id, bucket, status: ``priced`` or ``missing`` for buckets a route used, ``display_only`` for fields it never reached.
+
+    ``used`` has (route_id, bucket), repeats allowed; ``fields`` has one bucket per loaded field. A route that used no bucket has no rows.
+    """
+    mine = bitmaps(used, ["route_id"], "bucket")
+    loaded = bitmaps(fields, [], "bucket").select("word", F.col("bits").alias("_field"))
+    # the loaded fields as one row of one entry per 64 buckets, for every route
+    listed = F.broadcast(loaded.agg(F.collect_list(F.struct("word", "_field")).alias("_fields")))
+    all_words = (mine.select("route_id").distinct().join(listed, F.lit(True)).select("route_id", F.inline("_fields"))
+                 .join(mine, ["route_id", "word"], "full")
+                 .withColumns({"_field": F.coalesce("_field", F.lit(0)), "bits": F.coalesce("bits", F.lit(0))}))
+    sets = {"priced": F.col("bits").bitwiseAND(F.col("_field")), "missing": F.col("bits").bitwiseAND(F.bitwise_not("_field")),
+            "display_only": F.col("_field").bitwiseAND(F.bitwise_not("bits"))}
+    rows = all_words.select("route_id", "word", F.explode(F.array(*[F.struct(F.lit(k).alias("status"), v.alias("_set")) for k, v in sets.items()])).alias("s"))
+    return positions(rows.select("route_id", "word", "s.*").where("_set <> 0"), F.col("_set"), "bucket").select("route_id", "bucket", "status")
+
+
+def contributors(priced: DataFrame) -> DataFrame:
+    """route_id, iceberg_id, cells, max_exposure, first_seq: the icebergs that dominate cells of a route, as rows."""
+    return (priced.where(F.col("iceberg_id").isNotNull()).groupBy("route_id", "iceberg_id")
+            .agg(F.count(F.lit(1)).alias("cells"), F.max("exposure").alias("max_exposure"), F.min("seq").alias("first_seq")))

@@ -234,6 +234,22 @@ def priced_horizon(spark, sf):
             .join(F.broadcast(total), F.lit(True)).withColumn("display_only", F.col("_n") - F.col("_h")).drop("_n", "_h"))
 
 
+@query("route_buckets", using("arrived horizons", """SELECT route_id, bucket, status FROM (
+    SELECT DISTINCT a.route_id, a.bucket, CASE WHEN h.bucket IS NULL THEN 'missing' ELSE 'priced' END AS status FROM arrived a LEFT JOIN horizons h ON h.bucket = a.bucket
+    UNION ALL SELECT route_id, h.bucket, 'display_only' FROM (SELECT DISTINCT route_id FROM arrived) r, horizons h
+      WHERE NOT EXISTS (SELECT 1 FROM arrived a WHERE a.route_id = r.route_id AND a.bucket = h.bucket))"""))
+def route_buckets(spark, sf):
+    """Each bucket of each route against the exposure fields loaded."""
+    used = clock(spark, sf).select("route_id", ex.bucket_of(F.col("arrival_s"), t.BUCKET_S).alias("bucket"))
+    return op.bucket_status(used, t.bergs(spark, sf).select("bucket"))
+
+
+@query("route_contributors", using("priced", """SELECT route_id, iceberg_id, count(*) AS cells, round(max(exposure), 6) AS max_exposure, min(seq) AS first_seq
+    FROM priced WHERE iceberg_id IS NOT NULL GROUP BY ALL"""))
+def route_contributors(spark, sf):
+    return op.contributors(priced(spark, sf)).withColumn("max_exposure", F.round("max_exposure", 6))
+
+
 @query("vessel_at", using("clock", """SELECT route_id, seq, round(r + f * coalesce(nr - r, 0), 6) AS r, round(c + f * coalesce(nc - c, 0), 6) AS c, round(f, 6) AS fraction, done AS arrived
     FROM (SELECT *, CASE WHEN 20001 >= arrival_s AND 20001 < na AND na > arrival_s THEN (20001 - arrival_s) / (na - arrival_s) ELSE 0 END AS f,
       na IS NULL AND 20001 >= arrival_s AS done FROM (SELECT *, lead(arrival_s) OVER w AS na, lead(r) OVER w AS nr, lead(c) OVER w AS nc

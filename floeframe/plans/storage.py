@@ -16,7 +16,8 @@ from .sql import using
 from .tracks import wide_tracks
 
 _FAMILIES = {"nic_sass_size": ["nic_1", "nic_2", "nic_3", "sass_1", "sass_2", "sass_3", "size_1", "size_2"],
-             "nic_size": ["nic_1", "nic_2", "nic_3", "size_1", "size_2"], "ascat": ["ascat_1", "ascat_2"]}
+             "nic_size": ["nic_1", "nic_2", "nic_3", "size_1", "size_2"], "ascat": ["ascat_1", "ascat_2"],
+             "qscat_ers": ["qscat_1", "qscat_2", "qscat_3", "ers_1", "ers_2"]}
 
 
 @query("track_union", using("sightings", """SELECT schema_family, sensor, count(*) AS fixes, count(DISTINCT iceberg_id) AS icebergs,
@@ -24,13 +25,15 @@ _FAMILIES = {"nic_sass_size": ["nic_1", "nic_2", "nic_3", "sass_1", "sass_2", "s
     SELECT 'nic+sass+size' AS schema_family, CASE sensor WHEN 'view' THEN 'nic' ELSE 'sass' END AS sensor, iceberg_id, day, flag, lat, size
       FROM l WHERE sensor IN ('view', 'click') UNION ALL
     SELECT 'nic+size', 'nic', iceberg_id, day, flag, lat, size FROM l WHERE sensor = 'view' UNION ALL
-    SELECT 'ascat', 'ascat', iceberg_id, day, NULL, lat, NULL FROM l WHERE sensor = 'purchase') GROUP BY ALL""", also="""l AS (
+    SELECT 'ascat', 'ascat', iceberg_id, day, NULL, lat, NULL FROM l WHERE sensor = 'purchase' UNION ALL
+    SELECT 'ers+qscat', CASE sensor WHEN 'signup' THEN 'qscat' ELSE 'ers' END, iceberg_id, day, CASE WHEN sensor = 'signup' THEN flag END, lat, NULL
+      FROM l WHERE sensor IN ('signup', 'error')) GROUP BY ALL""", also="""l AS (
     SELECT s.iceberg_id, s.sensor, s.day, s.flag, round(s.lat, 6) AS lat, CASE WHEN m % 20 > 0 THEN (m % 20) * CAST(1.852 AS DOUBLE) END AS size
     FROM (SELECT *, row_number() OVER (PARTITION BY iceberg_id, sensor, day ORDER BY src DESC) AS rn FROM sightings) s
-    JOIN (SELECT iceberg_id, day, max(src) AS m FROM sightings WHERE sensor IN ('view', 'click', 'purchase') GROUP BY 1, 2) d
+    JOIN (SELECT iceberg_id, day, max(src) AS m FROM sightings GROUP BY 1, 2) d
       ON d.iceberg_id = s.iceberg_id AND d.day = s.day WHERE rn = 1)"""))
 def track_union(spark, sf):
-    """Three header families and one malformed file, written as CSV and read back as one table."""
+    """Four header families and one malformed file, written as CSV and read back as one table."""
     root = sinks.scratch_path(spark, "tracks")
     wide = wide_tracks(spark, sf).withColumn("date", F.date_format("date", "yyyyDDD"))
     for name, cols in _FAMILIES.items():

@@ -31,11 +31,12 @@ define("vel", """SELECT s.*, p.vel_e AS prev_e, p.vel_n AS prev_n FROM steps s L
 _CUR = "(cur_u IS NOT NULL AND cur_v IS NOT NULL)"
 _WIND = "(wind_u IS NOT NULL AND wind_v IS NOT NULL)"
 _QUALITY = "CASE WHEN interpolated = FALSE THEN 'observed_to_observed' ELSE 'interpolated_endpoint' END"
-WIDE = {"nic": "view", "sass": "click", "ascat": "purchase"}
+WIDE = {"nic": "view", "sass": "click", "ascat": "purchase", "qscat": "signup", "ers": "error"}
+FLAGLESS = ("ascat", "ers")                         # these families have no flag column
 
 
 def wide_tracks(spark, sf):
-    """Wide archive rows: three sensor triplets, sizes and one unknown column."""
+    """Wide archive rows: five sensor triplets, sizes and one unknown column."""
     raw = t.sightings(spark, sf)
     aggs = []
     for name, event in WIDE.items():
@@ -43,28 +44,26 @@ def wide_tracks(spark, sf):
         last = F.max_by(F.struct(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "flag"),
                         F.when(mine, F.col("src")))
         aggs.append(last.alias(name))
-    days = raw.where(F.col("sensor").isin(*WIDE.values())).groupBy("iceberg_id", "day").agg(
-        *aggs, F.max("src").alias("src"))
+    days = raw.groupBy("iceberg_id", "day").agg(*aggs, F.max("src").alias("src"))
     cols = ["iceberg_id", F.col("day").alias("date"), (F.col("src") % 20).cast("string").alias("size_1"),
             (F.col("src") % 7).cast("string").alias("size_2"), F.col("src").cast("string").alias("mask")]
     for name in WIDE:
         cols += [F.coalesce(F.col(f"{name}.lat").cast("string"), F.lit("0")).alias(f"{name}_1"),
                  F.coalesce(F.col(f"{name}.lon").cast("string"), F.lit("0")).alias(f"{name}_2")]
-        if name != "ascat":                         # this family has no flag column
+        if name not in FLAGLESS:
             cols.append(F.coalesce(F.col(f"{name}.flag").cast("string"), F.lit("1")).alias(f"{name}_3"))
     return days.select(*cols)
 
 
 _MELT_ORACLE = using("sightings", """SELECT d.iceberg_id, d.date,
-    CASE l.sensor WHEN 'view' THEN 'nic' WHEN 'click' THEN 'sass' ELSE 'ascat' END AS sensor,
+    CASE l.sensor WHEN 'view' THEN 'nic' WHEN 'click' THEN 'sass' WHEN 'purchase' THEN 'ascat' WHEN 'signup' THEN 'qscat' ELSE 'ers' END AS sensor,
     round(l.lat, 6) AS lat, round(l.lon, 6) AS lon,
-    CASE WHEN l.sensor <> 'purchase' THEN CAST(l.flag AS VARCHAR) END AS flag,
-    CASE WHEN l.sensor <> 'purchase' THEN l.flag = 0 END AS is_interpolated,
+    CASE WHEN l.sensor NOT IN ('purchase', 'error') THEN CAST(l.flag AS VARCHAR) END AS flag,
+    CASE WHEN l.sensor NOT IN ('purchase', 'error') THEN l.flag = 0 END AS is_interpolated,
     CASE WHEN m % 20 > 0 THEN round((m % 20) * CAST(1.852 AS DOUBLE), 6) END AS size_major_km,
     CAST(m AS VARCHAR) AS mask
-    FROM d JOIN l ON l.iceberg_id = d.iceberg_id AND l.day = d.date AND l.rn = 1
-    AND l.sensor IN ('view', 'click', 'purchase')""", also="""d AS (SELECT iceberg_id, day AS date, max(src) AS m
-      FROM sightings WHERE sensor IN ('view', 'click', 'purchase') GROUP BY 1, 2),
+    FROM d JOIN l ON l.iceberg_id = d.iceberg_id AND l.day = d.date AND l.rn = 1""", also="""d AS (SELECT iceberg_id, day AS date, max(src) AS m
+      FROM sightings GROUP BY 1, 2),
     l AS (SELECT *, row_number() OVER (PARTITION BY iceberg_id, sensor, day ORDER BY src DESC) AS rn
       FROM sightings)""")
 

@@ -279,3 +279,15 @@ def test_no_cell_is_lost_where_a_circle_reaches_the_pole(spark):
              + F.cos(F.radians("lat")) * F.cos(F.radians(F.lit(lat))) * F.pow(F.sin(F.radians(F.col("lon") - 10.0) / 2), 2))
         far = 2 * ex.EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
         assert got == cells.where(far < 100_000.0).count()
+
+
+def test_buckets_are_told_apart_as_rows(spark):
+    used = {1: [0, 1, 1, 63, 64, 200], 2: [5], 3: [-1, None]}
+    fields = [0, 63, 64, 65, 130, 0]
+    got = rt.bucket_status(spark.createDataFrame([(k, b) for k, v in used.items() for b in v], "route_id int, bucket int"),
+                           spark.createDataFrame([(b,) for b in fields], "bucket int")).collect()
+    want = {(k, b, "priced" if b in fields else "missing") for k, v in used.items() for b in v if b is not None and b >= 0}
+    want |= {(k, b, "display_only") for k in (1, 2) for b in fields if b not in used[k]}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    none = rt.bucket_status(spark.createDataFrame([(1, 3)], "route_id int, bucket int"), spark.createDataFrame([], "bucket int")).collect()
+    assert [tuple(r) for r in none] == [(1, 3, "missing")]
