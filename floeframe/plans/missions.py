@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cost as ct
 from ..operators import missions as op
 from ..operators import paths
+from ..session import cut_lineage
 from ..sources import tables as t
 from . import cost as cq
 from .registry import query
@@ -169,17 +170,25 @@ _WALK = using("edge", "SELECT zone, r, c, round(min(total), 4) AS total FROM wal
 
 @query("least_cost", _WALK)
 def least_cost(spark, sf):
-    cells = grid_cells(spark, sf)
-    return (paths.least_cost(paths.edges(cells, t.CELL_M), starts(cells)).withColumn("total", F.round("total", 4)))
+    """The field from each zone's start, in tiles of the usual size."""
+    cells = cut_lineage(grid_cells(spark, sf))
+    return paths.tiled_least_cost(cells, starts(cells), t.CELL_M).withColumn("total", F.round("total", 4))
 
 
 @query("least_cost_tiled", _WALK)
 def least_cost_tiled(spark, sf):
-    """The same field by tiles of 8 x 8 cells."""
-    cells = grid_cells(spark, sf)
+    """The same by tiles of 8 x 8 cells, so that a way crosses many."""
+    cells = cut_lineage(grid_cells(spark, sf))
     return paths.tiled_least_cost(cells, starts(cells), t.CELL_M, tile=8).withColumn("total", F.round("total", 4))
 
 
+@query("least_cost_relaxed", _WALK)
+def least_cost_relaxed(spark, sf):
+    """The same cell by cell over the edge table."""
+    cells = cut_lineage(grid_cells(spark, sf))
+    return paths.least_cost(paths.edges(cells, t.CELL_M), starts(cells)).withColumn("total", F.round("total", 4))
+
+
 @query("time_least_cost")
 def time_least_cost(spark, sf):
     """Cheapest label per cell and arrival bucket; no SQL twin, checked exhaustively in the tests."""
