@@ -1,11 +1,13 @@
 """Secrets by inferred format: base patterns, and probabilistic automata learned from labelled credentials.
 
-Three base patterns label credentials (``assign``, ``access``, ``hex``; see ``BASE``). For each kind a prefix tree
+Three base patterns label credentials (``assign``, ``access``, ``hex``; see the patterns below). For each kind a prefix tree
 of labelled values is generalised by merging statistically compatible states (Hoeffding test on symbol and end
-frequencies), giving a probabilistic automaton over character classes. Every other candidate, a run of ``LEAST`` or more
-characters of the ``assign`` alphabet outside the base spans, is then scored by its log likelihood per character under the
-automata, less that under a background model of ordinary tokens; candidates at or above the kind's learned floor become
-spans of kind ``format``. Whether digits, letters or both belong to a kind is learned from its labelled values too: else a row
+frequencies), at equal depth first and then between depths, giving a probabilistic automaton over character classes that keeps the
+lengths and places which the values share. Every other candidate, a run of ``LEAST`` or more characters of the ``assign`` alphabet
+outside the base spans, is then scored by its log likelihood under the automata. It becomes a span of kind ``format`` if one of them
+makes it likelier than a background model of ordinary tokens does, by the odds of meeting one (``margin``), and if its moves are not
+more unusual there than those of nearly all labelled values (``floor``). An unseen length only costs likelihood, so a shorter value of
+a known alphabet can pass. Whether digits, letters or both belong to a kind is learned from its labelled values too: else a row
 of digits, each of them likely in a hexadecimal key, would pass for one. A run that does not pass is scored without its outer
 dots, then by its parts between dots, since a dot may be the text's own.
 
@@ -42,7 +44,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "format")
 LEAST = 6                                # characters of a credential
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
-END = ""
+SYMBOLS = 11                             # character classes and punctuation of a candidate
+FLOOR = -3.0                             # deviations by which a credential may be unusual for its format, at least
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -92,88 +95,151 @@ def mix(syms: str) -> tuple[bool, bool]:
 @dataclass
 class Automaton:
     moves: dict[int, dict[str, tuple[int, float]]]      # state -> symbol -> (state, log probability)
-    ends: dict[int, float]                              # state -> log probability of ending
-    floor: float
+    ends: dict[int, float]                              # state -> log probability of ending, never 0
+    misses: dict[int, float]                            # state -> log probability of one symbol not seen there
+    floor: float = 0.0
     mixes: frozenset[tuple[bool, bool]] = frozenset()
+    usual: dict[int, tuple[float, float]] = field(default_factory=dict)     # state -> mean and variance of a move's log probability
 
-    def per_char(self, syms: str, miss: float = -9.0) -> float:
-        """Log likelihood per character; an unseen move costs ``miss`` and stays in the state."""
-        state, total = 0, 0.0
+    def __post_init__(self) -> None:
+        for q, out in self.moves.items():
+            p = [(math.exp(x), x) for _, x in out.values()]
+            total = sum(w for w, _ in p) or 1.0
+            mean = sum(w * x for w, x in p) / total
+            self.usual[q] = mean, max(0.0, sum(w * x * x for w, x in p) / total - mean * mean)
+
+    def read(self, syms: str) -> tuple[float, float]:
+        """Log likelihood of the whole string; how many deviations its moves lie from what the passed states usually give.
+
+        A symbol not seen in a state leaves it there, and lies as many deviations off as the logarithm of its share says.
+        """
+        state, total, off, spread, missed = 0, 0.0, 0.0, 0.25, 0.0
         for s in syms:
-            state, p = self.moves.get(state, {}).get(s, (state, miss))
-            total += p
-        return (total + self.ends.get(state, miss)) / (len(syms) + 1)
-
-
-def infer(values: list[str], alpha: float = 0.05, floor_share: float = 0.02) -> Automaton:
-    """Merge compatible states of the values' prefix tree, in breadth-first order."""
-    kids: dict[int, dict[str, int]] = {0: {}}
-    arrive: dict[int, int] = defaultdict(int)
-    stop: dict[int, int] = defaultdict(int)
-    for v in values:
-        at = 0
-        arrive[0] += 1
-        for s in symbols(v):
-            nxt = kids[at].get(s)
-            if nxt is None:
-                nxt = len(kids)
-                kids[at][s], kids[nxt] = nxt, {}
-            at = nxt
-            arrive[at] += 1
-        stop[at] += 1
-    passed: dict[int, dict[str, int]] = {q: {s: arrive[t] for s, t in k.items()} for q, k in kids.items()}
-    bound = math.sqrt(0.5 * math.log(2 / alpha))
-
-    def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
-        return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > bound * (n1 ** -0.5 + n2 ** -0.5)
-
-    def compatible(a: int, b: int) -> bool:
-        pairs = [(a, b)]
+            move = self.moves[state].get(s)
+            if move is None:
+                total += self.misses[state]
+                missed += self.misses[state]
+            else:
+                mean, variance = self.usual[state]
+                off += move[1] - mean
+                spread += variance
+                total += move[1]
+                state = move[0]
+        return total + self.ends[state], off / math.sqrt(spread) + missed
+
+
+class _Tree:
+    """The prefix tree of symbol strings, whose states can be merged; counts belong to merged states."""
+
+    def __init__(self, values: list[str], alpha: float):
+        self.kids: list[dict[str, int]] = [{}]
+        self.arrive, self.stop, self.up = [0], [0], [0]
+        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        for v in values:
+            at = 0
+            self.arrive[0] += 1
+            for s in v:
+                if s not in self.kids[at]:
+                    self.kids[at][s] = len(self.kids)
+                    self.up.append(len(self.kids))
+                    self.kids.append({})
+                    self.arrive.append(0)
+                    self.stop.append(0)
+                at = self.kids[at][s]
+                self.arrive[at] += 1
+            self.stop[at] += 1
+        self.passed = [{s: self.arrive[t] for s, t in k.items()} for k in self.kids]
+
+    def find(self, q: int) -> int:
+        while self.up[q] != q:
+            self.up[q] = self.up[self.up[q]]
+            q = self.up[q]
+        return q
+
+    def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
+        return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) > self.bound * (n1 ** -0.5 + n2 ** -0.5)
+
+    def compatible(self, a: int, b: int) -> bool:
+        """No end or symbol frequency differs, here and in all states reached by equal symbols."""
+        pairs, seen = [(a, b)], set()
         while pairs:
-            p, q = pairs.pop()
-            if differ(stop[p], arrive[p], stop[q], arrive[q]):
+            p, q = map(self.find, pairs.pop())
+            if p == q or (p, q) in seen:
+                continue
+            seen.add((p, q))
+            if self._differ(self.stop[p], self.arrive[p], self.stop[q], self.arrive[q]):
                 return False
-            for s in kids[p].keys() | kids[q].keys():
-                if differ(passed[p].get(s, 0), arrive[p], passed[q].get(s, 0), arrive[q]):
+            for s in self.kids[p].keys() | self.kids[q].keys():
+                if self._differ(self.passed[p].get(s, 0), self.arrive[p], self.passed[q].get(s, 0), self.arrive[q]):
                     return False
-                if s in kids[p] and s in kids[q] and kids[p][s] != kids[q][s]:
-                    pairs.append((kids[p][s], kids[q][s]))
+                if s in self.kids[p] and s in self.kids[q]:
+                    pairs.append((self.kids[p][s], self.kids[q][s]))
         return True
 
-    def fold(a: int, b: int) -> None:
-        """Add the subtree at b to the state a."""
+    def merge(self, a: int, b: int) -> None:
+        """b becomes a; states that equal symbols lead to become one too."""
         pairs = [(a, b)]
         while pairs:
-            p, q = pairs.pop()
-            arrive[p] += arrive[q]
-            stop[p] += stop[q]
-            for s, t in kids[q].items():
-                passed[p][s] = passed[p].get(s, 0) + passed[q][s]
-                if s in kids[p]:
-                    pairs.append((kids[p][s], t))
+            p, q = map(self.find, pairs.pop())
+            if p == q:
+                continue
+            self.up[q] = p
+            self.arrive[p] += self.arrive[q]
+            self.stop[p] += self.stop[q]
+            for s, t in self.kids[q].items():
+                self.passed[p][s] = self.passed[p].get(s, 0) + self.passed[q][s]
+                if s in self.kids[p]:
+                    pairs.append((self.kids[p][s], t))
                 else:
-                    kids[p][s] = t
-
-    red, blue = [0], [(0, s) for s in sorted(kids[0])]
+                    self.kids[p][s] = t
+
+    def next_of(self, states: list[int]) -> list[int]:
+        return list(dict.fromkeys(self.find(t) for q in states for _, t in sorted(self.kids[q].items())))
+
+
+def infer(values: list[str], alpha: float = 0.05, floor_share: float = 0.02, evidence: int = 10) -> Automaton:
+    """Merge compatible states of the values' prefix tree, first at equal depth, then between depths.
+
+    Deep in the tree a state holds one or two strings, and no test can tell it from any other. So states of equal depth are
+    pooled first: what remains there has counts that a test can use. Only then, and only where both have ``evidence``
+    strings, are states of different depths merged, which makes loops. A length or a place that all values share stays, since the
+    ends or symbols behind it differ.
+    """
+    tree = _Tree([symbols(v) for v in values], alpha)
+    level = tree.next_of([0])
+    while level:
+        kept: list[int] = []
+        for b in sorted(level, key=lambda q: (-tree.arrive[q], q)):
+            match = next((a for a in kept if tree.compatible(a, b)), None)
+            if match is None:
+                kept.append(b)
+            else:
+                tree.merge(match, b)
+        level = tree.next_of(kept)
+    red, blue = [0], tree.next_of([0])
     while blue:
-        parent, s = blue.pop(0)
-        b = kids[parent][s]
-        if b in red:
-            continue
-        match = next((r for r in red if compatible(r, b)), None)
-        if match is None:
-            red.append(b)
-            blue += [(b, x) for x in sorted(kids[b])]
-        else:
-            kids[parent][s] = match
-            before = set(kids[match])
-            fold(match, b)
-            blue += [(match, x) for x in sorted(set(kids[match]) - before)]
-    moves = {q: {s: (kids[q][s], math.log(passed[q][s] / arrive[q])) for s in kids[q]} for q in red}
-    ends = {q: math.log(stop[q] / arrive[q]) for q in red if stop[q]}
-    got = Automaton(moves, ends, 0.0)
-    fits = sorted(got.per_char(symbols(v)) for v in values)
-    got.floor = fits[int(floor_share * len(fits))] if fits else 0.0
+        for b in blue:
+            b = tree.find(b)
+            red = list(dict.fromkeys(map(tree.find, red)))
+            if b in red:
+                continue
+            match = next((r for r in red if min(tree.arrive[r], tree.arrive[b]) >= evidence and tree.compatible(r, b)), None)
+            if match is None:
+                red.append(b)
+            else:
+                tree.merge(match, b)
+        red = list(dict.fromkeys(map(tree.find, red)))
+        blue = [q for q in tree.next_of(red) if q not in red]
+    name = {q: i for i, q in enumerate(red)}
+    moves, ends, misses = {}, {}, {}
+    for q, i in name.items():
+        n = tree.arrive[q] + 1                        # half a string more for an end, half for symbols not seen
+        moves[i] = {s: (name[tree.find(t)], math.log(tree.passed[q][s] / n)) for s, t in tree.kids[q].items()}
+        ends[i] = math.log((tree.stop[q] + 0.5) / n)
+        misses[i] = math.log(0.5 / n / SYMBOLS)
+    got = Automaton(moves, ends, misses)
+    fits = sorted(got.read(symbols(v))[1] for v in values)
+    got.floor = min(FLOOR, fits[int(floor_share * len(fits))] if fits else FLOOR)
     kinds = Counter(mix(symbols(v)) for v in values)
     got.mixes = frozenset(k for k, n in kinds.items() if n >= floor_share * len(values))
     return got
@@ -181,11 +247,13 @@ def infer(values: list[str], alpha: float = 0.05, floor_share: float = 0.02) ->
 
 @dataclass
 class Background:
-    log: dict[str, float]          # symbol -> log probability in ordinary tokens
+    log: dict[str, float]          # symbol -> log probability in ordinary tokens, that a token goes on included
     miss: float
+    end: float
 
-    def per_char(self, syms: str) -> float:
-        return sum(self.log.get(s, self.miss) for s in syms) / max(1, len(syms))
+    def read(self, syms: str) -> float:
+        """Log likelihood of the whole string."""
+        return sum(self.log.get(s, self.miss) for s in syms) + self.end
 
 
 def background_of(tokens: list[str]) -> Background:
@@ -193,15 +261,15 @@ def background_of(tokens: list[str]) -> Background:
     for t in tokens:
         for s in symbols(t):
             count[s] += 1
-    total = sum(count.values()) + len(count) + 1
-    return Background({s: math.log((n + 1) / total) for s, n in count.items()}, math.log(1 / total))
+    steps = sum(count.values()) + len(count) + 1 + len(tokens) + 1
+    return Background({s: math.log((n + 1) / steps) for s, n in count.items()}, math.log(1 / steps), math.log((len(tokens) + 1) / steps))
 
 
 @dataclass
 class SecretModel:
     automata: dict[str, Automaton]
     background: Background
-    margin: float = 0.5
+    margin: float = 8.0            # log of how many ordinary tokens there are to one credential, about 3,000
     known: dict[str, bool] = field(default_factory=dict, repr=False, compare=False)     # verdicts on short symbol strings
 
     def likely(self, value: str) -> bool:
@@ -218,8 +286,8 @@ class SecretModel:
     def _likely(self, syms: str) -> bool:
         held = mix(syms)
         able = [a for a in self.automata.values() if held in a.mixes]
-        ordinary = self.background.per_char(syms) if able else 0.0
-        return any(a.per_char(syms) >= max(a.floor, ordinary + self.margin) for a in able)
+        ordinary = self.background.read(syms) if able else 0.0
+        return any(total >= ordinary + self.margin and off >= a.floor for a in able for total, off in (a.read(syms),))
 
     def formats(self, text: str, s: int, e: int) -> Iterator[tuple[int, int]]:
         """The candidate, or it without outer dots, or its parts between dots, as far as they are likely."""

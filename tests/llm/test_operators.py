@@ -4,6 +4,8 @@ import collections
 import hashlib
 import html as html_lib
 import importlib.util
+import itertools
+import math
 import random
 import re
 import zlib
@@ -336,6 +338,7 @@ def test_secret_spans(spark):
     text = dict(rows)
     assert all([k for k, _, _ in got[1000 + i]] == ["assign", "hex"] and text[1000 + i][slice(*got[1000 + i][1][1:])] == c for i, c in enumerate(creds))
     assert got[100] == [("access", 2, 22)] and got[101] == [] and got[102] == [] and got[103][0][0] == "assign"
+    assert got[104] == [("format", 2, 24)]
     assert got[105] == [] and got[1] == [] and got[5] == []
     assert secret_scan.fit(docs(spark, [])).automata == {}
 
@@ -356,6 +359,55 @@ def test_secret_candidates_of_every_labelled_format():
         assert found(f"{about} 12345678901234567890 {words(rng, 30)}") == []
 
 
+def plain_log_likelihood(automaton, syms):
+    """Along the automaton's tables, with nothing but them."""
+    state, p = 0, 1.0
+    for x in syms:
+        if x in automaton.moves[state]:
+            p *= math.exp(automaton.moves[state][x][1])
+            state = automaton.moves[state][x][0]
+        else:
+            p *= math.exp(automaton.misses[state])
+    return math.log(p * math.exp(automaton.ends[state]))
+
+
+def test_secret_automata_learn_lengths_and_places():
+    rng = random.Random(14)
+    of = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    fixed = secret_scan.infer([of("0123456789abcdef", 40) for _ in range(130)])
+    assert len(fixed.moves) == 41                                   # one state for every place
+    same = fixed.read("0a" * 20)[0]
+    assert all(same > fixed.read("0a" * n)[0] + 3 for n in (19, 21, 30))
+    placed = secret_scan.infer(["gg_" + of("0123456789abcdef", 8) + "-" + of("0123456789", 4) for _ in range(100)])
+    assert placed.read("gg_0a0a0a0a-0000")[1] >= placed.floor
+    assert all(placed.read(x)[1] < placed.floor for x in ("gg_0a0a0a-000000", "gg_0a0a0a0a-000a", "0a0a0a0a-0000gg_"))
+    loop = secret_scan.infer(["0" * rng.choice([n for n in range(6, 60) for _ in range(60 - n)]) for _ in range(400)])
+    assert len(loop.moves) < 30                                     # lengths without a rule are generalised
+    small = secret_scan.infer([x + y for x in "0a" for y in ("0", "a", "00", "aa")] * 20)
+    strings = ["".join(x) for n in range(5) for x in itertools.product("0a", repeat=n)]
+    for automaton in (fixed, placed, loop, small):
+        for x in strings:
+            assert automaton.read(x)[0] == pytest.approx(plain_log_likelihood(automaton, x))
+    assert 0.9 < sum(math.exp(small.read(x)[0]) for x in strings) <= 1.0
+    assert secret_scan.infer([]).read("0")[0] < 0
+
+
+def test_secret_formats_in_planted_texts():
+    """Recall of planted credentials that no base pattern knows, and no span in ordinary text."""
+    rng = random.Random(15)
+    of = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    ordinary = [words(rng, 40) + f" {words(rng, 1)}{words(rng, 1)}.{rng.randint(10, 99)} mail{rng.randint(1, 9)}.example.com 2024-05-{rng.randint(10, 30)}" for _ in range(500)]
+    model = secret_scan.SecretModel({"hex": secret_scan.infer([of("0123456789abcdef", 40) for _ in range(130)])},
+                                    secret_scan.background_of([rng.choice(t.split()) for t in ordinary]))
+    assert not any(secret_scan.spans_of(t, model) for t in ordinary)
+    found = 0
+    for t in ordinary:
+        v = of("0123456789abcdef", rng.randint(16, 23))
+        spans = secret_scan.spans_of(f"{t} {v} {words(rng, 3)}", model)
+        found += spans == [(len(t) + 1, len(t) + 1 + len(v), "format")]
+    assert found >= 0.97 * len(ordinary)
+
+
 # --- pipeline ----------------------------------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):
