@@ -125,6 +125,42 @@ def test_page_text_without_container_goes_on_behind_boilerplate():
         assert html_text.main_text(page, w) == f"{tail} {first} {last}"
 
 
+def test_page_attributes_are_read_in_order():
+    rng = random.Random(16)
+    w, text, more = html_text.weights({}), words(rng, 60), words(rng, 20)
+    kept = ['div style="overflow:hidden"', 'div title="the hidden truth"', "div data-id='ad'", "div data-hidden", "div alt='class=ad' lang=en", "div class='post-header'",
+            "div class=content-with-sidebar", "p class=legal", "p class='search'", "p id=tags", "div class=threads", "div data-x=hidden", "section title='a > b hidden'"]
+    gone = ["div hidden", "div HIDDEN=''", "div class=ad", "div class='x ad'", "div id='post-comments'", "div class=article-footer", "div class='sidebar-content'",
+            "div title='x' role=navigation", "div class=legal", "p class=advertisement", "div CLASS = 'comments'", "div aria-label='share'"]
+    for head in kept + gone:
+        page = f"<body><article><p>{text}</p><{head}>{more}</{head.split()[0]}></article></body>"
+        assert html_text.main_text(page, w) == (f"{text} {more}" if head in kept else text), head
+
+
+def test_page_with_several_articles_deep_nesting_and_empty_table(spark):
+    rng = random.Random(17)
+    w, a, b, c = html_text.weights({}), words(rng, 60), words(rng, 40), words(rng, 50)
+    assert html_text.main_text(f"<main><article><p>{a}</p></article><div class=ad>{c}</div><article>{b}</article><article class=x><a href=y>z</a></article></main>", w) == f"{a} {b}"
+    deep = "<div>" * 30_000 + f"<p>{a}</p><p>{b}</p>" + "</b></div>" * 30_000
+    assert html_text.main_text(deep, w) == f"{a} {b}"
+    empty = spark.createDataFrame([], "page_id long, html string, text string")
+    assert html_text.extract(empty, html_text.fit(empty)).collect() == []
+    rows = spark.createDataFrame([(1, f"<p>{a}</p>", "x"), (1, f"<p>{a}</p>", "x")], "page_id long, html string, text string")
+    assert [r["text"] for r in html_text.extract(rows, w).collect()] == [a, a]
+
+
+def test_best_run_is_the_largest_of_all_runs():
+    """Against every contiguous run of the page's units."""
+    rng = random.Random(18)
+    w = html_text.weights({})
+    for _ in range(40):
+        page = "".join(rng.choice([f"<p>{words(rng, rng.randint(1, 6))}</p>", "<div class=ad>buy</div>", "<br>", "<a href=x>link</a>", "<ul><li>x</ul>"]) for _ in range(15))
+        seq, _ = html_text.units(page)
+        score = [html_text.HIDDEN * max(1, u.words) if u.hidden else html_text._score(u, w) for u in seq]
+        low, high = html_text.best_run(seq, w)
+        assert sum(score[low:high]) == pytest.approx(max([0.0] + [sum(score[i:j]) for i in range(len(score)) for j in range(i + 1, len(score) + 1)]))
+
+
 # --- n-gram join -------------------------------------------------------------------------------------------
 
 def plain_components(rows, size=3, num=90, den=100):
