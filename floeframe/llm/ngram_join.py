@@ -17,8 +17,10 @@ the connected components of all links, one row per document.
    link and do not both link to the centre, then D(x) and D(y) share at least ``(|D(x)| + |D(y)| - k) / 2`` grams and at least
    one, where k is the largest difference of linking sets of their sizes. So they share one of the first
    ``(den - num) n / num + 1`` grams of D in any common order, with enough grams left after it. The order here puts what
-   sets the centre apart from most of its group last, and the rest by class of hash and then the rarest first. Only
-   pairs that have such a gram, lie in different components and share enough prefix grams are verified.
+   sets the centre apart from most of its group last, and the rest by class of hash and then the rarest first. The first half
+   as many again are kept to count matches: what two documents share there, and all that either has beyond, must reach the
+   above number. A pair is formed at its first common gram only, if it lies in different components, has enough grams left
+   and matches enough; it is verified if it also shares enough prefix grams.
    Every candidate is verified or already connected: no link is lost.
 
 Edge cases: null or wordless texts have an empty set and are components of their own; texts with fewer words than a gram are one
@@ -315,29 +317,41 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     apart = once.select("g", "a", F.lit(1).alias("turn"), "apart").unionByName(again.select("g", "a", F.lit(2).alias("turn"), "apart"))
     rows = (odd.join(apart, ["g", "a", "turn"]).select("g", F.col("a").alias("node"), "n", "size", "comp", F.inline("apart")).withColumn("key", F.xxhash64("g", "h")))
     inside = Window.partitionBy("g", "node", "t")
-    keyed = (rows.join(counted_keys(rows), "key")
-             .withColumn("at", F.col("below") + F.col("wide") - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("docs", "h")) - 1)
-             .where(F.col("at") <= F.expr(f"({den} - {num}) * n div {num}")).select("key", "node", "n", "size", "at", "comp"))
-    keyed = placed = scratch.store(keyed, "placed")
-    parts = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    wide = lambda one: f"3 * (({den} - {num}) * {one}n div {num} + 1) div 2"       # as many differences as are certain to be given
+    placed = (rows.join(counted_keys(rows), "key")
+              .withColumn("at", F.col("below") + F.col("wide") - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("docs", "h")) - 1)
+              .where(F.col("at") < F.expr(wide(""))).select("g", "key", "node", "n", "size", "at", "comp"))
+    placed = scratch.store(placed, "placed")
+    parts = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = (parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
              .where("comps > 1").drop("comps"))
-    # prefixes as 32-bit hashes; ``twice`` is how many of a prefix's grams may hide behind others that have the same one
-    prefixes = heads.select("node", "l", "short", F.transform("long", lambda g: F.hash(g)).alias("long"))
-    prefixes = prefixes.withColumn("twice", F.size("long") - F.size(F.array_distinct("long")))
-    keyed = scratch.store(keyed.join(mixed, "key").join(prefixes, "node"), "keyed")
+    # with each key all those of its document, in order
+    keyed = (placed.join(mixed, "key").withColumn("keys", F.collect_list(F.struct("at", "key")).over(Window.partitionBy("g", "node")))
+             .where(F.col("at") <= F.expr(f"({den} - {num}) * n div {num}"))
+             .withColumn("keys", F.transform(F.array_sort("keys"), lambda k: k["key"])))
+    keyed = scratch.store(keyed, "keyed")
     scratch.drop(placed, odd)
 
-    # what shares a key and is still apart: all but a key's largest component, against all that have the key
+    # what shares a key and is still apart: all but a key's largest component, against all that have the key, at the pair's first key only
     x, y = keyed.where(F.col("comp") != F.col("main")).alias("x"), keyed.alias("y")
     single = (F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     sizes = den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
-    enough = F.expr(f"2 * least(x.size - x.at, y.size - y.at) >= x.size + y.size - ({den} - {num}) * (x.n + y.n) div ({den} + {num})")
+    needed = f"x.size + y.size - ({den} - {num}) * (x.n + y.n) div ({den} + {num})"                # twice what linking sets share
+    enough = F.expr(f"2 * least(x.size - x.at, y.size - y.at) >= {needed}")
+    shared = F.array_intersect("x.keys", "y.keys")
+    first = F.element_at(shared, 1) == F.col("x.key")
+    # of the set whose known differences end first in the order, only those beyond them can be shared uncounted
+    beyond = F.expr(f"greatest(0, x.size - {wide('x.')}, y.size - {wide('y.')})")
+    matches = 2 * (F.size(shared) + beyond) >= F.expr(needed)
+    near = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & single & sizes & enough & first & matches)
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    # prefixes as 32-bit hashes; ``twice`` is how many of a prefix's grams may hide behind others that have the same one
+    prefixes = heads.select("node", "n", "l", "short", F.transform("long", lambda g: F.hash(g)).alias("long"))
+    prefixes = prefixes.withColumn("twice", F.size("long") - F.size(F.array_distinct("long")))
     prefix = lambda one, other: F.when(F.col(f"{one}.n") <= F.col(f"{other}.n"), F.slice(f"{one}.long", 1, F.col(f"{one}.short"))).otherwise(F.col(f"{one}.long"))
     common = F.size(F.array_intersect(prefix("x", "y"), prefix("y", "x"))) + F.col("x.twice")
-    match = common >= F.least("x.l", "y.l")
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & single & sizes & enough & match)
-            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    rest = (near.join(prefixes.alias("x"), F.col("a") == F.col("x.node")).join(prefixes.alias("y"), F.col("b") == F.col("y.node"))
+            .where(common >= F.least("x.l", "y.l")).select("a", "b"))
     rest = rest.select(F.lit(0).cast("long").alias("g"), "a", "b", nothing.alias("aside"))
     more = scratch.store(measured(rest, False).where("linked").select("a", "b"), "links")
     scratch.drop(buckets, spread, keyed, bodies)
