@@ -17,9 +17,12 @@ the connected components of all links, one row per document.
    link and do not both link to the centre, then D(x) and D(y) share at least ``(|D(x)| + |D(y)| - k) / 2`` grams and at least
    one, where k is the largest difference of linking sets of their sizes. So they share one of the first
    ``(den - num) n / num + 1`` grams of D in any common order, with enough grams left after it. The order here puts what
-   sets the centre apart from most of its group last, and the rest by class of hash and then the rarest first. Only
-   pairs that have such a gram, lie in different components and share enough prefix grams are verified.
-   Every candidate is verified or already connected: no link is lost.
+   sets the centre apart from most of its group last, and the rest by class of hash and then the rarest first.
+   D(x) and D(y) differ in what x and y differ in, so a bit of parity for each of ``BITS`` residues of the hashes in D bounds
+   that number from below: where x and y have unlike parities, they differ in a gram. Pairs that have such a gram, lie in
+   different components and have no more unlike parities than linking sets may differ in are formed; those that also share
+   enough prefix grams are verified. Every candidate is verified or already connected: no link is lost. Sets of far
+   more grams than ``BITS`` have about half their parities unlike, which is then too few to rule a pair out: the later tests decide.
 
 Edge cases: null or wordless texts have an empty set and are components of their own; texts with fewer words than a gram are one
 gram; a null id belongs to the component of its class and never names one (the component is null if all ids are); rows
@@ -42,6 +45,7 @@ from .common import Scratch
 MOST = 4             # the longest prefix extension
 SPARE = 1.5          # share of the hash range that is ordered by rarity, in longest prefixes
 VERIFY = 8.0         # cost of verifying a candidate, in postings read
+BITS = 1024          # parities of a document's differences: 16 longs
 GROUP = 8            # documents of one centre from which a second centre is looked for
 CLASSES = np.array([2 ** (64 - i) for i in range(10, 0, -1)], dtype=np.uint64)      # upper ends of hash classes
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -169,8 +173,7 @@ def _squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 APART = ("t", "h", "below", "wide")
-MEASURED = "g long, a long, b long, linked boolean, n int, size int, t array<int>, h array<long>, below array<int>, wide array<int>"
-
+MEASURED = "g long, a long, b long, linked boolean, n int, size int, t array<int>, h array<long>, below array<int>, wide array<int>, bits array<long>"
 
 
 def _measure(size: int, num: int, den: int, differences: bool):
@@ -187,6 +190,7 @@ def _measure(size: int, num: int, den: int, differences: bool):
 
         def first(apart: set[bytes], most: int, aside: np.ndarray) -> tuple[np.ndarray, ...]:
             h = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, apart), dtype=np.uint64, count=len(apart)))
+            odd = np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) % 2
             t = np.searchsorted(CLASSES, h, side="right")
             late = np.isin(h.view(np.int64), aside)
             t[late] += len(CLASSES) + 1
@@ -195,13 +199,13 @@ def _measure(size: int, num: int, den: int, differences: bool):
                 h, t = h[take], t[take]
             below = np.searchsorted(in_order := np.sort(t), t)           # how many are in earlier classes, and in this one
             wide = np.searchsorted(in_order, t, side="right") - below
-            return t.astype(np.int32), h.view(np.int64), below.astype(np.int32), wide.astype(np.int32)
+            return t.astype(np.int32), h.view(np.int64), below.astype(np.int32), wide.astype(np.int32), np.packbits(odd.astype(np.uint8)).view(np.int64)
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
-            return (pd.DataFrame(rows, columns=["g", "a", "b", "linked", "n", "size", *APART])
+            return (pd.DataFrame(rows, columns=["g", "a", "b", "linked", "n", "size", *APART, "bits"])
                     .astype({"g": "int64", "a": "int64", "b": "int64", "linked": bool, "n": "int32", "size": "int32"}))
 
-        none = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        none = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
         last, kept = None, set()
         for f in frames:
@@ -317,30 +321,38 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     inside = Window.partitionBy("g", "node", "t")
     keyed = (rows.join(counted_keys(rows), "key")
              .withColumn("at", F.col("below") + F.col("wide") - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("docs", "h")) - 1)
-             .where(F.col("at") <= F.expr(f"({den} - {num}) * n div {num}")).select("key", "node", "n", "size", "at", "comp"))
+             .where(F.col("at") <= F.expr(f"({den} - {num}) * n div {num}")).select("g", "key", "node", "n", "size", "at", "comp"))
     keyed = placed = scratch.store(keyed, "placed")
     parts = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = (parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
              .where("comps > 1").drop("comps"))
-    # prefixes as 32-bit hashes; ``twice`` is how many of a prefix's grams may hide behind others that have the same one
-    prefixes = heads.select("node", "l", "short", F.transform("long", lambda g: F.hash(g)).alias("long"))
-    prefixes = prefixes.withColumn("twice", F.size("long") - F.size(F.array_distinct("long")))
-    keyed = scratch.store(keyed.join(mixed, "key").join(prefixes, "node"), "keyed")
+    parities = (once.select("g", "a", F.lit(1).alias("turn"), "bits").unionByName(again.select("g", "a", F.lit(2).alias("turn"), "bits"))
+                .join(odd.select("g", "a", "turn"), ["g", "a", "turn"])
+                .select("g", F.col("a").alias("node"), *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64)]))
+    keyed = scratch.store(keyed.join(mixed, "key").join(parities, ["g", "node"]), "keyed")
     scratch.drop(placed, odd)
 
     # what shares a key and is still apart: all but a key's largest component, against all that have the key
     x, y = keyed.where(F.col("comp") != F.col("main")).alias("x"), keyed.alias("y")
     single = (F.col("y.comp") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
     sizes = den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")
-    enough = F.expr(f"2 * least(x.size - x.at, y.size - y.at) >= x.size + y.size - ({den} - {num}) * (x.n + y.n) div ({den} + {num})")
+    most = f"({den} - {num}) * (x.n + y.n) div ({den} + {num})"              # grams in which linking sets may differ
+    enough = F.expr(f"2 * least(x.size - x.at, y.size - y.at) >= x.size + y.size - {most}")
+    close = F.expr(" + ".join(f"bit_count(x.bits{i} ^ y.bits{i})" for i in range(BITS // 64)) + f" <= {most}")
+    near = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & single & sizes & enough & close)
+            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    near = scratch.store(near, "near")
+    # prefixes as 32-bit hashes; ``twice`` is how many of a prefix's grams may hide behind others that have the same one
+    prefixes = heads.select("node", "n", "l", "short", F.transform("long", lambda g: F.hash(g)).alias("long"))
+    prefixes = prefixes.withColumn("twice", F.size("long") - F.size(F.array_distinct("long")))
+    prefixes = scratch.store(prefixes.join(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "prefixes")
     prefix = lambda one, other: F.when(F.col(f"{one}.n") <= F.col(f"{other}.n"), F.slice(f"{one}.long", 1, F.col(f"{one}.short"))).otherwise(F.col(f"{one}.long"))
     common = F.size(F.array_intersect(prefix("x", "y"), prefix("y", "x"))) + F.col("x.twice")
-    match = common >= F.least("x.l", "y.l")
-    rest = (x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & single & sizes & enough & match)
-            .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    rest = (near.join(prefixes.alias("x"), F.col("a") == F.col("x.node")).join(prefixes.alias("y"), F.col("b") == F.col("y.node"))
+            .where(common >= F.least("x.l", "y.l")).select("a", "b"))
     rest = rest.select(F.lit(0).cast("long").alias("g"), "a", "b", nothing.alias("aside"))
     more = scratch.store(measured(rest, False).where("linked").select("a", "b"), "links")
-    scratch.drop(buckets, spread, keyed, bodies)
+    scratch.drop(buckets, spread, keyed, near, prefixes, bodies)
     if more.limit(1).count():
         comps = components(links.unionByName(more), scratch)
     named = named.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))

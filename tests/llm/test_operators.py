@@ -10,7 +10,10 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pandas as pd
 import pytest
+import zstandard
 from twin import compare, connect
 
 from floeframe.llm import chat, decontaminate, exact_dedup, html_text, language, line_dedup, ngram_join, packing, quality, secret_scan
@@ -197,6 +200,33 @@ def test_ngram_join_against_all_pairs(spark, size, num):
     assert got == plain_components(rows, size, num)
 
 
+def test_parities_bound_the_differences():
+    """Unlike parities of two documents' differences to one centre are never more than the grams in which the two differ."""
+    rng = random.Random(5)
+    pack = zstandard.ZstdCompressor()
+    centre = [f"w{i}" for i in range(300)]
+    texts = [centre]
+    for edits in (0, 1, 5, 20, 80, 250):
+        words = list(centre)
+        for _ in range(edits):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(50)}"
+        texts.append(words[:rng.randrange(200, 301)] if edits else words)
+    bodies = [pack.compress(" ".join(t).encode()) for t in texts]
+    frame = pd.DataFrame({"g": 0, "a": range(1, len(texts)), "b": 0, "body_a": bodies[1:], "body_b": bodies[0],
+                          "aside": [np.zeros(0, np.int64)] * (len(texts) - 1)})
+    rows = pd.concat(ngram_join._measure(3, 90, 100, True)(iter([frame])))
+    sets = [ngram_join.gram_set([w.encode() for w in t], 3) for t in texts]
+    assert list(rows["size"]) == [len(s ^ sets[0]) for s in sets[1:]]
+    close = 0
+    for i, one in zip(rows["a"], rows["bits"]):
+        for j, other in zip(rows["a"], rows["bits"]):
+            unlike = sum(int(v).bit_count() for v in (one ^ other).view(np.uint64))
+            assert len(one) == ngram_join.BITS // 64 and unlike <= len(sets[i] ^ sets[j])
+            assert (len(sets[i] ^ sets[j]) - unlike) % 2 == 0
+            close += 0 < unlike
+    assert close
+
+
 def test_ngram_join_edges(spark):
     got = sorted(map(tuple, ngram_join.join(docs(spark, EDGE)).collect()), key=str)
     assert len(got) == len(EDGE) and got.count((5, 1, 5)) == 2 and (6, 1, 5) in got and (None, 1, None) in got and (1, 0, 1) in got
