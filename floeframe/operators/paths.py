@@ -2,8 +2,8 @@
 
 Many independent grids (``zone``) are solved together. ``least_cost`` relaxes cell by cell: a round joins the improved cells with
 the edge table and takes one ``min`` per cell of the state. ``tiled_least_cost`` relaxes tile by tile, for large grids:
-its rounds follow tiles, and between rounds it holds only what enters tiles. ``time_least_cost`` settles one time bucket after
-another. Routes are read off a settled field by pointer doubling, in as many rounds as the route's length has binary digits.
+its rounds follow tiles, and between rounds it holds only what enters tiles. ``time_least_cost`` does the same over all time
+buckets. Routes are read off a settled field by pointer doubling, in as many rounds as the route's length has binary digits.
 """
 
 from __future__ import annotations
@@ -239,63 +239,123 @@ def outcomes(ends: DataFrame, cells: DataFrame, field: DataFrame, zone: str = "z
 
 # --- by time bucket ----------------------------------------------------------------------------------------
 
+def _timed_search(cost: np.ndarray, free: np.ndarray, entries: list[tuple[tuple, tuple]], cell_m: float, speed: float, bucket_s: float,
+                  deadline_s: float, base: tuple[int, int]) -> tuple[dict, dict]:
+    """Labels of one tile, settled cheapest first, and of the moves that leave it: (r, c, bucket) -> (total, time, pr, pc, pb).
+
+    ``cost`` has rows, columns and buckets, NaN where closed at that time, ``free`` the passable cells; both with a rim of one cell.
+    """
+    rows, cols, buckets = cost.shape
+    steps = [(a, b, math.hypot(a, b) * cell_m) for a, b in NEIGHBOURS]
+    value, open_ = cost.tolist(), free.tolist()
+    best, settled, exits = {}, {}, {}
+    for key, label in entries:
+        if key not in best or label < best[key]:
+            best[key] = label
+    heap = [(label, key) for key, label in best.items()]
+    heapq.heapify(heap)
+    while heap:
+        label, key = heapq.heappop(heap)
+        if key in settled:
+            continue
+        settled[key] = label
+        r, c, b = key
+        here = value[r][c][b]
+        if here != here or not open_[r][c]:
+            continue
+        for dr, dc, dist in steps:
+            nr, nc, when = r + dr, c + dc, label[1] + dist / speed
+            if when > deadline_s or not open_[nr][nc] or (dr and dc and not open_[r][nc] and not open_[nr][c]):
+                continue
+            to = (nr, nc, math.floor(when / bucket_s))
+            there = value[nr][nc][to[2]]
+            if there != there:
+                continue
+            new = (label[0] + dist * 0.5 * (here + there), when, base[0] + r, base[1] + c, b)
+            if 0 < nr < rows - 1 and 0 < nc < cols - 1:
+                if to not in settled and (to not in best or new < best[to]):
+                    best[to] = new
+                    heapq.heappush(heap, (new, to))
+            elif to not in exits or new < exits[to]:
+                exits[to] = new
+    return settled, exits
+
+
 def time_least_cost(grid: DataFrame, field: DataFrame, starts: DataFrame, cell_m: float, speed: float, bucket_s: float,
-                    deadline_s: float, zone: str = "zone", every: int = 4) -> DataFrame:
+                    deadline_s: float, zone: str = "zone", every: int = 1, tile: int = 64) -> DataFrame:
     """The same with costs that change by arrival bucket: one label per (cell, bucket), with the label before it (pr, pc, pb).
 
     ``grid`` holds the passable cells (geometry only), ``field`` the cost of a cell in a bucket, above zero; a missing or infinite
     cost is impassable at that time. The label of a key is the cheapest way to arrive in it that extends labels of other keys; of
     equal costs the earliest, then the first predecessor in row order.
 
-    Arrival only grows, so bucket after bucket becomes final. Inside a bucket each round recomputes all labels from what has
-    entered the bucket and from the labels of the round before, until two rounds agree; a label that lost its place leaves no
-    offspring. Costs above zero make that fixed point unique: ``every`` (rounds between two tests for it) cannot change the result.
+    Costs above zero make that fixed point unique: labels settle cheapest first, in all buckets together. A round settles each tile
+    (tile**2 cells, all buckets) whose entries changed, from its present entries, and replaces what leaves it, so an entry whose label
+    lost its place is withdrawn; only entries live between rounds. ``every`` (rounds between two tests for the end) cannot change the result.
     """
-    moves = edges(grid.withColumn("cost", F.lit(1.0)), cell_m, zone).select(zone, "r", "c", "nr", "nc", "dist_m")
-    costs = field.where(finite(F.col("cost"))).select(zone, "r", "c", "bucket", "cost")
-    span = math.ceil(math.sqrt(2.0) * cell_m / speed / bucket_s)
-    there = costs.select(zone, F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("bucket").alias("nb"), F.col("cost").alias("_there"))
-    ahead = F.explode(F.array(*[F.lit(k) for k in range(span + 1)])).alias("_k")
-    # the moves of a label in one row: 8 neighbours in each bucket that one move can reach
-    ways = (costs.join(moves, [zone, "r", "c"]).select("*", ahead).withColumn("nb", F.col("bucket") + F.col("_k")).join(there, [zone, "nr", "nc", "nb"])
-            .groupBy(zone, "r", "c", "bucket")
-            .agg(F.collect_list(F.struct("nr", "nc", "nb", "dist_m", (F.col("dist_m") * 0.5 * (F.col("cost") + F.col("_there"))).alias("w"))).alias("ways")))
-    ways = cut_lineage(ways)
-    keys, label = [zone, "r", "c", "bucket"], ["total", "time", "pr", "pc", "pb"]
-    best = F.min(F.struct(*label)).alias("m")
-
-    def cheapest(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).agg(best).select(*keys, *[f"m.{x}" for x in label])
-
-    def moved(labels: DataFrame) -> DataFrame:
-        step = labels.join(ways, keys).select(zone, "r", "c", "bucket", "total", "time", F.inline("ways"))
-        arrive = F.col("time") + F.col("dist_m") / speed
-        step = step.withColumn("arrive", arrive).where((F.col("arrive") <= deadline_s) & (F.floor(F.col("arrive") / bucket_s) == F.col("nb")))
-        return step.select(zone, F.col("nr").alias("_r"), F.col("nc").alias("_c"), F.col("nb").alias("_b"), (F.col("total") + F.col("w")).alias("_total"),
-                           F.col("arrive").alias("_time"), "r", "c", "bucket").toDF(zone, "r", "c", "bucket", *label)
+    side, kind = F.lit(tile), dict(field.dtypes)[zone]
+    last = math.floor(deadline_s / bucket_s)
+    passable = grid.where(finite(F.col("cost"))).select(zone, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    costs = (field.where(finite(F.col("cost")) & F.col("bucket").between(0, last))
+             .select(zone, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("bucket").cast("int").alias("bucket"), F.col("cost").cast("double").alias("_v")))
+    # bucket -1 stands for the passable cell itself
+    shape = passable.withColumns({"bucket": F.lit(-1), "_v": F.lit(0.0)})
+    reach = lambda x: F.array_distinct(F.array(*[F.floor((F.col(x) + d) / side).cast("int") for d in (-1, 0, 1)]))
+    tiles = [zone, "_tr", "_tc"]
+    placed = costs.unionByName(shape).withColumn("_tr", F.explode(reach("r"))).withColumn("_tc", F.explode(reach("c")))
+    packed = placed.groupBy(*tiles).agg(F.collect_list(F.struct("r", "c", "bucket", "_v")).alias("_cells"))       # (tile + 2)**2 cells by buckets
+    grids = cut_lineage(packed.select(*[F.col(x).alias(f"_g{x}") for x in tiles],
+                                      *[F.col(f"_cells.{x}").alias(n) for x, n in (("r", "_rs"), ("c", "_cs"), ("bucket", "_bs"), ("_v", "_vs"))]))
+    label = ["total", "time", "pr", "pc", "pb"]
+    schema = f"{zone} {kind}, r int, c int, bucket int, total double, time double, pr int, pc int, pb int"
+    columns = [zone, "r", "c", "bucket", *label]
+
+    def solve(labels: bool):
+        def run(key: tuple, entries: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
+            if not len(entries):
+                return pd.DataFrame([], columns=columns)
+            base = (int(key[1]) * tile - 1, int(key[2]) * tile - 1)
+            cost, free = np.full((tile + 2, tile + 2, last + 1), np.nan), np.zeros((tile + 2, tile + 2), bool)
+            if len(ground):
+                r, c, b, v = (np.asarray(ground[x].iat[0]) for x in ("_rs", "_cs", "_bs", "_vs"))
+                timed = b >= 0
+                cost[r[timed] - base[0], c[timed] - base[1], b[timed]] = v[timed]
+                free[r[~timed] - base[0], c[~timed] - base[1]] = True
+            began = [((r - base[0], c - base[1], b), (at, time, *((None,) * 3 if pd.isna(pr) else (int(pr), int(pc), int(pb)))))
+                     for r, c, b, at, time, pr, pc, pb in entries[columns[1:]].itertuples(index=False, name=None)]
+            settled, exits = _timed_search(cost, free, began, cell_m, speed, bucket_s, deadline_s, base)
+            out = [(key[0], base[0] + r, base[1] + c, b, *at) for (r, c, b), at in (settled if labels else exits).items()]
+            return pd.DataFrame(out, columns=columns).astype({x: "Int32" for x in ("pr", "pc", "pb")})
+        return run
+
+    def home(r: str, c: str, to: tuple[str, str] = ("_tr", "_tc")) -> dict:
+        return {n: F.floor(F.col(x) / side).cast("int") for n, x in zip(to, (r, c))}
+
+    def settle(entries: DataFrame, labels: bool) -> DataFrame:
+        return entries.groupBy(*tiles).cogroup(grids.groupBy(*[f"_g{x}" for x in tiles])).applyInPandas(solve(labels), schema)
+
+    def changed(before: DataFrame | None, now: DataFrame) -> DataFrame:
+        if before is None:
+            return now.select(*tiles).distinct()
+        both = before.withColumn("_s", F.lit(1)).unionByName(now.withColumn("_s", F.lit(-1)))
+        return both.groupBy(*now.columns).agg(F.sum("_s").alias("_net")).where("_net <> 0").select(*tiles).distinct()
+
+    def onward(active: DataFrame, now: DataFrame) -> DataFrame:
+        fresh = settle(now.join(active, tiles, "left_semi"), False).withColumns(home("r", "c"))
+        source = active.select(zone, F.col("_tr").alias("_sr"), F.col("_tc").alias("_sc"))
+        kept = now.withColumns(home("pr", "pc", ("_sr", "_sc"))).join(source, [zone, "_sr", "_sc"], "left_anti").select(*now.columns)
+        return kept.unionByName(fresh)
 
     none = F.lit(None).cast("int")
-    arriving = [starts.select(zone, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0).alias("bucket"), F.lit(0.0).alias("total"),
-                              F.lit(0.0).alias("time"), none.alias("pr"), none.alias("pc"), none.alias("pb"))]
-    settled = None
-    for bucket in range(math.floor(deadline_s / bucket_s) + 1):
-        entered = arriving[0]
-        for x in arriving[1:]:
-            entered = entered.unionByName(x)
-        entered = cut_lineage(cheapest(entered.where(F.col("bucket") == bucket)))
-        if entered.isEmpty():
-            continue
-        now, rounds = entered, 0
-        while True:
-            for _ in range(every):
-                before, now = now, cheapest(entered.unionByName(moved(now).where(F.col("bucket") == bucket)))
-            rounds += every
-            now, before = cut_lineage(now), before if every == 1 else cut_lineage(before)
-            if now.count() == before.count() and now.join(before, [*keys, "total", "time"], "left_anti").isEmpty():
-                break
-            if rounds > MAX_ROUNDS:
-                raise RuntimeError("relaxation did not settle")
-        settled = now if settled is None else settled.unionByName(now)
-        leaving = cut_lineage(cheapest(moved(now).where(F.col("bucket") > bucket)))
-        arriving = [*arriving[-span:], leaving]
-    return settled if settled is not None else entered
+    begun = starts.select(zone, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0).alias("bucket"), F.lit(0.0).alias("total"),
+                          F.lit(0.0).alias("time"), none.alias("pr"), none.alias("pc"), none.alias("pb"))
+    before, now, rounds = None, cut_lineage(begun.distinct().withColumns(home("r", "c"))), 0
+    while True:
+        for _ in range(every):
+            before, now = now, onward(changed(before, now), now)
+        rounds += every
+        now, before = cut_lineage(now), before if every == 1 else cut_lineage(before)
+        if changed(before, now).isEmpty():
+            return settle(now, True)
+        if rounds > MAX_ROUNDS:
+            raise RuntimeError("relaxation did not settle")

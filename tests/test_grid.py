@@ -238,6 +238,21 @@ def test_time_buckets_do_not_depend_on_rounds(spark, bucket_s, deadline):
         assert all(v[1] is None or got[v][0] < got[k][0] for k, v in links.items())                   # each label extends a settled one
 
 
+@pytest.mark.parametrize("options, shift, most", [({}, 0, 4), ({"tile": 2}, 2, 60)])
+def test_time_search_holds_only_what_enters_tiles(spark, monkeypatch, options, shift, most):
+    """A copy per round of tiles, none per bucket; tiles of any size give the same labels."""
+    shape, cost = timed_world(7)
+    copies, cut = [], paths.cut_lineage
+    monkeypatch.setattr(paths, "cut_lineage", lambda df: copies.append(1) or cut(df))
+    grid = spark.createDataFrame([("z", r - shift, c - shift, v) for (r, c), v in shape.items()], "zone string, r int, c int, cost double")
+    field = spark.createDataFrame([("z", r - shift, c - shift, b, v) for (r, c, b), v in cost.items()], "zone string, r int, c int, bucket int, cost double")
+    out = paths.time_least_cost(grid, field, spark.createDataFrame([("z", -shift, -shift)], "zone string, r int, c int"), 10.0, 1.0, 8.0, 39.0, **options)
+    got = {((x["r"] + shift, x["c"] + shift), x["bucket"]): (x["total"], x["time"]) for x in out.collect()}
+    want = settle_in_order(shape, cost, 8.0, 39.0)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(v) for k, v in want.items())
+    assert len(copies) <= most
+
+
 def test_time_least_cost_searches_all_buckets(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(missions.paths, "time_least_cost", lambda *a: asked.append(a[-2:]) or a[2].select("zone", F.lit(0.0).alias("total"), F.lit(0.0).alias("time")))
