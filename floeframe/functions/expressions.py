@@ -30,6 +30,18 @@ def normalise_longitude(lon: Column) -> Column:
     return F.when((lon >= -180) & (lon < 180), lon).otherwise(F.pmod(lon + 180.0, F.lit(360.0)) - 180.0)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` scaled, rounded half away from zero and scaled back, all in binary, as SQL engines round doubles. Spark's ``round`` looks at the
+    shortest decimal form instead, and decides a value beside a half differently."""
+    scale = float(10 ** digits)
+    return F.round(x * scale) / scale
+
+
+def length(a: Column, b: Column) -> Column:
+    """Length of a vector by the plain formula; ``hypot`` may differ from it in the last bit."""
+    return F.sqrt(a * a + b * b)
+
+
 def shortest_arc(delta: Column) -> Column:
     return F.pmod(delta + 180.0, F.lit(360.0)) - 180.0
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.expressions import rounded
 from ..operators import cost as op
 from ..operators import risk as rk
 from ..operators import timeline as tl
@@ -66,13 +67,13 @@ def mask_or(spark, sf):
 
 @query("env_cost", using("env", "SELECT zone, bucket, r, c, round(env_cost, 6) AS env_cost, lacks AND NOT blocked AS no_data FROM env"))
 def env_cost(spark, sf):
-    return environment(spark, sf).select(*KEYS, F.round("env_cost", 6).alias("env_cost"), "no_data")
+    return environment(spark, sf).select(*KEYS, rounded(F.col("env_cost"), 6).alias("env_cost"), "no_data")
 
 
 @query("composed_cost", using("composed", """SELECT zone, bucket, r, c, state, round(coverage_cost, 6) AS coverage_cost,
     round(conservative_cost, 6) AS conservative_cost, round(optimistic_cost, 6) AS optimistic_cost FROM composed"""))
 def composed_cost(spark, sf):
-    return composed(spark, sf).select(*KEYS, "state", *[F.round(c, 6).alias(c) for c in ("coverage_cost", "conservative_cost", "optimistic_cost")])
+    return composed(spark, sf).select(*KEYS, "state", *[rounded(F.col(c), 6).alias(c) for c in ("coverage_cost", "conservative_cost", "optimistic_cost")])
 
 
 @query("composition_summary", using("composed", """SELECT state, pol_cons AS penalty, count(*) AS cells, count(*) FILTER (WHERE isfinite(env_cost)) AS finite,

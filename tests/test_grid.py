@@ -260,6 +260,25 @@ def test_time_least_cost_searches_all_buckets(spark, monkeypatch):
     assert asked == [(t.BUCKET_S, t.BUCKETS * t.BUCKET_S)]
 
 
+def test_doubles_round_and_measure_as_sql_does(spark):
+    """Values beside a half, and vectors whose hypot differs in the last bit, come out as in the SQL twins."""
+    import decimal
+
+    import duckdb
+
+    from floeframe.functions import expressions as ex
+    rng = random.Random(3)
+    by_digits = lambda x: float(decimal.Decimal(repr(x)).quantize(decimal.Decimal("1e-6"), decimal.ROUND_HALF_UP))
+    drawn = (1 + rng.randrange(10 ** 6) / 1e6 + 5e-7 + 0.3 for _ in range(100_000))
+    beside = [x for x in drawn if by_digits(x) != math.floor(x * 1e6 + 0.5) / 1e6][:50]
+    assert len(beside) == 50
+    got = [r["y"] for r in spark.createDataFrame([(x,) for x in beside], "x double").select(ex.rounded(F.col("x"), 6).alias("y")).collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchall()[0][0] for x in beside]
+    pairs = [(u, v) for u, v in ((rng.random() * 0.2, rng.random() * 0.2) for _ in range(5000)) if math.hypot(u, v) != math.sqrt(u * u + v * v)][:50]
+    df = spark.createDataFrame([(50.0, u, v, False) for u, v in pairs], "sic double, u double, v double, blocked boolean")
+    assert {(r["u"], r["env_cost"]) for r in cost.environment_cost(df, current_weight=0.3).collect()} == {(u, 1 + 50.0 / 100 + 0.3 * min(math.sqrt(u * u + v * v) / 0.5, 1.0)) for u, v in pairs}
+
+
 def test_geometry_groups_and_divergence(spark):
     rows = [(1, [(0, 0), (1, 1)]), (2, [(0, 0), (1, 1)]), (3, [(1, 1), (0, 0)]), (4, [(0, 0)])]
     pts = spark.createDataFrame([(i, s, 0, r, c) for i, path in rows for s, (r, c) in enumerate(path)], "route_id long, seq int, zone int, r int, c int")
