@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import length
 from ..functions.ordered import with_following, with_next_and_running
 from .cost import finite
 
@@ -13,7 +14,7 @@ ROUTE = ["route_id"]
 
 def segment_m(cell_m: float) -> Column:
     """Length to the next point; 0 at the last one."""
-    return F.coalesce(F.hypot(F.col("next_r") - F.col("r"), F.col("next_c") - F.col("c")) * cell_m, F.lit(0.0))
+    return F.coalesce(length(F.col("next_r") - F.col("r"), F.col("next_c") - F.col("c")) * cell_m, F.lit(0.0))
 
 
 def clocked(points: DataFrame, cell_m: float, speed: float) -> DataFrame:
