@@ -142,11 +142,14 @@ def rio_points(regimes: DataFrame, riv: DataFrame) -> DataFrame:
 
     ``riv`` has one row per class and ice type, a dimension of fixed size.
     """
-    joined = regimes.join(riv, "ice_type", "left")
-    value = required(F.col("riv"), "ice type without a risk value", "double")
-    return (joined.groupBy("polygon_id", "ice_class", "category")
-            .agg(F.sum("tenths").alias("tenths"), F.sum(F.col("tenths") * value).alias("_rio"))
-            .withColumn("rio", F.when(F.col("tenths") == 10, F.col("_rio"))).drop("_rio"))
+    # a regime is a short list of types, gathered once; the classes are then scored inside the row, not grouped
+    whole = regimes.groupBy("polygon_id").agg(F.collect_list(F.struct("ice_type", "tenths")).alias("_parts"))
+    classes = riv.groupBy("ice_class", "category").agg(F.map_from_entries(F.collect_list(F.struct("ice_type", "riv"))).alias("_riv"))
+    value = lambda x: required(F.col("_riv")[x["ice_type"]], "ice type without a risk value", "double")
+    tenths = F.aggregate("_parts", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["tenths"], F.lit(0)))
+    rio = F.aggregate("_parts", F.lit(0.0), lambda a, x: a + F.coalesce(x["tenths"], F.lit(0)) * value(x))
+    return (whole.join(F.broadcast(classes), F.lit(True)).withColumn("tenths", tenths).withColumn("_rio", rio)
+            .select("polygon_id", "ice_class", "category", "tenths", F.when(F.col("tenths") == 10, F.col("_rio")).alias("rio")))
 
 
 def dominant_polygons(areas: DataFrame, keys=("zone", "r", "c")) -> DataFrame:

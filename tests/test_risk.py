@@ -77,3 +77,16 @@ def test_policy_documents(spark, tmp_path):
     assert [r["min_rio"] for r in p.read_bands(spark, path).orderBy("ord").collect()] == [0.0, float("-inf")]
     assert p.read_stage_policy(spark, path).first()["mapping_sensitive"] is True
     assert {(r["field"], r["low"], r["high"]) for r in p.read_concentrations(spark, path).collect()} == {("ct", 4, 6), ("partial", 1, 1)}
+
+
+def test_classes_are_scored_inside_the_row(spark):
+    """Polygons are shuffled once, not once per ice class."""
+    regimes = spark.createDataFrame([(1, "a", 4), (1, "b", 6), (2, "a", 10), (3, "b", 3)], "polygon_id int, ice_type string, tenths int")
+    riv = spark.createDataFrame([(k, "polar_class", x, v) for k, vs in {"P": (1.0, -2.0), "Q": (3.0, 0.5)}.items() for x, v in zip("ab", vs)],
+                                "ice_class string, category string, ice_type string, riv double")
+    from floeframe.operators import risk
+    out = risk.rio_points(regimes, riv)
+    assert {(r["polygon_id"], r["ice_class"]): (r["tenths"], r["rio"]) for r in out.collect()} == {
+        (1, "P"): (10, -8.0), (1, "Q"): (10, 15.0), (2, "P"): (10, 10.0), (2, "Q"): (10, 30.0), (3, "P"): (3, None), (3, "Q"): (3, None)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate [polygon_id" in x and "ice_class" in x]
