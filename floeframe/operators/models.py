@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import forecast as fc
 
 FEATURES = ["sic", "u", "v", "speed"]
 SIC_RANGE = (0.0, 100.0)
+PROBE = 3                        # times the patience: rounds of the first, short fit
+TASK_ROWS = 400_000              # rows of one task in the passes of a fit
 
 
 def leakage_audit(pairs: DataFrame) -> DataFrame:
@@ -54,27 +58,43 @@ def rounds_used(losses: list[float], patience: int, tol: float = 1e-7) -> int:
     return len(losses)
 
 
+def fit_tasks(rows: int) -> int:
+    """Tasks of a fit's passes: as many as its rows are worth, since a level of a tree is a job of its own, of 0.1 s or less."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def fit(rows: DataFrame, features: list[str], label: str = "label", trees: int = 200, depth: int = 5, seed: int = 7,
         leaf_rows: int = 50, step: float = 0.1, patience: int | None = 20):
     """A fitted (assembler, model) pair: up to ``trees`` rounds, ``depth`` levels, at least ``leaf_rows`` rows in a leaf.
 
     With ``patience`` a tenth of ``rows``, picked by hash, is kept out of the fit and the rounds end when that many in a row
-    bring no lower loss on it. Spark's own rule ends at the first such round, so all rounds are fitted and counted first; the same
-    seed and rows then give the same trees again, up to the counted one.
+    bring no lower loss on it. Spark's own rule ends at the first such round, so the rounds are fitted and counted first, a few
+    (``PROBE``) and only then all of them; the same seed and rows then give the same trees again, up to the counted one. The rows are
+    dealt out evenly, ``TASK_ROWS`` to a task, however few files they come from.
     """
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", maxIter=trees, maxDepth=depth, seed=seed,
                        minInstancesPerNode=leaf_rows, stepSize=step)
-    ready = assembler.transform(rows)
+    rows = rows.select(*features, label)
+    ready = assembler.transform(rows.repartition(fit_tasks(rows.count())))
     if patience is None or trees <= patience:
         return assembler, gbt.fit(ready)
     held = F.pmod(F.xxhash64(*features, label), F.lit(10)) == 0
     used, kept_out = ready.where(~held), ready.where(held)
     if kept_out.isEmpty() or used.isEmpty():
         return assembler, gbt.fit(ready)
-    model = gbt.fit(used)
-    best = rounds_used(model.evaluateEachIteration(kept_out, "squared"), patience)
-    return assembler, model if best == trees else gbt.copy({gbt.maxIter: best}).fit(used)
+    for upto in (min(trees, PROBE * patience), trees):
+        model = gbt.copy({gbt.maxIter: upto}).fit(used)
+        best = rounds_used(model.evaluateEachIteration(kept_out, "squared"), patience)
+        if best < upto or upto == trees:
+            return assembler, model if best == upto else gbt.copy({gbt.maxIter: best}).fit(used)
+
+
+def together(jobs: list) -> list:
+    """Results of ``jobs`` (functions of nothing), run side by side: a fit is a long chain of short Spark jobs that leave cores idle."""
+    inherits = inheritable_thread_target(SparkSession.getActiveSession())
+    with ThreadPool(len(jobs)) as pool:
+        return pool.map(lambda job: inherits(job)(), jobs, chunksize=1)
 
 
 def predict(rows: DataFrame, fitted, name: str = "prediction", clip=SIC_RANGE) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -54,8 +55,9 @@ def ablation(spark, sf):
     rows = split_rows(spark, sf)
     sample = training_sample(rows)
     scored = rows.where("split <> 'train'")
-    for name, features in (("sic_only", ["sic"]), ("all_features", op.FEATURES)):
-        scored = op.predict(scored, op.fit(sample, features), name).drop("clipped")
+    sets = {"sic_only": ["sic"], "all_features": op.FEATURES}
+    for name, fitted in zip(sets, op.together([partial(op.fit, sample, features) for features in sets.values()])):
+        scored = op.predict(scored, fitted, name).drop("clipped")
     table = op.skill_table(scored, {"persistence": "sic", "sic_only": "sic_only", "all_features": "all_features"}, "label", ["split"])
     base = table.where("predictor = 'persistence'").select("split", F.col("mae_miz").alias("_base"))
     return table.join(F.broadcast(base), "split").withColumn("miz_gain", F.round(F.col("_base") - F.col("mae_miz"), 6)).drop("_base")
@@ -84,10 +86,12 @@ def residual_model(spark, sf):
     rows = stored(pop.withColumn("disp_e", de).withColumn("disp_n", dn).withColumn("res_e", oe - de).withColumn("res_n", on - dn))
     train = rows.where("moved AND split = 'train'")
     parts = None
-    for k, setting in enumerate(SETTINGS):
+    fits = [(k, comp) for k in range(len(SETTINGS)) for comp in ("e", "n")]
+    models = dict(zip(fits, op.together([partial(op.fit, train, RESIDUAL_FEATURES, f"res_{comp}", patience=None, **SETTINGS[k]) for k, comp in fits])))
+    for k in range(len(SETTINGS)):
         scored = rows.where("moved AND split <> 'train'")
         for comp in ("e", "n"):
-            scored = op.predict(scored, op.fit(train, RESIDUAL_FEATURES, f"res_{comp}", patience=None, **setting), f"fix_{comp}", clip=None)
+            scored = op.predict(scored, models[k, comp], f"fix_{comp}", clip=None)
         s = F.col("elapsed_s")
         lat, lon = ex.advect(F.col("lat0"), F.col("lon0"), (F.col("disp_e") + F.col("fix_e")) / s, (F.col("disp_n") + F.col("fix_n")) / s, s)
         err = ex.great_circle_m(lat, lon, F.col("lat1"), F.col("lon1")) / 1000

@@ -33,6 +33,17 @@ def test_fits_have_the_rounds_of_the_reference(spark):
     assert 3 <= model.getNumTrees < 12                 # noise gets no better, so the rounds end early
 
 
+def test_a_short_fit_comes_first_and_rows_decide_the_tasks(spark, monkeypatch):
+    asked, whole = [], op.GBTRegressor.fit
+    monkeypatch.setattr(op.GBTRegressor, "fit", lambda self, rows, params=None: (asked.append((self.getMaxIter(), rows.rdd.getNumPartitions())), whole(self, rows, params))[1])
+    noise = spark.range(600).select(F.rand(1).alias("a"), F.rand(2).alias("label"))
+    _, model = op.fit(noise, ["a"], trees=40, depth=2, leaf_rows=5, step=1.0, patience=2)
+    assert asked[0][0] == op.PROBE * 2 and asked[-1][0] == model.getNumTrees and (40 not in [n for n, _ in asked])
+    assert {tasks for _, tasks in asked} == {1}        # however many partitions the rows come in
+    assert [op.fit_tasks(n) for n in (0, 1, op.TASK_ROWS, op.TASK_ROWS + 1, 5 * op.TASK_ROWS)] == [1, 1, 1, 2, 5]
+    assert op.together([lambda: 1, lambda: 2]) == [1, 2]
+
+
 def test_a_forecast_needs_no_observation_of_its_valid_day(spark):
     day = dt.date(2025, 12, 5)
     ice = spark.createDataFrame([(day, 0, 0, 50.0), (day, 0, 1, None), (day, 0, 2, 70.0)], "day date, r int, c int, sic double")
