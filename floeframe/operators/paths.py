@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -21,6 +21,8 @@ from .cost import finite
 
 NEIGHBOURS = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)]
 MAX_ROUNDS = 100_000             # default of ``max_rounds``: beyond it the search fails, it never stops early
+GROUP_CELLS = 65_536             # cells of the tiles that one call of a task solves
+BLOCK = 32                       # rows and columns of the blocks in which cells meet their neighbours
 
 
 def edges(cells: DataFrame, cell_m: float, zone: str = "zone", value: str = "cost", cut_corners: bool = False) -> DataFrame:
@@ -109,33 +111,45 @@ def _tile_search(cost: np.ndarray, entries: list[tuple[float, int, int]], cell_m
     ``cost`` has the tile's cells and a rim of one cell around them, NaN where closed; totals beyond the rim's inner edge are exits.
     """
     rows, cols = cost.shape
-    total = np.full(cost.shape, np.inf)
+    open_, value = np.isfinite(cost).tolist(), cost.tolist()
+    total = [[math.inf] * cols for _ in range(rows)]
     exits: dict[tuple[int, int], float] = {}
-    open_ = np.isfinite(cost)
     heap = []
     for at, r, c in entries:
-        if open_[r, c] and at < total[r, c]:
-            total[r, c] = at
+        if open_[r][c] and at < total[r][c]:
+            total[r][c] = at
             heap.append((at, r, c))
     heapq.heapify(heap)
     steps = [(a, b, 0.5 * cell_m * math.hypot(a, b)) for a, b in NEIGHBOURS]
     while heap:
         at, r, c = heapq.heappop(heap)
-        if at > total[r, c]:
+        if at > total[r][c]:
             continue
-        here = cost[r, c]
+        here = value[r][c]
         for a, b, half in steps:
             nr, nc = r + a, c + b
-            if not open_[nr, nc] or (a and b and not cut_corners and not open_[r, nc] and not open_[nr, c]):
+            if not open_[nr][nc] or (a and b and not cut_corners and not open_[r][nc] and not open_[nr][c]):
                 continue
-            new = at + half * (here + cost[nr, nc])
+            new = at + half * (here + value[nr][nc])
             if 0 < nr < rows - 1 and 0 < nc < cols - 1:
-                if new < total[nr, nc]:
-                    total[nr, nc] = new
+                if new < total[nr][nc]:
+                    total[nr][nc] = new
                     heapq.heappush(heap, (new, nr, nc))
             elif new < exits.get((nr, nc), math.inf):
                 exits[nr, nc] = new
-    return total, exits
+    return np.array(total), exits
+
+
+def _dealt(tiles: DataFrame, keys: list[str], cells: int) -> Column:
+    """The group that a row's tile is solved in; ``tiles`` has a row per tile, of ``cells`` cells at most.
+
+    A call of a Python task costs more than a small tile, so as many tiles as make about ``GROUP_CELLS`` cells share one,
+    but fewer if cores would idle. Tiles are dealt by hash, so that the size of a group does not depend on their places.
+    """
+    count = tiles.count()
+    cores = tiles.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, min(count, max(3 * cores, -(-count * cells // GROUP_CELLS))))
+    return F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")
 
 
 def tiled_least_cost(cells: DataFrame, starts: DataFrame, cell_m: float, zone: str = "zone", value: str = "cost", tile: int = 64,
@@ -143,50 +157,57 @@ def tiled_least_cost(cells: DataFrame, starts: DataFrame, cell_m: float, zone: s
     """The field of ``least_cost``, in rounds that follow tiles.
 
     A round solves each tile that something cheaper has entered since it was last solved, from all entries known so far (at most 4 * tile
-    cells of its edge and the start), and hands what leaves it to its neighbours. Only entries live between rounds. Once no
-    entry improves, one last pass fills in the tiles. A tile has tile**2 cells, whatever the grid's size. A cell (zone, r, c) occurs once.
+    cells of its edge and the start), and hands what leaves it to its neighbours. Only entries live between rounds, and only the tiles
+    to be solved are moved, many to a call. Once no entry improves, one last pass fills in the tiles. A tile has tile**2 cells,
+    whatever the grid's size. A cell (zone, r, c) occurs once.
     """
-    side = F.lit(tile)
+    side, kind = F.lit(tile), dict(cells.dtypes)[zone]
     open_cells = cells.where(finite(F.col(value))).select(zone, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col(value).cast("double").alias("_v"))
     reach = lambda x: F.array_distinct(F.array(*[F.floor((F.col(x) + d) / side).cast("int") for d in (-1, 0, 1)]))
     placed = (open_cells.withColumn("_tr", F.explode(reach("r"))).withColumn("_tc", F.explode(reach("c"))))
     keys = [zone, "_tr", "_tc"]
-    grids = cut_lineage(placed.groupBy(*keys).agg(F.collect_list(F.struct("r", "c", "_v")).alias("_cells")))   # at most (tile + 2)**2
-    grids = grids.select(*[F.col(c).alias(f"_g{c}") for c in keys], "_cells")         # names of its own: both sides may stem from one table
+    packed = placed.groupBy(*keys).agg(F.collect_list(F.struct("r", "c", "_v")).alias("_cells"))                # at most (tile + 2)**2
+    grids = cut_lineage(packed.select(*keys, *[F.col(f"_cells.{x}").alias(n) for x, n in (("r", "_rs"), ("c", "_cs"), ("_v", "_vs"))]))
+    group = _dealt(grids, keys, (tile + 2) ** 2)
     home = [F.floor(F.col(x) / side).cast("int").alias(f"_t{x}") for x in ("r", "c")]
-    kind = dict(cells.dtypes)[zone]
     schema = f"{zone} {kind}, r int, c int, total double"
 
     def solve(field: bool):
         def run(key: tuple, entries: pd.DataFrame, grid: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(entries) and len(grid):
-                base_r, base_c = int(key[1]) * tile - 1, int(key[2]) * tile - 1
+            began = {}
+            for z, tr, tc, r, c, at in zip(*[entries[x].tolist() for x in (*keys, "r", "c", "total")]):
+                began.setdefault((z, tr, tc), []).append((at, r - tr * tile + 1, c - tc * tile + 1))
+            zones, rs, cs, totals = [], [], [], []
+            for z, tr, tc, r, c, v in zip(*[grid[x].tolist() for x in (*keys, "_rs", "_cs", "_vs")]):
+                base_r, base_c = tr * tile - 1, tc * tile - 1
                 cost = np.full((tile + 2, tile + 2), np.nan)
-                for x in grid["_cells"].iat[0]:
-                    cost[x["r"] - base_r, x["c"] - base_c] = x["_v"]
-                began = zip(entries["total"].tolist(), (entries["r"] - base_r).tolist(), (entries["c"] - base_c).tolist())
-                total, exits = _tile_search(cost, list(began), cell_m, cut_corners)
+                cost[np.asarray(r) - base_r, np.asarray(c) - base_c] = v
+                total, exits = _tile_search(cost, began.get((z, tr, tc), []), cell_m, cut_corners)
                 if field:
-                    out = [(key[0], base_r + int(r), base_c + int(c), float(total[r, c])) for r, c in zip(*np.nonzero(np.isfinite(total)))]
+                    at = np.nonzero(np.isfinite(total))
+                    found = [(at[0] + base_r).tolist(), (at[1] + base_c).tolist(), total[at].tolist()]
                 else:
-                    out = [(key[0], base_r + r, base_c + c, t) for (r, c), t in exits.items()]
-            return pd.DataFrame(out, columns=[zone, "r", "c", "total"])
+                    found = [[base_r + x[0] for x in exits], [base_c + x[1] for x in exits], list(exits.values())]
+                zones += [z] * len(found[0])
+                for whole, part in zip((rs, cs, totals), found):
+                    whole += part
+            return pd.DataFrame({zone: pd.Series(zones, dtype=object), "r": rs, "c": cs, "total": totals})
         return run
 
-    def solved(entries: DataFrame, field: bool) -> DataFrame:
-        return entries.groupBy(*keys).cogroup(grids.groupBy(*[f"_g{c}" for c in keys])).applyInPandas(solve(field), schema)
+    def solved(entries: DataFrame, tiles: DataFrame, field: bool) -> DataFrame:
+        ground = grids.join(tiles, keys, "left_semi").withColumn("_group", group)
+        return entries.withColumn("_group", group).groupBy("_group").cogroup(ground.groupBy("_group")).applyInPandas(solve(field), schema)
 
-    entries = cut_lineage(starts.select(zone, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0.0).alias("total"), F.lit(0).alias("_round"))
+    entries = cut_lineage(starts.select(F.col(zone).cast(kind).alias(zone), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.lit(0.0).alias("total"), F.lit(0).alias("_round"))
                           .withColumns({f"_t{x}": F.floor(F.col(x) / side).cast("int") for x in ("r", "c")}))
     for done in range(1, max_rounds + 1):
         active = entries.where(F.col("_round") == done - 1).select(*keys).distinct()
-        fresh = solved(entries.join(active, keys, "left_semi"), False).select(zone, "r", "c", "total", F.lit(done).alias("_round"), *home)
+        fresh = solved(entries.join(active, keys, "left_semi"), active, False).select(zone, "r", "c", "total", F.lit(done).alias("_round"), *home)
         best = F.min(F.struct("total", "_round")).alias("m")
         entries = cut_lineage(entries.unionByName(fresh).groupBy(zone, "r", "c", "_tr", "_tc").agg(best)
                               .select(zone, "r", "c", "m.total", "m._round", "_tr", "_tc"))
         if entries.where(F.col("_round") == done).isEmpty():
-            return solved(entries, True)
+            return solved(entries, entries.select(*keys).distinct(), True)
     raise RuntimeError("relaxation did not settle")
 
 

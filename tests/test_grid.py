@@ -325,3 +325,13 @@ def test_buckets_are_told_apart_as_rows(spark):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     none = rt.bucket_status(spark.createDataFrame([(1, 3)], "route_id int, bucket int"), spark.createDataFrame([], "bucket int")).collect()
     assert [tuple(r) for r in none] == [(1, 3, "missing")]
+
+
+def test_small_tiles_share_a_call(spark):
+    """Tiles are solved in groups of about GROUP_CELLS cells, so that calls follow cells and not tiles."""
+    tiles = spark.range(5000).select(F.col("id").alias("zone"), F.lit(0).alias("_tr"), F.lit(0).alias("_tc"))
+    keys = ["zone", "_tr", "_tc"]
+    groups = lambda cells: tiles.select(paths._dealt(tiles, keys, cells).alias("g")).distinct().count()
+    cores = spark.sparkContext.defaultParallelism
+    assert 1 < groups(100) <= max(3 * cores, 5000 * 100 // paths.GROUP_CELLS + 1)
+    assert groups(paths.GROUP_CELLS) > 3000             # large tiles have calls of their own
