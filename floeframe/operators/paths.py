@@ -25,27 +25,38 @@ GROUP_CELLS = 65_536             # cells of the tiles that one call of a task so
 BLOCK = 32                       # rows and columns of the blocks in which cells meet their neighbours
 
 
-def edges(cells: DataFrame, cell_m: float, zone: str = "zone", value: str = "cost", cut_corners: bool = False) -> DataFrame:
-    """Directed edges between passable neighbours.
+def _around(cells: DataFrame, zone: str, values: list[str]) -> DataFrame:
+    """zone, r, c, values, and of each of the eight neighbours that is among ``cells`` the same values, as ``<value>_<k>``.
 
-    Each passable cell announces itself to its eight neighbours and, as a
-    shoulder, to the diagonal moves it would block; joins are on the cell key.
+    A cell is sent to its neighbours once, so one shuffle serves all directions. Cells are brought together by blocks first, so
+    that most rows meet in the task that sends them. ``values`` are numbers, never null; a cell (zone, r, c) occurs once.
     """
-    open_cells = cells.where(finite(F.col(value))).select(zone, "r", "c", F.col(value).alias("_v"))
-    steps = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in NEIGHBOURS])
-    moved = (open_cells.withColumn("s", F.explode(steps))
-             .select(zone, "r", "c", F.col("_v").alias("cost_a"), (F.col("r") + F.col("s.dr")).alias("nr"), (F.col("c") + F.col("s.dc")).alias("nc")))
-    there = open_cells.select(zone, F.col("r").alias("nr"), F.col("c").alias("nc"), F.col("_v").alias("cost_b"))
-    out = moved.join(there, [zone, "nr", "nc"])
-    if not cut_corners:
-        # a diagonal needs at least one open shoulder: (r, nc) or (nr, c)
-        free = cells.where(finite(F.col(value))).select(zone, "r", "c")
-        side = free.select(zone, F.col("r").alias("_sr"), F.col("c").alias("_sc"), F.lit(True).alias("_open"))
-        for name, (a, b) in {"_s1": ("r", "nc"), "_s2": ("nr", "c")}.items():
-            shoulder = side.select(zone, F.col("_sr").alias(a), F.col("_sc").alias(b), F.col("_open").alias(name))
-            out = out.join(shoulder, [zone, a, b], "left")
-        straight = (F.col("r") == F.col("nr")) | (F.col("c") == F.col("nc"))
-        out = out.where(straight | F.col("_s1").isNotNull() | F.col("_s2").isNotNull()).drop("_s1", "_s2")
+    offsets = [*NEIGHBOURS, (0, 0)]                    # the cell itself comes last
+    block = [F.floor(F.col(x) / BLOCK) for x in ("r", "c")]
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).alias("dr"), F.lit(b).alias("dc")) for k, (a, b) in enumerate(offsets)])
+    # offset k as seen from the row that receives
+    sent = (cells.select(zone, "r", "c", *values).repartition(zone, *block).withColumn("_s", F.explode(steps))
+            .select(zone, (F.col("r") - F.col("_s.dr")).alias("r"), (F.col("c") - F.col("_s.dc")).alias("c"), F.col("_s.k").alias("_k"), *values))
+    of = [F.max(F.when(F.col("_k") == k, F.col(x))).alias(x if k == len(NEIGHBOURS) else f"{x}_{k}") for k in range(len(offsets)) for x in values]
+    return sent.groupBy(zone, "r", "c").agg(*of).where(F.col(values[0]).isNotNull())
+
+
+def _free(k: int, value: str, cut_corners: bool) -> Column:
+    """Whether the move between a row's cell and its neighbour ``k`` is open: a diagonal needs one open shoulder."""
+    a, b = NEIGHBOURS[k]
+    open_ = F.col(f"{value}_{k}").isNotNull()
+    if cut_corners or not (a and b):
+        return open_
+    return open_ & (F.col(f"{value}_{NEIGHBOURS.index((a, 0))}").isNotNull() | F.col(f"{value}_{NEIGHBOURS.index((0, b))}").isNotNull())
+
+
+def edges(cells: DataFrame, cell_m: float, zone: str = "zone", value: str = "cost", cut_corners: bool = False) -> DataFrame:
+    """Directed edges between passable neighbours, made inside the row that knows its surroundings."""
+    near = _around(cells.where(finite(F.col(value))).select(zone, "r", "c", F.col(value).alias("_v")), zone, ["_v"])
+    ways = [F.when(_free(k, "_v", cut_corners), F.struct((F.col("r") + a).alias("nr"), (F.col("c") + b).alias("nc"), F.col(f"_v_{k}").alias("cost_b")))
+            for k, (a, b) in enumerate(NEIGHBOURS)]
+    out = (near.select(zone, "r", "c", F.col("_v").alias("cost_a"), F.explode(F.array(*ways)).alias("_e")).where(F.col("_e").isNotNull())
+           .select(zone, "r", "c", "_e.nr", "_e.nc", "cost_a", "_e.cost_b"))
     dist = F.hypot(F.col("nr") - F.col("r"), F.col("nc") - F.col("c")) * cell_m
     return out.withColumn("dist_m", dist).select(zone, "r", "c", "nr", "nc", "dist_m", "cost_a", "cost_b",
                                                  (dist * 0.5 * (F.col("cost_a") + F.col("cost_b"))).alias("weight"))
@@ -227,6 +238,23 @@ def predecessors(edge_table: DataFrame, field: DataFrame, zone: str = "zone") ->
     return steps.groupBy(zone, F.col("nr").alias("r"), F.col("nc").alias("c")).agg(best).select(zone, "r", "c", "m.pr", "m.pc")
 
 
+def cell_predecessors(cells: DataFrame, field: DataFrame, cell_m: float, zone: str = "zone", value: str = "cost", cut_corners: bool = False) -> DataFrame:
+    """``predecessors`` of the edges of ``cells``, without the edge table: each reached cell looks at its neighbours.
+
+    ``field`` is the whole field from the starts, so an open shoulder of a move between reached cells is reached too.
+    """
+    reached = (cells.where(finite(F.col(value))).select(zone, "r", "c", F.col(value).alias("_v"))
+               .join(field.select(zone, "r", "c", F.col("total").alias("_t")), [zone, "r", "c"]))
+    near = _around(reached, zone, ["_v", "_t"])
+    ways = []
+    for k, (a, b) in enumerate(NEIGHBOURS):
+        weight = F.hypot(F.lit(a), F.lit(b)) * cell_m * 0.5 * (F.col(f"_v_{k}") + F.col("_v"))
+        ways.append(F.when(_free(k, "_v", cut_corners) & (F.col(f"_t_{k}") < F.col("_t")),
+                           F.struct(F.round(F.col(f"_t_{k}") + weight, 6).alias("t"), (F.col("r") + a).alias("pr"), (F.col("c") + b).alias("pc"))))
+    best = near.select(zone, "r", "c", F.array_min(F.array(*ways)).alias("m")).where(F.col("m").isNotNull())
+    return best.select(zone, "r", "c", "m.pr", "m.pc")
+
+
 def trace(links: DataFrame, ends: DataFrame, node: list[str], before: list[str], within: list[str] = ("zone",), route: str = "route_id") -> DataFrame:
     """Ordered rows of the way from a root to each end: route, seq (from 0 at the root), ``within``, node.
 

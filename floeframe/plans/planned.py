@@ -48,7 +48,7 @@ def searched(spark, sf):
 def planned(spark, sf):
     """Ordered cells of each route found, with distances and arrival seconds."""
     cells, field, ends = searched(spark, sf)
-    links = paths.predecessors(paths.edges(cells, t.CELL_M), field)
+    links = paths.cell_predecessors(cells, field, t.CELL_M)
     points = paths.trace(links, ends.join(field.select("zone", *NODE), ["zone", *NODE]), NODE, BEFORE)
     return op.clocked(points, t.CELL_M, t.SPEED_MPS)
 

@@ -335,3 +335,17 @@ def test_small_tiles_share_a_call(spark):
     cores = spark.sparkContext.defaultParallelism
     assert 1 < groups(100) <= max(3 * cores, 5000 * 100 // paths.GROUP_CELLS + 1)
     assert groups(paths.GROUP_CELLS) > 3000             # large tiles have calls of their own
+
+
+def test_cells_find_the_predecessors_of_the_edge_table(spark):
+    rng = random.Random(4)
+    rows = [(z, r, c, rng.choice([1.0, 2.0, 2.5, None])) for z in (0, 1) for r in range(-3, 40) for c in range(30, 40) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "zone int, r int, c int, cost double")
+    first = {z: min((r, c) for y, r, c, v in rows if y == z and v) for z in (0, 1)}
+    starts = spark.createDataFrame([(z, *first[z]) for z in first], "zone int, r int, c int")
+    for corners in (False, True):
+        field = paths.tiled_least_cost(df, starts, 10.0, tile=16, cut_corners=corners).localCheckpoint()
+        want = paths.predecessors(paths.edges(df, 10.0, cut_corners=corners), field)
+        got = paths.cell_predecessors(df, field, 10.0, cut_corners=corners)
+        assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect()) and want.count() > 300
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
