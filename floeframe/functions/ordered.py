@@ -109,6 +109,9 @@ def dense_sequence(df: DataFrame, keys: list[str], order: list[str], split: Colu
     """
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
            .where(F.col("_rows") > hot_rows).drop("_rows").withColumn("_hot", F.lit(True)))
+    if hot.isEmpty():
+        # rows then lie together by key, as later steps on the same key need them
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("int"))
     marked = (df.join(hot, keys, "left")
               .withColumn("_blk", F.when(F.col("_hot"), split).otherwise(F.lit(0)).cast("long")))
     inside = Window.partitionBy(*keys, "_blk").orderBy(*order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,13 +72,15 @@ def first_divergence(paired: DataFrame, cell: list[str]) -> DataFrame:
     ``first_difference`` is the shorter length for a prefix and NULL for equal
     paths; ``first_conflict`` looks only where both have a point.
     """
-    at = lambda side: F.max(F.when(F.col("side") == side, F.struct(*cell)))
-    by_seq = paired.groupBy("pair", "seq").agg(at("a").alias("a"), at("b").alias("b"))
-    differs = ~F.col("a").eqNullSafe(F.col("b"))
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    # plain values and not structs, so that rows are reduced by hash and never sorted
+    there = [F.bool_or(F.col("side") == side).alias(f"_{side}") for side in "ab"]
+    values = [F.max(F.when(F.col("side") == side, F.col(x))).alias(f"_{side}_{x}") for side in "ab" for x in cell]
+    by_seq = paired.groupBy("pair", "seq").agg(*there, *values)
+    both = F.col("_a") & F.col("_b")
+    differs = ~reduce(lambda same, x: same & F.col(f"_a_{x}").eqNullSafe(F.col(f"_b_{x}")), cell, both)
     return by_seq.groupBy("pair").agg(
         F.min(F.when(differs, F.col("seq"))).alias("first_difference"), F.min(F.when(differs & both, F.col("seq"))).alias("first_conflict"),
-        F.count("a").alias("len_a"), F.count("b").alias("len_b"))
+        F.count_if("_a").alias("len_a"), F.count_if("_b").alias("len_b"))
 
 
 def geometry_groups(points: DataFrame, cell: list[str]) -> DataFrame:
