@@ -105,7 +105,7 @@ def cells_scan(spark, sf):
       AND ((r + 0.5) * 6250 - 3125) < 125000
     GROUP BY ALL HAVING count(a) >= 2"""))
 def regrid_mean(spark, sf):
-    fine = t.products(spark, sf).withColumn("a", op.in_range(F.col("a")))
+    fine = t.products(spark, sf).drop("ci", "cj").withColumn("a", op.in_range(F.col("a")))
     out = op.regrid(fine, "a", 3125.0, 3125.0, 6250.0, 25000.0, (5, 1 << 30), min_cells=2)
     return out.select("day", "ci", "cj", F.round("mean", 6).alias("mean"), "contributors")
 
@@ -129,8 +129,8 @@ define("compared", """SELECT f.day, f.ci, f.cj, f.a, f.n_a, g.b, g.land, g.sd FR
     FROM (SELECT *, NOT land AND n_a >= 1 AS ok FROM compared) GROUP BY ROLLUP (day)"""))
 def product_compare(spark, sf):
     """Two products on a common coarse grid: per day and pooled (day NULL)."""
-    fine = t.products(spark, sf)
-    coarse = (fine.groupBy("day", F.floor(F.col("c") / 4).alias("ci"), F.floor(F.col("r") / 4).alias("cj"))
+    fine = t.products(spark, sf, block=4)
+    coarse = (fine.groupBy("day", "ci", "cj")
               .agg(F.avg(op.in_range(F.col("a"))).alias("a"),
                    F.count(op.in_range(F.col("a"))).alias("n_a"), F.avg("b").alias("b"),
                    op.has_flag(F.min("flags")).alias("land"),
@@ -152,8 +152,8 @@ def product_compare(spark, sf):
     quantile_cont(sd, 0.5) AS unc_median FROM compared WHERE a IS NOT NULL AND NOT land"""))
 def product_agreement(spark, sf):
     """Pooled bias, correlation and the median uncertainty (a bounded integer here)."""
-    fine = t.products(spark, sf)
-    coarse = (fine.groupBy("day", F.floor(F.col("c") / 4).alias("ci"), F.floor(F.col("r") / 4).alias("cj"))
+    fine = t.products(spark, sf, block=4)
+    coarse = (fine.groupBy("day", "ci", "cj")
               .agg(F.avg(op.in_range(F.col("a"))).alias("a"), F.avg("b").alias("b"),
                    op.has_flag(F.min("flags")).alias("land"),
                    (F.max("flags") - F.min("flags")).alias("sd"))
