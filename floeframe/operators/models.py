@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -15,8 +16,8 @@ from . import forecast as fc
 
 FEATURES = ["sic", "u", "v", "speed"]
 SIC_RANGE = (0.0, 100.0)
-PROBE = 3                        # times the patience: rounds of the first, short fit
-TASK_ROWS = 400_000              # rows of one task in the passes of a fit
+PROBE = 1.5                      # times the patience: rounds of the first, short fit; the second has twice as many
+TASK_ROWS = 100_000              # rows of one task in the passes of a fit
 
 
 def leakage_audit(pairs: DataFrame) -> DataFrame:
@@ -69,8 +70,8 @@ def fit(rows: DataFrame, features: list[str], label: str = "label", trees: int =
 
     With ``patience`` a tenth of ``rows``, picked by hash, is kept out of the fit and the rounds end when that many in a row
     bring no lower loss on it. Spark's own rule ends at the first such round, so the rounds are fitted and counted first, a few
-    (``PROBE``) and only then all of them; the same seed and rows then give the same trees again, up to the counted one. The rows are
-    dealt out evenly, ``TASK_ROWS`` to a task, however few files they come from.
+    (``PROBE``), then twice as many and only then all of them; the same seed and rows then give the same trees again, up to the
+    counted one. The rows are dealt out evenly, ``TASK_ROWS`` to a task, however few files they come from.
     """
     assembler = VectorAssembler(inputCols=features, outputCol="features")
     gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", maxIter=trees, maxDepth=depth, seed=seed,
@@ -83,7 +84,8 @@ def fit(rows: DataFrame, features: list[str], label: str = "label", trees: int =
     used, kept_out = ready.where(~held), ready.where(held)
     if kept_out.isEmpty() or used.isEmpty():
         return assembler, gbt.fit(ready)
-    for upto in (min(trees, PROBE * patience), trees):
+    few = math.ceil(PROBE * patience)
+    for upto in (min(trees, few), min(trees, 2 * few), trees):
         model = gbt.copy({gbt.maxIter: upto}).fit(used)
         best = rounds_used(model.evaluateEachIteration(kept_out, "squared"), patience)
         if best < upto or upto == trees:

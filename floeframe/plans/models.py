@@ -22,7 +22,7 @@ QUOTAS = {"open": 500_000, "miz": 500_000, "ice": 1_000_000}
 
 def split_rows(spark, sf, lead=1):
     """Supervised rows with features and split; read several times, so stored once."""
-    rows = op.with_features(fop.supervised_rows(t.ice_cells(spark, sf), t.current_cells(spark, sf), lead))
+    rows = op.with_features(fop.supervised_cells(t.forecast_cells(spark, sf), lead))
     return stored(fop.with_split(rows, base="day", target="target_day"))
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from floeframe.operators import forecast as fc
 from floeframe.operators import models as op
+from floeframe.plans import models as plans
 from floeframe.plans.models import SETTINGS
+from floeframe.sources import tables as t
 
 
 def test_importance_finds_the_planted_feature(spark):
@@ -62,3 +64,29 @@ def test_a_changed_cell_is_found(spark):
     b = spark.createDataFrame([(1, 5.0), (2, None), (3, 8.0)], "k int, v double")
     assert op.field_difference(a, a, ["k"], ["v"]).first()["differing"] == 0
     assert op.field_difference(a, b, ["k"], ["v"]).first()["differing"] == 2
+
+
+def test_rows_of_a_forecast_are_shuffled_once(spark, monkeypatch, capsys):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(plans, "stored", lambda df: df)
+    rows = plans.split_rows(spark, sf)
+    rows.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    columns = ["day", "r", "c", "target_day", *[F.round(x, 9).alias(x) for x in ("sic", "label", "u", "v")]]
+    joined = fc.with_split(fc.supervised_rows(t.ice_cells(spark, sf), t.current_cells(spark, sf)), base="day", target="target_day")
+    one, two = rows.select(*columns), joined.select(*columns)
+    assert one.count() == two.count() > 0 and one.exceptAll(two).isEmpty()
+
+
+def test_the_rows_of_a_fit_occupy_several_cores(spark):
+    assert op.fit_tasks(400_000) >= 4                  # a task of so many rows took 0.2 s a level, and other cores waited
+
+
+def test_rounds_that_end_at_once_cost_few(spark, monkeypatch):
+    asked, whole = [], op.GBTRegressor.fit
+    monkeypatch.setattr(op.GBTRegressor, "fit", lambda self, rows, params=None: (asked.append(self.getMaxIter()), whole(self, rows, params))[1])
+    noise = spark.range(600).select(F.rand(1).alias("a"), F.rand(2).alias("label"))
+    for counted, trees, want in ((5, 40, [6, 5]), (9, 40, [6, 12, 9]), (99, 15, [6, 12, 15])):      # [12, 5] before
+        asked.clear()
+        monkeypatch.setattr(op, "rounds_used", lambda losses, patience: min(len(losses), counted))
+        assert op.fit(noise, ["a"], trees=trees, depth=1, patience=4)[1].getNumTrees == want[-1] and asked == want
