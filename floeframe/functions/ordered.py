@@ -101,12 +101,15 @@ def _null_safe(keys: list[str]) -> Column:
 
 
 def dense_sequence(df: DataFrame, keys: list[str], order: list[str], split: Column,
-                   name: str = "seq", hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                   name: str = "seq", hot_rows: int = HOT_KEY_ROWS, longest: int | None = None) -> DataFrame:
     """0-based row number inside each key, following ``order``.
 
     Keys above ``hot_rows`` are numbered per ``split`` block first; ``split``
-    must not decrease along ``order``.
+    must not decrease along ``order``. ``longest``, if known, is the most rows
+    of a key, which then are not counted again.
     """
+    if longest is not None and longest <= hot_rows:
+        return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("int"))
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
            .where(F.col("_rows") > hot_rows).drop("_rows").withColumn("_hot", F.lit(True)))
     if hot.isEmpty():
@@ -128,12 +131,17 @@ def dense_sequence(df: DataFrame, keys: list[str], order: list[str], split: Colu
 
 
 def with_following(df: DataFrame, keys: list[str], seq: str, fields: list[str],
-                   prefix: str = "next_", block: int = BLOCK) -> DataFrame:
+                   prefix: str = "next_", block: int = BLOCK, longest: int | None = None) -> DataFrame:
     """Each row with ``fields`` of the row at ``seq + 1`` of the same key.
 
     The first row of a block is also sent to the block before it, so one
     shuffle on (key, block) is enough and no task holds a whole hot key.
+    If the ``longest`` key is known to fit a block, rows lie by key alone,
+    and reductions by key need no further shuffle.
     """
+    if longest is not None and longest <= block:
+        w = Window.partitionBy(*keys).orderBy(seq)
+        return df.select("*", *[F.lead(f).over(w).alias(f"{prefix}{f}") for f in fields])
     at = F.col(seq)
     blocks = F.when((at > 0) & (at % block == 0),
                     F.array(F.floor(at / block), F.floor(at / block) - 1)
@@ -145,14 +153,20 @@ def with_following(df: DataFrame, keys: list[str], seq: str, fields: list[str],
 
 
 def with_next_and_running(df: DataFrame, keys: list[str], seq: str, fields: list[str], measure, name: str,
-                          block: int = BLOCK) -> DataFrame:
+                          block: int = BLOCK, longest: int | None = None) -> DataFrame:
     """Rows with ``next_*`` fields, a measure of the step to the next row, and its running sum.
 
     ``measure`` maps nothing to a Column over the row and its ``next_*`` fields;
     ``name`` is the measure and ``<name>_before`` the sum over all earlier rows
     of the key. One shuffle on (key, block); only keys longer than one block
-    contribute rows to the small table of block totals.
+    contribute rows to the small table of block totals. If the ``longest`` key
+    is known to fit a block, there is no such table to compute and join.
     """
+    if longest is not None and longest <= block:
+        w = Window.partitionBy(*keys).orderBy(seq)
+        led = df.select("*", *[F.lead(f).over(w).alias(f"next_{f}") for f in fields]).withColumn(name, measure())
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        return led.withColumn(f"{name}_before", F.coalesce(F.sum(name).over(earlier), F.lit(0.0)))
     at = F.col(seq)
     blocks = F.when((at > 0) & (at % block == 0),
                     F.array(F.floor(at / block), F.floor(at / block) - 1)

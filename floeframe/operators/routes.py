@@ -19,25 +19,25 @@ def segment_m(cell_m: float) -> Column:
     return F.coalesce(length(F.col("next_r") - F.col("r"), F.col("next_c") - F.col("c")) * cell_m, F.lit(0.0))
 
 
-def clocked(points: DataFrame, cell_m: float, speed: float) -> DataFrame:
-    """Distance to the next point, distance so far and arrival seconds of each point."""
-    out = with_next_and_running(points, ROUTE, "seq", ["r", "c"], lambda: segment_m(cell_m), "dist_m")
+def clocked(points: DataFrame, cell_m: float, speed: float, longest: int | None = None) -> DataFrame:
+    """Distance to the next point, distance so far and arrival seconds of each point; ``longest``, if known, is the most points of a route."""
+    out = with_next_and_running(points, ROUTE, "seq", ["r", "c"], lambda: segment_m(cell_m), "dist_m", longest=longest)
     return (out.drop("next_r", "next_c").withColumnRenamed("dist_m_before", "along_m")
             .withColumn("arrival_s", F.col("along_m") / speed))
 
 
-def trapezoids(priced: DataFrame, terms: list[str]) -> DataFrame:
+def trapezoids(priced: DataFrame, terms: list[str], longest: int | None = None) -> DataFrame:
     """``dist * (value + next value) / 2`` per segment for every term (0 at the last point)."""
-    out = with_following(priced, ROUTE, "seq", terms)
+    out = with_following(priced, ROUTE, "seq", terms, longest=longest)
     segs = {f"{t}_seg": F.expr(f"CASE WHEN next_{t} IS NOT NULL THEN dist_m * 0.5D * ({t} + next_{t}) ELSE 0D END") for t in terms}
     return out.withColumns(segs).drop(*[f"next_{t}" for t in terms])
 
 
-def price(priced: DataFrame, terms: list[str], total: str) -> DataFrame:
+def price(priced: DataFrame, terms: list[str], total: str, longest: int | None = None) -> DataFrame:
     """Per-term sums of each route; one unpriceable point voids the route, with a reason."""
     marked = priced.withColumn("_bad", ~finite(F.col(total)))
     safe = [F.when(~F.col("_bad"), F.col(c)).alias(c) for c in [*terms, total]]
-    segs = trapezoids(marked.select("route_id", "seq", "dist_m", "arrival_s", "bucket_known", "_bad", *safe), [*terms, total])
+    segs = trapezoids(marked.select("route_id", "seq", "dist_m", "arrival_s", "bucket_known", "_bad", *safe), [*terms, total], longest)
     sums = segs.groupBy("route_id").agg(
         F.count(F.lit(1)).alias("cells"), F.sum("dist_m").alias("distance_m"), F.max("arrival_s").alias("travel_s"),
         F.count_if("_bad").alias("unpriceable"), F.count_if(~F.col("bucket_known")).alias("outside_buckets"),

@@ -6,8 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from floeframe.functions import ordered
 from floeframe.functions.ordered import (dense_sequence, exact_quantiles, first_by_hash, global_rank,
                                          with_following, with_next_and_running)
+from floeframe.plans.catalogue import QUERIES
 
 
 def skewed(spark, n=600):
@@ -80,3 +82,28 @@ def test_first_by_hash_is_exact_and_strict(spark):
     assert got == want
     with pytest.raises(ValueError):
         first_by_hash(df, "band", "h", ["id"], {"cold": 10_000})
+
+
+def test_keys_that_fit_a_block_are_shuffled_once(spark, capsys):
+    rows = spark.range(200).select((F.col("id") % 7).alias("k"), (F.col("id") / 7).cast("int").alias("seq"), F.rand(3).alias("x"))
+    step = lambda: F.coalesce(F.col("next_x") - F.col("x"), F.lit(0.0))
+    cut = ordered.with_next_and_running(rows, ["k"], "seq", ["x"], step, "d", block=8)
+    whole = ordered.with_next_and_running(rows, ["k"], "seq", ["x"], step, "d", longest=29)
+    near = lambda df: {(r["k"], r["seq"]): (r["x"], r["next_x"], r["d"], round(r["d_before"], 9)) for r in df.collect()}
+    assert near(cut) == near(whole) and len(near(whole)) == 200
+    follow = lambda **how: sorted(map(tuple, ordered.with_following(rows, ["k"], "seq", ["x"], **how).select("k", "seq", "next_x").collect()))
+    assert follow(block=8) == follow(longest=29) == follow(block=8, longest=29)
+    whole.groupBy("k").agg(F.sum("d")).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+
+
+def test_a_route_is_numbered_once_when_it_is_priced(spark, capsys):
+    QUERIES["route_price"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("row_number()") == 1 and plan.count("Exchange hashpartitioning(route_id") == 2      # once by route, once priced
+
+
+def test_a_long_route_still_goes_block_by_block(spark):
+    rows = spark.range(50).select(F.lit(1).alias("k"), F.col("id").cast("int").alias("seq"))
+    got = ordered.with_next_and_running(rows, ["k"], "seq", ["seq"], lambda: F.lit(1.0), "d", block=8, longest=50).orderBy("seq").collect()
+    assert [r["d_before"] for r in got] == [float(i) for i in range(50)] and [r["next_seq"] for r in got] == [*range(1, 50), None]
