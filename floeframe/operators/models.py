@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import forecast as fc
 
 FEATURES = ["sic", "u", "v", "speed"]
@@ -64,6 +65,16 @@ def fit_tasks(rows: int) -> int:
     return max(1, -(-rows // TASK_ROWS))
 
 
+def leaf_limit(gbt: GBTRegressor, leaf_rows: int, rows: int) -> dict:
+    """Settings for at least ``leaf_rows`` of the ``rows`` in a leaf, where a weighted row stands for several.
+
+    Spark takes a share of the weight below one half; with fewer than two leaves' rows nothing is split, as by its count of rows.
+    """
+    if rows < 2 * leaf_rows:
+        return {gbt.minInstancesPerNode: leaf_rows}
+    return {gbt.minWeightFractionPerNode: (leaf_rows - 0.5) / rows}
+
+
 def fit(rows: DataFrame, features: list[str], label: str = "label", trees: int = 200, depth: int = 5, seed: int = 7,
         leaf_rows: int = 50, step: float = 0.1, patience: int | None = 20):
     """A fitted (assembler, model) pair: up to ``trees`` rounds, ``depth`` levels, at least ``leaf_rows`` rows in a leaf.
@@ -71,19 +82,22 @@ def fit(rows: DataFrame, features: list[str], label: str = "label", trees: int =
     With ``patience`` a tenth of ``rows``, picked by hash, is kept out of the fit and the rounds end when that many in a row
     bring no lower loss on it. Spark's own rule ends at the first such round, so the rounds are fitted and counted first, a few
     (``PROBE``), then twice as many and only then all of them; the same seed and rows then give the same trees again, up to the
-    counted one. The rows are dealt out evenly, ``TASK_ROWS`` to a task, however few files they come from.
+    counted one. Measured values repeat, so equal rows are stored once, with their number as weight: the passes grow with the
+    distinct rows, while means, losses, splits and ``leaf_rows`` count them all. The distinct rows are dealt out evenly,
+    ``TASK_ROWS`` to a task, however few files they come from.
     """
     assembler = VectorAssembler(inputCols=features, outputCol="features")
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", maxIter=trees, maxDepth=depth, seed=seed,
-                       minInstancesPerNode=leaf_rows, stepSize=step)
-    rows = rows.select(*features, label)
-    ready = assembler.transform(rows.repartition(fit_tasks(rows.count())))
-    if patience is None or trees <= patience:
-        return assembler, gbt.fit(ready)
+    gbt = GBTRegressor(featuresCol="features", labelCol=label, weightCol="_rows", predictionCol="prediction", maxIter=trees, maxDepth=depth,
+                       seed=seed, stepSize=step)
     held = F.pmod(F.xxhash64(*features, label), F.lit(10)) == 0
-    used, kept_out = ready.where(~held), ready.where(held)
-    if kept_out.isEmpty() or used.isEmpty():
-        return assembler, gbt.fit(ready)
+    rows = stored(rows.groupBy(*features, label).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_held", held))
+    part = {r["_held"]: (r["n"], r["rows"]) for r in
+            rows.groupBy("_held").agg(F.count(F.lit(1)).alias("n"), F.sum("_rows").alias("rows")).collect()}
+    ready = assembler.transform(rows.repartition(fit_tasks(sum(n for n, _ in part.values()))))
+    if patience is None or trees <= patience or len(part) < 2:
+        return assembler, gbt.copy(leaf_limit(gbt, leaf_rows, sum(all_rows for _, all_rows in part.values()))).fit(ready)
+    used, kept_out = ready.where(~F.col("_held")), ready.where("_held")
+    gbt = gbt.copy(leaf_limit(gbt, leaf_rows, part[False][1]))
     few = math.ceil(PROBE * patience)
     for upto in (min(trees, few), min(trees, 2 * few), trees):
         model = gbt.copy({gbt.maxIter: upto}).fit(used)

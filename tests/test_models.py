@@ -90,3 +90,28 @@ def test_rounds_that_end_at_once_cost_few(spark, monkeypatch):
         asked.clear()
         monkeypatch.setattr(op, "rounds_used", lambda losses, patience: min(len(losses), counted))
         assert op.fit(noise, ["a"], trees=trees, depth=1, patience=4)[1].getNumTrees == want[-1] and asked == want
+
+
+def test_equal_rows_are_fitted_once_and_count_as_many(spark, monkeypatch):
+    asked, whole = [], op.GBTRegressor.fit
+    monkeypatch.setattr(op.GBTRegressor, "fit", lambda self, rows, params=None: (asked.append(rows.count()), whole(self, rows, params))[1])
+    mixed = lambda k, m: F.abs(F.xxhash64(F.lit(k), "id")) % m
+    rows = spark.range(3000).select(mixed(1, 8).cast("double").alias("a"), (mixed(2, 25) % 6).cast("double").alias("b"), mixed(3, 3).alias("n"))
+    rows = rows.select("a", "b", (F.col("a") * F.col("b") + F.col("n")).alias("label"))
+    assembler, model = op.fit(rows, ["a", "b"], trees=6, depth=3, leaf_rows=150, patience=None)
+    plain = op.GBTRegressor(featuresCol="features", labelCol="label", maxIter=6, maxDepth=3, seed=7, minInstancesPerNode=150, stepSize=0.1)
+    one, two = model, plain.fit(assembler.transform(rows))
+    assert asked == [rows.distinct().count(), 3000]                     # [3000, 3000] before
+    spots = assembler.transform(rows.select("a", "b").distinct())
+    both = one.transform(spots).select("a", "b", F.col("prediction").alias("p")).join(two.transform(spots).select("a", "b", "prediction"), ["a", "b"])
+    assert both.where(F.abs(F.col("p") - F.col("prediction")) > 1e-9).isEmpty() and both.count() == 48
+    asked.clear()
+    _, model = op.fit(rows, ["a", "b"], trees=30, depth=2, patience=4)  # rows kept out are weighted too
+    assert asked and max(asked) < rows.distinct().count() and model.getNumTrees > 1
+
+
+@pytest.mark.parametrize("few, total, split", [(50, 200, True), (49, 200, False), (49, 98, False), (50, 100, True)])
+def test_a_leaf_holds_its_rows_however_often_they_repeat(spark, few, total, split):
+    rows = spark.range(total).select(F.when(F.col("id") < few, 1.0).otherwise(0.0).alias("a"))
+    _, model = op.fit(rows.withColumn("label", F.col("a") * 100), ["a"], trees=1, depth=1, leaf_rows=50)
+    assert (model.totalNumNodes == 3) == split
