@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -139,18 +139,18 @@ def permutation_importance(rows: DataFrame, fitted, features: list[str], label:
 
     In each repeat the donors are ranked by a hash of their order key, so that a row's donor has nothing to do with its
     place or day; rows and donors meet by rank (range sort plus slice offsets), so no task holds all rows. All features
-    of a repeat are exchanged in the same pass.
+    of a repeat are exchanged in the same pass, and rows and donors of all repeats are ranked side by side.
     """
     from ..functions.ordered import global_rank
-    ranked = global_rank(rows.select(*features, label, order.alias("_o")), ["_o"], "_rank")
+    hashed = lambda k: F.struct(F.xxhash64(F.lit(seed + k), order).alias("h"), order.alias("key")).alias("_o")
+    sides = [rows.select(*features, label, order.alias("_o")), *[rows.select(F.struct(*features).alias("_d"), hashed(k)) for k in range(repeats)]]
+    ranked, *dealt = together([partial(global_rank, side, ["_o"], "_rank") for side in sides])
     base = predict(rows, fitted, clip=None).agg(F.avg(F.abs(F.col("prediction") - F.col(label))).alias("base"))
     swapped = F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), *[F.col(f"_d.{g}" if g == f else g).alias(g) for g in features]) for f in features]))
     parts = []
-    for k in range(repeats):
-        dealt = rows.select(F.struct(*features).alias("_d"), F.struct(F.xxhash64(F.lit(seed + k), order).alias("h"), order.alias("key")).alias("_o"))
-        donors = global_rank(dealt, ["_o"], "_rank").select("_rank", "_d")
-        mixed = ranked.join(donors, "_rank").select(label, swapped.alias("_s")).select(label, "_s.*")
+    for k, donors in enumerate(dealt):
+        mixed = ranked.join(donors.select("_rank", "_d"), "_rank").select(label, swapped.alias("_s")).select(label, "_s.*")
         parts.append(predict(mixed, fitted, clip=None).groupBy("feature").agg(
             F.lit(k).alias("repeat"), F.avg(F.abs(F.col("prediction") - F.col(label))).alias("mae")))
     scored = reduce(DataFrame.unionByName, parts)

@@ -115,3 +115,12 @@ def test_a_leaf_holds_its_rows_however_often_they_repeat(spark, few, total, spli
     rows = spark.range(total).select(F.when(F.col("id") < few, 1.0).otherwise(0.0).alias("a"))
     _, model = op.fit(rows.withColumn("label", F.col("a") * 100), ["a"], trees=1, depth=1, leaf_rows=50)
     assert (model.totalNumNodes == 3) == split
+
+
+def test_rows_and_donors_of_all_repeats_are_ranked_side_by_side(spark, monkeypatch):
+    jobs, side_by_side = [], op.together
+    monkeypatch.setattr(op, "together", lambda some: (jobs.append(len(some)), side_by_side(some))[1])
+    rows = spark.range(400).select("id", F.col("id").cast("double").alias("a"), (F.col("id") * 2.0).alias("label"))
+    fitted = op.fit(rows, ["a"], trees=2, depth=3)
+    got = op.permutation_importance(rows, fitted, ["a"], "label", F.struct("id"), repeats=3).collect()
+    assert jobs == [4] and got[0]["importance"] > 100          # [] before: one after the other
