@@ -6,7 +6,7 @@ the connected components of all links, one row per document.
 1. Documents with the same set form a class, and only one document of a class goes on: copies cost nothing further.
 2. All sets are sorted in one global order. First come the grams whose hash lies below a fixed share of the range, the
    rarest first; then the rest by hash. Only the first part and the few grams that prefixes need beyond it are counted
-   and moved. Grams that stand in one document alone hold places in its order but are never joined.
+   and moved, in ``PARTS`` shares, one after the other. Grams that stand in one document alone hold places in its order but are never joined.
 3. If two sets link, then the first ``l`` grams that they share lie in both prefixes, for every ``l``: the prefix of the
    smaller set has ``n - ceil(2 num n / (num + den)) + l`` grams and that of the larger ``n - ceil(num n / den) + l``.
    Each document takes the ``l`` (1 to ``MOST``) with the least estimated cost: postings read, and candidates that can
@@ -32,6 +32,7 @@ that repeat an id are one node; the component is the smallest id in it, so ties
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -172,15 +173,16 @@ def _squeeze(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"node": f["node"], "body": [pack.compress(t.encode("utf-8", "replace")) for t in f["text"]]})
 
 
-APART = ("t", "h", "below", "wide")
-MEASURED = "g long, a long, b long, linked boolean, n int, size int, t array<int>, h array<long>, below array<int>, wide array<int>, bits array<long>"
+PARTS = 4            # shares in which grams and differences are counted, so that only one share is shuffled at a time
+MEASURED = "g long, a long, b long, m int, linked boolean, n int, size int, h array<long>, ends array<int>, bits array<long>"
 
 
 def _measure(size: int, num: int, den: int, differences: bool):
     """Whether a and b link; the number of grams in which they differ, and of these as hashes what a's key may need.
 
-    Hashes come in classes of halving share of the range, the smallest class first; whole classes are given until there
-    are half as many again as the longest prefix has. Those ``aside`` come after all others.
+    Hashes ``h`` come in classes of halving share of the range, the smallest class first; whole classes are given until there
+    are half as many again as the longest prefix has. Those ``aside`` come after all others. ``ends`` has where each class ends;
+    ``m``, the size of the pair's group, is handed on if it is given.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
@@ -197,28 +199,28 @@ def _measure(size: int, num: int, den: int, differences: bool):
             if np.count_nonzero(~late) > most:
                 take = t <= t[~late][most - 1]
                 h, t = h[take], t[take]
-            below = np.searchsorted(in_order := np.sort(t), t)           # how many are in earlier classes, and in this one
-            wide = np.searchsorted(in_order, t, side="right") - below
-            return t.astype(np.int32), h.view(np.int64), below.astype(np.int32), wide.astype(np.int32), np.packbits(odd.astype(np.uint8)).view(np.int64)
+            ends = np.cumsum(np.bincount(t, minlength=2 * len(CLASSES) + 2))
+            return h.view(np.int64)[np.argsort(t, kind="stable")], ends.astype(np.int32), np.packbits(odd.astype(np.uint8)).view(np.int64)
 
         def frame(rows: list[tuple]) -> pd.DataFrame:
-            return (pd.DataFrame(rows, columns=["g", "a", "b", "linked", "n", "size", *APART, "bits"])
-                    .astype({"g": "int64", "a": "int64", "b": "int64", "linked": bool, "n": "int32", "size": "int32"}))
+            return (pd.DataFrame(rows, columns=["g", "a", "b", "m", "linked", "n", "size", "h", "ends", "bits"])
+                    .astype({"g": "int64", "a": "int64", "b": "int64", "m": "int32", "linked": bool, "n": "int32", "size": "int32"}))
 
-        none = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
         last, kept = None, set()
         for f in frames:
             rows, held = [], 0
-            for g, a, b, mine, theirs, aside in zip(f["g"], f["a"], f["b"], f["body_a"], f["body_b"], f["aside"]):
+            of = f["m"] if "m" in f else [0] * len(f)
+            for g, a, b, m, mine, theirs, aside in zip(f["g"], f["a"], f["b"], of, f["body_a"], f["body_b"], f["aside"]):
                 if theirs != last:                  # rows come sorted by b, so its set is made once
                     last, kept = theirs, grams(theirs)
                 other = grams(mine)
                 both = len(other & kept)
                 linked = den * both >= num * (len(other) + len(kept) - both)
                 apart = first(other ^ kept, 3 * ((den - num) * len(other) // num + 1) // 2, aside) if differences else none
-                rows.append((g, a, b, linked, len(other), len(other) + len(kept) - 2 * both, *apart))
-                held += len(apart[1])
+                rows.append((g, a, b, m, linked, len(other), len(other) + len(kept) - 2 * both, *apart))
+                held += len(apart[0])
                 if held >= HELD:
                     yield frame(rows)
                     rows, held = [], 0
@@ -256,14 +258,18 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     scratch.drop(sets)
 
     # grams that at least two classes have, back with their documents, in the cheapest prefix for each
-    held = reps.select("node", "n", "tier", F.posexplode("grams").alias("i", "gram"))
-    counted = held.groupBy("gram").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    shared = (held.join(counted, "gram").groupBy("node", "n", "tier")
-              .agg(F.collect_list(F.struct("i", "gram", F.col("docs").cast("int").alias("docs"))).alias("shared")))
-    shared = shared.select("node", "n", "tier", *[F.col(f"shared.{c}").alias(c) for c in ("i", "gram", "docs")])
+    parts = []
+    for part in range(PARTS):
+        held = reps.select("node", F.posexplode("grams").alias("i", "gram")).where(F.pmod("gram", F.lit(PARTS)) == part)
+        counted = held.groupBy("gram").agg(F.count(F.lit(1)).cast("int").alias("docs")).where("docs > 1")
+        parts.append(scratch.store(held.join(counted, "gram").select("node", "i", "gram", "docs"), "shared"))
+        scratch.drop()
+    shared = reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.collect_list(F.struct("i", "gram", "docs")).alias("shared"))
+    shared = (shared.join(reps.select("node", "n", "tier"), "node")
+              .select("node", "n", "tier", *[F.col(f"shared.{c}").alias(c) for c in ("i", "gram", "docs")]))
     heads = scratch.store(shared.mapInPandas(_heads(num, den), HEADS), "heads")
     named = scratch.store(classes.select("digest", "node"), "named")
-    scratch.drop(classes)
+    scratch.drop(classes, *parts)
     placed = heads.select("node", "rare", "short", F.posexplode("long").alias("at", "key")).withColumn("short", F.col("at") < F.col("short")).drop("at")
     # a gram matters where two documents hold it, one of them in its short prefix
     live = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("short").alias("any_short")).where("c > 1 and any_short").select("key")
@@ -275,62 +281,68 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     def measured(pairs: DataFrame, differences: bool) -> DataFrame:
         full = (pairs.join(bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a")), "a")
                 .join(bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b")), "b"))
-        return (full.select("g", "a", "b", "body_a", "body_b", "aside").mapInPandas(_measure(size, num, den, differences), MEASURED)
-                .withColumn("apart", F.arrays_zip(*APART)).drop(*APART))
+        return full.select("g", "a", "b", "m", "body_a", "body_b", "aside").mapInPandas(_measure(size, num, den, differences), MEASURED)
 
     nothing = F.array().cast("array<bigint>")
 
-    def counted_keys(rows: DataFrame) -> DataFrame:
-        """How many documents of a group share what sets them apart, where it is more than one."""
-        return rows.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
-
     # a group is named after its first centre
     centres = buckets.groupBy("key").agg(F.min(F.struct("rare", "node")).alias("c")).select("key", F.col("c.node").alias("b"))
-    stars = buckets.join(centres, "key").where("node <> b").select(F.col("b").alias("g"), F.col("node").alias("a"), "b").distinct()
-    once = scratch.store(measured(stars.withColumn("aside", nothing), True), "compared")
+    stars = scratch.store(buckets.join(centres, "key").where("node <> b").select(F.col("b").alias("g"), F.col("node").alias("a"), "b").distinct(), "stars")
+    scratch.drop(buckets)
+    filled = stars.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("m"))
+    once = scratch.store(measured(stars.join(filled, "g").withColumn("aside", nothing), True), "compared")
+    scratch.drop()
     # larger groups: the document that has most of what is common among the differences, and least else, is the better centre
-    members = once.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= GROUP)
-    rows = once.join(members, "g").select("g", F.col("a").alias("node"), "m", F.inline("apart")).withColumn("key", F.xxhash64("g", "h"))
-    spread = scratch.store(rows.join(counted_keys(rows), "key", "left").select("g", "node", "h", (F.coalesce("docs", F.lit(1)) * 2 > F.col("m")).alias("common")), "spread")
-    usual = spread.where("common").groupBy("g").agg(F.collect_set("h").alias("usual"))      # as many as a set has differences
-    off = (spread.groupBy("g", "node").agg(F.sum(F.when(F.col("common"), -1).otherwise(1)).alias("off")).join(usual, "g", "left")
-           .select("g", "node", (F.col("off") + F.coalesce(F.size("usual"), F.lit(0))).alias("off"))
-           .unionByName(members.join(usual, "g", "left").select("g", F.col("g").alias("node"), F.coalesce(F.size("usual"), F.lit(0)).cast("long").alias("off"))))
-    better = off.groupBy("g").agg(F.min(F.struct("off", "node")).alias("c")).select("g", F.col("c.node").alias("to"))
-    own = (better.join(spread.withColumnRenamed("node", "to"), ["g", "to"]).groupBy("g").agg(F.collect_set("h").alias("own")))
-    better = (better.join(usual, "g", "left").join(own, "g", "left")
-              .withColumn("usual", F.coalesce("usual", nothing)).withColumn("own", F.coalesce("own", nothing))
-              .select("g", F.col("to").alias("b"), F.concat(F.array_except("usual", "own"), F.array_except("own", "usual")).alias("aside")))
-    better = scratch.store(better, "better")
-    stars = once.select("g", "a").unionByName(members.select("g", F.col("g").alias("a"))).join(better, "g").where("a <> b")
-    again = scratch.store(measured(stars.select("g", "a", "b", "aside"), True), "compared")
+    members, large = filled.where(F.col("m") >= GROUP), once.where(F.col("m") >= GROUP)
+    common = large.select("g", "m", F.explode("h").alias("h")).groupBy("g", "m", "h").agg(F.count(F.lit(1)).alias("docs")).where("docs * 2 > m")
+    usual = members.join(common.groupBy("g").agg(F.collect_list("h").alias("usual")), "g", "left")      # as many as a set has differences
+    usual = scratch.store(usual.select("g", F.coalesce("usual", nothing).alias("usual")), "usual")
+    scratch.drop()
+    off = (large.select("g", F.col("a").alias("node"), "h").join(usual, "g")
+           .select("g", "node", (F.size("h") + F.size("usual") - 2 * F.size(F.array_intersect("h", "usual"))).alias("off"))
+           .unionByName(usual.select("g", F.col("g").alias("node"), F.size("usual").alias("off"))))
+    better = scratch.store(off.groupBy("g").agg(F.min(F.struct("off", "node")).alias("c")).select("g", F.col("c.node").alias("to")), "better")
+    own = better.join(large.select("g", F.col("a").alias("to"), F.col("h").alias("own")), ["g", "to"], "left").join(usual, "g")
+    own = (own.withColumn("own", F.coalesce("own", nothing))
+           .select("g", F.col("to").alias("b"), F.concat(F.array_except("usual", "own"), F.array_except("own", "usual")).alias("aside")))
+    better = scratch.store(own, "better")
+    scratch.drop(usual)
+    stars = large.select("g", "a", "m").unionByName(members.select("g", F.col("g").alias("a"), "m")).join(better, "g").where("a <> b")
+    again = scratch.store(measured(stars.select("g", "a", "b", "m", "aside"), True), "compared")
+    scratch.drop()
     links = once.unionByName(again).where("linked").select("a", "b")
     comps = components(links, scratch)
 
-    # every group by the centre it ended with, if parts of it are still apart; the differences are fetched for those only
-    slender = ["g", "a", "b", "n", "size"]
-    final = (once.select(*slender, F.lit(1).alias("turn")).join(members, "g", "left_anti").unionByName(again.select(*slender, F.lit(2).alias("turn"))).join(comps.withColumnRenamed("node", "a"), "a", "left")
+    # every group by the centre it ended with, if parts of it are still apart
+    last = once.where(F.col("m") < GROUP).unionByName(again)
+    final = (last.select("g", "a", "b", "n", "size", "ends").join(comps.withColumnRenamed("node", "a"), "a", "left")
              .withColumn("comp", F.coalesce("comp", "a")).join(comps.select(F.col("node").alias("b"), F.col("comp").alias("hub")), "b", "left")
              .withColumn("hub", F.coalesce("hub", "b")))
     torn = (final.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.least("comp", "hub")).alias("low"), F.max(F.greatest("comp", "hub")).alias("high"))
             .where("m > 1 and low < high").select("g"))
+    odd = scratch.store(final.join(torn, "g").select("g", F.col("a").alias("node"), "n", "size", "comp", "ends"), "odd")
     # the documents are dealt out by what sets them apart; places in the order count also what no other document shares
-    odd = scratch.store(final.join(torn, "g").select("g", "a", "n", "size", "comp", "turn"), "odd")
-    apart = once.select("g", "a", F.lit(1).alias("turn"), "apart").unionByName(again.select("g", "a", F.lit(2).alias("turn"), "apart"))
-    rows = (odd.join(apart, ["g", "a", "turn"]).select("g", F.col("a").alias("node"), "n", "size", "comp", F.inline("apart")).withColumn("key", F.xxhash64("g", "h")))
+    rows = (last.join(odd.select("g").distinct(), "g", "left_semi").select("g", F.col("a").alias("node"), F.posexplode("h").alias("pos", "h"))
+            .select("g", "node", "pos", F.xxhash64("g", "h").alias("key")))
+    parts = []
+    for part in range(PARTS):
+        some = rows.where(F.pmod("key", F.lit(PARTS)) == part)
+        counted = some.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("docs")).where("docs > 1")     # documents of a group share it
+        parts.append(scratch.store(some.join(counted, "key"), "met"))
+        scratch.drop()
     inside = Window.partitionBy("g", "node", "t")
-    keyed = (rows.join(counted_keys(rows), "key")
-             .withColumn("at", F.col("below") + F.col("wide") - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("docs", "h")) - 1)
+    keyed = (reduce(DataFrame.unionByName, parts).join(odd, ["g", "node"])
+             .withColumn("t", F.size(F.filter("ends", lambda e: e <= F.col("pos"))))              # its class: within one, positions follow the hashes
+             .withColumn("at", F.col("ends")[F.col("t")] - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("docs", "pos")) - 1)
              .where(F.col("at") <= F.expr(f"({den} - {num}) * n div {num}")).select("g", "key", "node", "n", "size", "at", "comp"))
     keyed = placed = scratch.store(keyed, "placed")
-    parts = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = (parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
+    held = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = (held.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
              .where("comps > 1").drop("comps"))
-    parities = (once.select("g", "a", F.lit(1).alias("turn"), "bits").unionByName(again.select("g", "a", F.lit(2).alias("turn"), "bits"))
-                .join(odd.select("g", "a", "turn"), ["g", "a", "turn"])
-                .select("g", F.col("a").alias("node"), *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64)]))
+    scratch.drop(odd, *parts)
+    parities = last.select("g", F.col("a").alias("node"), *[F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64)])
     keyed = scratch.store(keyed.join(mixed, "key").join(parities, ["g", "node"]), "keyed")
-    scratch.drop(placed, odd)
+    scratch.drop(placed)
 
     # what shares a key and is still apart: all but a key's largest component, against all that have the key
     x, y = keyed.where(F.col("comp") != F.col("main")).alias("x"), keyed.alias("y")
@@ -350,9 +362,9 @@ def join(docs: DataFrame, text: str = "text", size: int = 3, num: int = 90, den:
     common = F.size(F.array_intersect(prefix("x", "y"), prefix("y", "x"))) + F.col("x.twice")
     rest = (near.join(prefixes.alias("x"), F.col("a") == F.col("x.node")).join(prefixes.alias("y"), F.col("b") == F.col("y.node"))
             .where(common >= F.least("x.l", "y.l")).select("a", "b"))
-    rest = rest.select(F.lit(0).cast("long").alias("g"), "a", "b", nothing.alias("aside"))
+    rest = rest.select(F.lit(0).cast("long").alias("g"), "a", "b", F.lit(0).alias("m"), nothing.alias("aside"))
     more = scratch.store(measured(rest, False).where("linked").select("a", "b"), "links")
-    scratch.drop(buckets, spread, keyed, near, prefixes, bodies)
+    scratch.drop(keyed, near, prefixes, bodies)
     if more.limit(1).count():
         comps = components(links.unionByName(more), scratch)
     named = named.join(comps, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))

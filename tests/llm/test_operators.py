@@ -227,6 +227,43 @@ def test_parities_bound_the_differences():
     assert close
 
 
+def test_ngram_join_stores_no_row_for_each_difference(spark, monkeypatch):
+    """Of the differences only those that documents share are stored as rows, share by share."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(600)]
+    rows = []
+    for i in range(40):                                   # 30 changed words each, so about 180 differences that no other document has
+        w = list(base)
+        for at in rng.sample(range(600), 30):
+            w[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(w)))
+    stored, store = [], ngram_join.Scratch.store
+    monkeypatch.setattr(ngram_join.Scratch, "store", lambda self, df, name: stored.append((name, (back := store(self, df, name)).count())) or back)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, rows)).collect()}
+    assert got == plain_components(rows)
+    sets = [ngram_join.gram_set(ngram_join.split(t), 3) for _, t in rows]
+    apart = sum(len(x ^ sets[0]) for x in sets[1:])
+    assert {name: n for name, n in stored if n > apart // 2} == {}
+
+
+def test_positions_and_ends_give_a_difference_its_class():
+    """Differences come class by class, in a class by hash, with where each class ends; those aside come after all others."""
+    rng = random.Random(9)
+    pack = zstandard.ZstdCompressor()
+    centre = [f"w{i}" for i in range(400)]
+    other = [w if rng.random() > 0.03 else f"x{i}" for i, w in enumerate(centre)]
+    apart = ngram_join.gram_set([w.encode() for w in centre], 3) ^ ngram_join.gram_set([w.encode() for w in other], 3)
+    hashes = sorted(ngram_join.xxhash.xxh64_intdigest(x) for x in apart)
+    aside = np.array(hashes[:7], dtype=np.uint64).view(np.int64)
+    frame = pd.DataFrame({"g": [0], "a": [1], "b": [0], "m": [9], "body_a": [pack.compress(" ".join(other).encode())], "body_b": [pack.compress(" ".join(centre).encode())], "aside": [aside]})
+    (row,) = pd.concat(ngram_join._measure(3, 50, 100, True)(iter([frame]))).to_dict("records")
+    h, ends = [int(x) for x in row["h"].view(np.uint64)], [int(x) for x in row["ends"]]
+    assert row["m"] == 9 and sorted(h) == hashes and ends[-1] == len(h) and ends == sorted(ends)
+    classes = [sum(e <= pos for e in ends) for pos in range(len(h))]
+    order = [(int(np.searchsorted(ngram_join.CLASSES, np.uint64(x), side="right")) + (len(ngram_join.CLASSES) + 1) * (x in hashes[:7]), x) for x in h]
+    assert order == sorted(order) and classes == [t for t, _ in order]
+
+
 def test_ngram_join_edges(spark):
     got = sorted(map(tuple, ngram_join.join(docs(spark, EDGE)).collect()), key=str)
     assert len(got) == len(EDGE) and got.count((5, 1, 5)) == 2 and (6, 1, 5) in got and (None, 1, None) in got and (1, 0, 1) in got
