@@ -43,7 +43,8 @@ def length(a: Column, b: Column) -> Column:
 
 
 def shortest_arc(delta: Column) -> Column:
-    return F.pmod(delta + 180.0, F.lit(360.0)) - 180.0
+    """Into [-180, 180), by the remainders that the SQL twins take, so that both round alike."""
+    return ((delta + 540.0) % 360.0 + 360.0) % 360.0 - 180.0
 
 
 def great_circle_m(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:

@@ -80,7 +80,7 @@ def cells_in_radius(bergs: DataFrame, cells: DataFrame, grid: Lattice, shape: st
     half_lon = F.sin(F.radians(ex.shortest_arc(F.col("blon") - F.col("lon"))) / 2)
     near = (tried.join(places, ["r", "c"])
             .where(F.abs(F.col("lat") - F.col("blat")) <= F.degrees(radius / ex.EARTH_RADIUS_M) * (1 + 1e-9))
-            .withColumn("_h", half_lat * half_lat + F.col("_cos") * F.col("_bcos") * half_lon * half_lon)
+            .withColumn("_h", half_lat * half_lat + F.col("_cos") * F.col("_bcos") * (half_lon * half_lon))
             .where(F.col("_h") <= F.col("_far"))
             .withColumn("distance_m", 2.0 * ex.EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt("_h")))))
     return (near.where(F.col("distance_m") < radius).drop("_h", "_far", "_cos", "_bcos")

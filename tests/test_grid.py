@@ -279,6 +279,27 @@ def test_doubles_round_and_measure_as_sql_does(spark):
     assert {(r["u"], r["env_cost"]) for r in cost.environment_cost(df, current_weight=0.3).collect()} == {(u, 1 + 50.0 / 100 + 0.3 * min(math.sqrt(u * u + v * v) / 0.5, 1.0)) for u, v in pairs}
 
 
+def test_exposure_is_that_of_the_sql_formula_unrounded(spark):
+    """Distances follow the SQL twin's formula step by step; only a sine's last bit may differ between the engines."""
+    import duckdb
+
+    from floeframe.plans.exposure import GRID
+    from floeframe.plans.sql import gc_m
+    cells = spark.createDataFrame([(r, c, -70 + r * 0.1, c * 0.2) for r in range(60) for c in range(100)], "r int, c int, lat double, lon double")
+    bergs = [(i % 4, i, -70 + (i * 37 % 600) / 100.0, (i * 53 % 2000) / 100.0, 15.0 + i % 25) for i in range(60)]
+    pairs = exposure.cells_in_radius(spark.createDataFrame(bergs, "bucket int, iceberg_id long, lat double, lon double, radius_km double"), cells, GRID)
+    got = {(x["iceberg_id"], x["r"], x["c"]): x["exposure"] for x in pairs.collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE b (i BIGINT, lat DOUBLE, lon DOUBLE, radius_km DOUBLE)")
+    con.executemany("INSERT INTO b VALUES (?, ?, ?, ?)", [x[1:] for x in bergs])
+    con.execute("CREATE TABLE g AS SELECT r, c, -70 + r * 0.1::DOUBLE AS lat, c * 0.2::DOUBLE AS lon FROM range(60) x(r), range(100) y(c)")
+    sql = f"SELECT i, r, c, 1 - d / (radius_km * 1000) FROM (SELECT b.*, g.r, g.c, {gc_m('g.lat', 'g.lon', 'b.lat', 'b.lon')} AS d FROM b, g) WHERE d < radius_km * 1000"
+    expected = {(i, r, c): x for i, r, c, x in con.execute(sql).fetchall()}
+    assert got.keys() == expected.keys() and len(got) > 1000
+    assert max(abs(got[k] - expected[k]) for k in got) < 1e-15
+    assert sum(got[k] != expected[k] for k in got) < len(got) / 100
+
+
 def test_geometry_groups_and_divergence(spark):
     rows = [(1, [(0, 0), (1, 1)]), (2, [(0, 0), (1, 1)]), (3, [(1, 1), (0, 0)]), (4, [(0, 0)])]
     pts = spark.createDataFrame([(i, s, 0, r, c) for i, path in rows for s, (r, c) in enumerate(path)], "route_id long, seq int, zone int, r int, c int")
